@@ -154,8 +154,9 @@ def recent_candidates(
     no pairs beyond the ``k`` per row arise. Both sides carry an ``id``; rows with a null block key have no candidates.
     """
     usable = " AND ".join(f"{c} IS NOT NULL" for c in block)
-    lanes = fresh.select("id", *block, *order, F.lit(False).alias("_old")).unionByName(
-        existing.select("id", *block, *order, F.lit(True).alias("_old"))
+    columns = list(dict.fromkeys(["id", *block, *order]))
+    lanes = fresh.select(*columns, F.lit(False).alias("_old")).unionByName(
+        existing.select(*columns, F.lit(True).alias("_old"))
     )
     # at equal order values fresh rows come first: candidates are strictly earlier
     numbered = running_totals(

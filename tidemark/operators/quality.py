@@ -16,9 +16,9 @@ class GuardViolation(RuntimeError):
     """A guard found violating groups."""
 
 
-def repeated_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Number of keys held by more than one row; rows with a null key part do not count, as in a unique index."""
-    whole = df.dropna(subset=list(keys))
+def repeated_keys(df: DataFrame, keys: Sequence[str], name: str, nulls_differ: bool = True) -> DataFrame:
+    """Number of keys held by more than one row. As in a unique index, nulls differ, unless told otherwise."""
+    whole = df.dropna(subset=list(keys)) if nulls_differ else df
     return _count(whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), name)
 
 
@@ -32,16 +32,16 @@ def _count(bad: DataFrame, name: str) -> DataFrame:
 
 
 def active_duplicates(tasks: DataFrame) -> DataFrame:
-    return repeated_keys(scoped_active(tasks), GROUP, "active_duplicates")
+    return repeated_keys(scoped_active(tasks), GROUP, "active_duplicates", nulls_differ=False)
 
 
 def recomputed_collisions(tasks: DataFrame) -> DataFrame:
-    return repeated_keys(scoped_active(with_current_hash(tasks)), GROUP, "recomputed_collisions")
+    return repeated_keys(scoped_active(with_current_hash(tasks)), GROUP, "recomputed_collisions", nulls_differ=False)
 
 
 def shared_names(employees: DataFrame) -> DataFrame:
     keyed = employees.select(local_part(F.col("email")).alias("canonical_key"))
-    return repeated_keys(keyed, ["canonical_key"], "shared_names")
+    return repeated_keys(keyed, ["canonical_key"], "shared_names", nulls_differ=False)
 
 
 def unique_checks(tables: Mapping[str, tuple[DataFrame, Sequence[str | Column]]]) -> DataFrame:

@@ -246,5 +246,7 @@ def oracle(body: str) -> str:
     ordered = [v for v in VIEWS if v in needed]
     if not ordered:
         return body
+    if body.lstrip().startswith("WITH "):
+        body = "," + body.lstrip()[5:]
     views = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in ordered)
     return f"WITH RECURSIVE {views}\n{body}"
