@@ -9,10 +9,12 @@ from datetime import time
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .parsing import floor_div
+from .parsing import int_div
 
 MICROS_PER_MINUTE = 60_000_000
 MICROS_PER_DAY = 24 * 60 * MICROS_PER_MINUTE
+# Monday long before year 1, so that day numbers counted from it are never negative; 1970-01-01 is a Thursday
+DAYS_BEFORE_EPOCH = 7 * 104_000 + 3
 
 # Accepted spellings of the working days, Monday first.
 DAY_SPELLINGS = (
@@ -79,36 +81,33 @@ def _pick(index: Column, values: Sequence[int]) -> Column:
 def deadline(received: Column, hours: WorkingHours = WorkingHours()) -> Column:
     """Moment at which ``duration_hours`` of working time have passed since ``received``.
 
-    Working days are numbered through, so that "the k-th working day after" is arithmetic on that number.
-    Only whole minutes of the first day count once the span leaves that day. Times are wall-clock times of
-    the zone; a clock change inside working hours is not modelled.
+    All working minutes are numbered through: ``position`` is the number of the minute at which the clock starts,
+    the deadline is the end of minute ``position + duration``. Only whole minutes of the first day count once the
+    span leaves that day. Times are wall-clock times of the zone; a clock change inside working hours is not modelled.
     """
     week = hours.weekdays
     per_week = len(week)
     total = hours.duration_hours * 60
     length = hours.minutes_per_day
 
-    micros = F.unix_micros(F.from_utc_timestamp(received, hours.zone))
-    day = floor_div(micros, MICROS_PER_DAY)
-    of_day = F.pmod(micros, F.lit(MICROS_PER_DAY))
-    # day 0 (1970-01-01) is a Thursday; shift so that weeks start on Monday
-    weekday = F.pmod(day + 3, F.lit(7))
-    week_no = floor_div(day + 3, 7)
-    # working days of the week before this weekday; for a free day this is also the next working day's rank
-    rank = _pick(weekday, [sum(1 for w in week if w < d) for d in range(7)])
-    works = _pick(weekday, [int(d in week) for d in range(7)]) == 1
-
-    inside = works & (of_day < hours.end_micros)
-    first = week_no * per_week + rank + F.when(works & ~inside, 1).otherwise(0)
-    began = F.when(inside, F.greatest(of_day, F.lit(hours.start_micros))).otherwise(hours.start_micros)
-    left = floor_div(F.lit(hours.end_micros) - began, MICROS_PER_MINUTE)
-
-    rest = F.lit(total) - left
-    further = F.when(rest > 0, floor_div(rest + (length - 1), length)).otherwise(0)
-    target = first + further
-    target_day = floor_div(target, per_week) * 7 + _pick(F.pmod(target, F.lit(per_week)), week) - 3
-    within = F.when(left >= total, began + total * MICROS_PER_MINUTE).otherwise(
-        F.lit(hours.start_micros) + (rest - (further - 1) * length) * MICROS_PER_MINUTE
-    )
-    local = F.timestamp_micros(target_day * MICROS_PER_DAY + within)
-    return F.to_utc_timestamp(local, hours.zone)
+    local = received if hours.zone.upper() == "UTC" else F.from_utc_timestamp(received, hours.zone)
+    micros = F.unix_micros(local) + DAYS_BEFORE_EPOCH * MICROS_PER_DAY
+    day = int_div(micros, MICROS_PER_DAY)
+    until_end = F.lit(hours.end_micros) - micros % MICROS_PER_DAY
+    # minutes still to be worked that day: all before opening, none after closing
+    left = F.least(F.lit(length), F.greatest(F.lit(0), F.floor(until_end / MICROS_PER_MINUTE)))
+    worked = _pick(day % 7, [int(d in week) for d in range(7)]) * (F.lit(length) - left)
+    before = _pick(day % 7, [length * sum(1 for w in week if w < d) for d in range(7)])
+    position = int_div(day, 7) * (per_week * length) + before + worked
+
+    last = position + (total - 1)
+    index = int_div(last, length)
+    end_day = int_div(index, per_week) * 7 + _pick(index % per_week, week) - DAYS_BEFORE_EPOCH
+    moment = end_day * MICROS_PER_DAY + hours.start_micros + (last % length + 1) * MICROS_PER_MINUTE
+    if total <= length:
+        # a span inside one day keeps its seconds
+        inside = (_pick(day % 7, [int(d in week) for d in range(7)]) == 1) & (left >= total)
+        opened = until_end <= hours.end_micros - hours.start_micros
+        moment = F.when(inside & opened, F.unix_micros(local) + total * MICROS_PER_MINUTE).otherwise(moment)
+    result = F.timestamp_micros(moment)
+    return result if hours.zone.upper() == "UTC" else F.to_utc_timestamp(result, hours.zone)

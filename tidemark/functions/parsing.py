@@ -154,16 +154,12 @@ def round1(value: Column) -> Column:
     return F.round(value, 1)
 
 
-def floor_div(value: Column, by: int) -> Column:
-    """Integer quotient rounded down."""
-    return ((value - F.pmod(value, F.lit(by))) / by).cast("bigint")
-
-
-def trunc_div(value: Column, by: int) -> Column:
+def int_div(value: Column, by: int) -> Column:
     """Integer quotient rounded towards zero."""
-    return ((value - value % by) / by).cast("bigint")
+    return F.call_function("div", value, F.lit(by))
 
 
 def whole_minutes(start: Column, end: Column) -> Column:
     """Elapsed seconds rounded down, then cut to minutes towards zero."""
-    return trunc_div(floor_div(F.unix_micros(end) - F.unix_micros(start), 1_000_000), 60)
+    seconds = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1_000_000).cast("bigint")
+    return int_div(seconds, 60)

@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import failure_category, retry_after_seconds, trunc_div
+from ..functions.parsing import failure_category, retry_after_seconds, int_div
 from ..functions.text import clip_error, is_blank
 from .tasks import clamp
 from .timeline import first_per_key
@@ -167,7 +167,7 @@ def backoff_seconds(attempt: Column, base: int, cap: int) -> Column:
 
 def jitter_seconds(bounded: Column, *seed: Column) -> Column:
     """Repeatable spread of up to a fifth of the delay, in place of a random one."""
-    return F.pmod(F.xxhash64(*seed), F.greatest(F.lit(1), trunc_div(bounded, 5)) + 1)
+    return F.pmod(F.xxhash64(*seed), F.greatest(F.lit(1), int_div(bounded, 5)) + 1)
 
 
 def transient_retry_seconds(attempt: Column, policy: QueuePolicy = POLICY) -> Column:
@@ -177,7 +177,7 @@ def transient_retry_seconds(attempt: Column, policy: QueuePolicy = POLICY) -> Co
 def deferred_retry_minutes(retry_after: Column, policy: QueuePolicy = POLICY) -> Column:
     """Minutes the provider asked for, at least one, or the standard interval."""
     asked = retry_after_seconds(retry_after)
-    return F.coalesce(F.greatest(F.lit(1), trunc_div(asked, 60)), F.lit(policy.defer_minutes))
+    return F.coalesce(F.greatest(F.lit(1), int_div(asked, 60)), F.lit(policy.defer_minutes))
 
 
 # -- outcomes -----------------------------------------------------------------------------------------------------
