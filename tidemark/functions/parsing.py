@@ -60,14 +60,10 @@ def priority_or_medium(text: Column) -> Column:
 
 
 def clean_reply(reply: Column) -> Column:
-    """Drop a code fence, then cut to the outermost bracket pair."""
-    text = strip(reply)
-    fenced = F.regexp_replace(F.regexp_replace(text, r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    text = F.when(F.startswith(text, F.lit("```")), fenced).otherwise(text)
-    head = F.regexp_extract(text, r"(?s)([\{\[].*)$", 1)
-    text = F.when(head != "", head).otherwise(text)
-    tail = F.regexp_extract(text, r"(?s)^(.*[\}\]])", 1)
-    return strip(F.when(tail != "", tail).otherwise(text))
+    """The outermost bracketed part of a reply; without one, the reply less its code fence."""
+    core = F.regexp_extract(reply, r"(?s)([\{\[].*[\}\]]|[\{\[].*)", 1)
+    unfenced = F.regexp_replace(strip(reply), r"(?s)^```(?:json)?\s*(.*?)(?:\s*```)?$", "$1")
+    return F.coalesce(F.nullif(core, F.lit("")), unfenced)
 
 
 def _flag(text: Column) -> Column:

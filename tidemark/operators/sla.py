@@ -33,8 +33,8 @@ def own_domains(employees: DataFrame, configured: Sequence[str] = ()) -> DataFra
     listed = sorted({d.strip().lower() for d in configured if d.strip()})
     if not listed:
         return known
-    spark = employees.sparkSession
-    return known.union(spark.createDataFrame([(d,) for d in listed], "domain string")).distinct()
+    given = employees.sparkSession.range(1).select(F.explode(F.array(*[F.lit(d) for d in listed])).alias("domain"))
+    return known.union(given).distinct()
 
 
 def eligible(mail: DataFrame, domains: DataFrame) -> DataFrame:
@@ -86,14 +86,35 @@ def open_slas(
 # -- reply matching -----------------------------------------------------------------------------------------------
 
 
-def _primary(slas: DataFrame, replies: DataFrame) -> DataFrame:
+# Largest number of timeline rows of one key that may be ordered in one task; bigger keys are cut into hours.
+KEY_LIMIT = 1_000_000
+
+
+def _largest_keys(slas: DataFrame, replies: DataFrame) -> tuple[int, int]:
+    """Most timeline rows of any conversation and of any customer address."""
+
+    def keyed(df: DataFrame, kind: str, key: str) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("key")).filter("key IS NOT NULL")
+
+    talks = keyed(slas, "talk", "conversation_id").unionByName(keyed(replies, "talk", "conversation_id"))
+    named = replies.select(F.explode("recipients").alias("lookup"))
+    people = keyed(slas, "person", "lookup").unionByName(keyed(named, "person", "lookup"))
+    sizes = talks.unionByName(people).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(
+        F.max(F.when(F.col("kind") == "talk", F.col("n"))).alias("talk"),
+        F.max(F.when(F.col("kind") == "person", F.col("n"))).alias("person"),
+    ).first()
+    return row["talk"] or 0, row["person"] or 0
+
+
+def _primary(slas: DataFrame, replies: DataFrame, bucket: Column | None) -> DataFrame:
     """Earliest reply in the message's conversation and mailbox that names the customer, per SLA.
 
     An as-of join looking forward over (conversation, mailbox, address): no pairs of messages and replies arise.
     """
     keys = ["conversation_id", "mailbox", "address"]
     none = F.lit(None).cast("string")
-    waiting = slas.filter("conversation_id IS NOT NULL AND mailbox_user_id IS NOT NULL").select(
+    waiting = slas.select(
         "conversation_id",
         F.col("mailbox_user_id").alias("mailbox"),
         F.lower(strip(F.col("customer_email"))).alias("address"),
@@ -101,9 +122,8 @@ def _primary(slas: DataFrame, replies: DataFrame) -> DataFrame:
         F.lit(1).alias("phase"),
         "sla_id",
         none.alias("reply_id"),
-        none.alias("responded_by"),
     )
-    answers = replies.filter("conversation_id IS NOT NULL").select(
+    answers = replies.select(
         "conversation_id",
         "mailbox",
         F.explode("recipients").alias("address"),
@@ -111,111 +131,125 @@ def _primary(slas: DataFrame, replies: DataFrame) -> DataFrame:
         F.lit(0).alias("phase"),  # a reply at the very moment of the message does not answer it
         none.alias("sla_id"),
         "reply_id",
-        F.col("mailbox").alias("responded_by"),
     )
+    timeline = waiting.unionByName(answers).dropna(subset=keys)
     reply = F.when(
-        F.col("reply_id").isNotNull(), F.struct(F.col("moment").alias("sent_at"), "reply_id", "responded_by")
+        F.col("reply_id").isNotNull(),
+        F.struct(F.col("moment").alias("sent_at"), "reply_id", F.col("mailbox").alias("responded_by")),
     )
-    timeline = waiting.unionByName(answers).filter("address IS NOT NULL AND mailbox IS NOT NULL")
-    found = next_value(timeline, keys, hour_of(F.col("moment")), ["moment", "phase", "reply_id"], reply, "answer")
+    found = next_value(timeline, keys, bucket, ["moment", "phase", "reply_id"], reply, "answer")
     return found.filter("sla_id IS NOT NULL AND answer IS NOT NULL").select("sla_id", F.col("answer").alias("primary"))
 
 
-def _events(opened: DataFrame, closed: DataFrame, asked: DataFrame, key: str, open_phase: int) -> DataFrame:
-    """Openings, closings and questions of one key on one time axis.
+_AXIS = ("moment", "phase", "by", "step")
+
+
+def _axis(moment: Column, phase: int, by: Column, step: int, change: int, mark: Column, reply: Column) -> list[Column]:
+    """One event of a timeline: where it lies, how it changes the number of open SLAs, and who asks.
 
     A reply sees the state before it and closes after it has looked, hence ``step``.
     """
-    none = F.lit(None).cast("string")
-    zero = F.lit(0).cast("bigint")
-    return (
-        opened.select(
-            key, F.col("received_at").alias("moment"), F.lit(open_phase).alias("phase"), F.lit("").alias("by"),
-            F.lit(0).alias("step"), F.lit(1).cast("bigint").alias("change"), "mark", none.alias("reply_id"),
-        )
-        .unionByName(
-            closed.select(
-                key, F.col("closed.sent_at").alias("moment"), F.lit(1).alias("phase"), F.col("closed.reply_id").alias("by"),
-                F.lit(1).alias("step"), F.lit(-1).cast("bigint").alias("change"), "mark", none.alias("reply_id"),
-            )
-        )
-        .unionByName(
-            asked.select(
-                key, F.col("sent_at").alias("moment"), F.lit(1).alias("phase"), F.col("reply_id").alias("by"),
-                F.lit(0).alias("step"), zero.alias("change"), zero.alias("mark"), "reply_id",
-            )
-        )
+    return [
+        moment.alias("moment"),
+        F.lit(phase).alias("phase"),
+        by.alias("by"),
+        F.lit(step).alias("step"),
+        F.lit(change).cast("bigint").alias("change"),
+        mark.alias("mark"),
+        reply.alias("reply"),
+    ]
+
+
+def _open_close(rows: DataFrame, key: str, open_phase: int, nobody: Column) -> DataFrame:
+    opened = rows.select(
+        key, *_axis(F.col("received_at"), open_phase, F.lit(""), 0, 1, F.col("mark"), nobody)
     )
+    closed = rows.filter("closed IS NOT NULL").select(
+        key, *_axis(F.col("closed.sent_at"), 1, F.col("closed.reply_id"), 1, -1, F.col("mark"), nobody)
+    )
+    return opened.unionByName(closed)
 
 
-_AXIS = ("moment", "phase", "by", "step")
+_REPLY = "struct<reply_id: string, sent_at: timestamp, responded_by: string, recipients: array<string>>"
 
 
-def _fallback(state: DataFrame, replies: DataFrame) -> DataFrame:
+def _fallback(
+    state: DataFrame, replies: DataFrame, copies: bool, talk_bucket: Column | None, person_bucket: Column | None
+) -> DataFrame:
     """Fallback answers given the closings known so far.
 
     A reply may use the fallback if no open SLA shares its conversation. It then answers the only open SLA of all
     customers it names, if there is exactly one. Open SLAs are counted with running sums over time; the running
     exclusive-or of their marks is the mark of the single open one, so no reply/SLA pairs are built.
     """
-    talks = state.filter("conversation_id IS NOT NULL")
-    spoken = replies.filter("conversation_id IS NOT NULL")
-    gate_events = _events(talks, talks.filter("closed IS NOT NULL"), spoken, "conversation_id", 0)
-    gated = running_totals(
-        gate_events,
-        ["conversation_id"],
-        hour_of(F.col("moment")),
-        [F.asc(c) for c in _AXIS],
-        sums={"open_rows": F.col("change")},
-    ).filter("reply_id IS NOT NULL AND open_rows > 0")
-    asking = replies.join(gated.select("reply_id"), "reply_id", "left_anti")
+    nobody = F.lit(None).cast(_REPLY)
+    order = [F.asc(c) for c in _AXIS]
+    zero = F.lit(0).cast("bigint")
+    whole = F.struct("reply_id", "sent_at", F.col("mailbox").alias("responded_by"), "recipients").cast(_REPLY)
+
+    spoken = replies.filter("conversation_id IS NOT NULL").select(
+        "conversation_id", *_axis(F.col("sent_at"), 1, F.col("reply_id"), 0, 0, zero, whole)
+    )
+    talks = _open_close(state.filter("conversation_id IS NOT NULL"), "conversation_id", 0, nobody).unionByName(spoken)
+    gated = running_totals(talks, ["conversation_id"], talk_bucket, order, sums={"open_rows": F.col("change")})
+    silent = replies.filter("conversation_id IS NULL").select(whole.alias("reply"))
+    asking = gated.filter("reply IS NOT NULL AND open_rows = 0").select("reply").unionByName(silent)
 
     customers = state.filter("lookup IS NOT NULL")
-    # copies of one message in several mailboxes are one candidate; it is open while any copy is
-    unit = customers.groupBy("lookup", "message_id").agg(
-        F.min("received_at").alias("received_at"),
-        F.when(F.count_if(F.col("closed").isNull()) == 0, F.max("closed")).alias("closed"),
-        F.max_by("sla_id", F.struct("received_at", "sla_id")).alias("sla_id"),
-    ).withColumn("mark", F.xxhash64("message_id"))
-    named = asking.select("reply_id", "sent_at", F.explode("recipients").alias("lookup"))
+    if copies:
+        # copies of one message in several mailboxes are one candidate; it is open while any copy is
+        customers = (
+            customers.groupBy("lookup", "message_id")
+            .agg(
+                F.min("received_at").alias("received_at"),
+                F.when(F.count_if(F.col("closed").isNull()) == 0, F.max("closed")).alias("closed"),
+                F.max_by("sla_id", F.struct("received_at", "sla_id")).alias("sla_id"),
+            )
+            .withColumn("mark", F.xxhash64("message_id"))
+        )
+    named = asking.select(
+        F.explode("reply.recipients").alias("lookup"),
+        *_axis(F.col("reply.sent_at"), 1, F.col("reply.reply_id"), 0, 0, zero, F.col("reply")),
+    )
+    people = _open_close(customers, "lookup", 2, nobody).unionByName(named)
     counted = running_totals(
-        _events(unit, unit.filter("closed IS NOT NULL"), named, "lookup", 2),
+        people,
         ["lookup"],
-        hour_of(F.col("moment")),
-        [F.asc(c) for c in _AXIS],
+        person_bucket,
+        order,
         sums={"open_rows": F.col("change")},
         xors={"open_mark": F.col("mark")},
-    ).filter("reply_id IS NOT NULL AND open_rows > 0")
+    ).filter("reply IS NOT NULL AND open_rows > 0")
+    answer = F.struct("reply.sent_at", "reply.reply_id", "reply.responded_by")
     single = (
-        counted.groupBy("reply_id")
+        counted.groupBy("reply.reply_id")
         .agg(
             F.sum("open_rows").alias("n"),
             F.min(F.struct("lookup", "open_mark")).alias("only"),
-            F.min("moment").alias("sent_at"),
+            F.min(answer).alias("answer"),
         )
         .filter("n = 1")
-        .select("reply_id", "sent_at", F.col("only.lookup").alias("lookup"), F.col("only.open_mark").alias("mark"))
+        .select(F.col("only.lookup").alias("lookup"), F.col("only.open_mark").alias("mark"), "answer")
     )
     # the open interval guards against two messages with one mark
-    hit = single.join(unit.select("lookup", "mark", "sla_id", "received_at", "closed"), ["lookup", "mark"]).filter(
-        (F.col("received_at") < F.col("sent_at"))
-        & (
-            F.col("closed").isNull()
-            | (F.struct(F.col("closed.sent_at"), F.col("closed.reply_id")) >= F.struct("sent_at", "reply_id"))
-        )
+    ends = F.struct("closed.sent_at", "closed.reply_id")
+    asked = F.struct("answer.sent_at", "answer.reply_id")
+    hit = single.join(customers.select("lookup", "mark", "sla_id", "received_at", "closed"), ["lookup", "mark"]).filter(
+        (F.col("received_at") < F.col("answer.sent_at")) & (F.col("closed").isNull() | (ends >= asked))
     )
-    who = replies.select("reply_id", F.col("mailbox").alias("responded_by"))
-    answers = hit.select("sla_id", "reply_id", "sent_at").join(who, "reply_id")
-    return answers.groupBy("sla_id").agg(F.min(F.struct("sent_at", "reply_id", "responded_by")).alias("fallback"))
+    return hit.groupBy("sla_id").agg(F.min("answer").alias("fallback"))
 
 
-def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
+def match_replies(slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
     """First answer of every SLA, exactly as if replies were handled one by one in the order they were sent.
 
     Columns: ``sla_id, first_response_at, response_message_id, responded_by, fallback``. A fallback answer changes
     which SLAs later replies find open. The effect is computed in rounds: each round judges all replies against the
     closings of the round before, and because a decision depends on earlier ones only, the rounds settle on the
     sequential outcome. Each round is a fixed number of shuffles and is written to the shared folder.
+
+    The largest conversation and customer are measured first; beyond ``key_limit`` rows their timelines are cut into
+    hours, so that no task orders a whole hot key.
     """
     cleaned = replies.select(
         "reply_id",
@@ -232,14 +266,21 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
         F.lower("customer_email").alias("lookup"),
         "customer_email",
         "received_at",
-        F.xxhash64("sla_id").alias("mark"),
+        F.xxhash64("message_id").alias("mark"),
     )
     cleaned, base = cut_lineage(cleaned), cut_lineage(base)
-    fixed = cut_lineage(base.join(_primary(base, cleaned), "sla_id", "left").drop("customer_email"))
+    hours = hour_of(F.col("moment"))
+    talk, person = _largest_keys(base, cleaned)
+    talk_bucket = hours if talk > key_limit else None
+    person_bucket = hours if person > key_limit else None
+    repeated = base.groupBy("lookup", "message_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = not repeated.isEmpty()
+
+    fixed = cut_lineage(base.join(_primary(base, cleaned, talk_bucket), "sla_id", "left").drop("customer_email"))
     state = fixed.withColumn("closed", F.col("primary"))
     known = None
     while True:
-        found = cut_lineage(_fallback(state, cleaned))
+        found = cut_lineage(_fallback(state, cleaned, copies, talk_bucket, person_bucket))
         if known is not None and not _differ(known, found):
             break
         known = found
@@ -253,14 +294,13 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
             first["sent_at"].alias("first_response_at"),
             first["reply_id"].alias("response_message_id"),
             first["responded_by"].alias("responded_by"),
-            (F.col("primary").isNull() | (F.col("fallback") < F.col("primary"))).alias("fallback"),
+            F.coalesce(F.col("primary").isNull() | (F.col("fallback") < F.col("primary")), F.lit(False)).alias("fallback"),
         )
-        .withColumn("fallback", F.coalesce("fallback", F.lit(False)))
     )
 
 
 def _differ(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two settled answer tables disagree anywhere; stops at the first difference."""
+    """Whether two answer tables disagree anywhere; stops at the first difference."""
     both = a.select("sla_id", F.col("fallback").alias("x")).join(
         b.select("sla_id", F.col("fallback").alias("y")), "sla_id", "full"
     )

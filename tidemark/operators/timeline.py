@@ -2,7 +2,8 @@
 
 A key's timeline is cut into buckets (for example hours). Totals per (key, bucket) are pre-aggregated and carried
 forward over the few rows that remain per key, and only the rows of one bucket are ordered together. Cost is linear
-in the rows, whatever the size of the largest key.
+in the rows, whatever the size of the largest key. Callers that have measured their largest key and found it small
+pass no bucket and save the extra shuffles.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     order: Sequence[Column],
     sums: Mapping[str, Column] | None = None,
     xors: Mapping[str, Column] | None = None,
@@ -46,6 +47,11 @@ def running_totals(
     ``bucket`` must not decrease along ``order`` and keys must not be null.
     """
     sums, xors = dict(sums or {}), dict(xors or {})
+    if bucket is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns(
+            {n: F.sum(c).over(whole) for n, c in sums.items()} | {n: F.bit_xor(c).over(whole) for n, c in xors.items()}
+        )
     cut = df.withColumn(BUCKET, bucket)
     per_bucket = cut.groupBy(*keys, BUCKET).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.bit_xor(c).alias(n) for n, c in xors.items()]
@@ -68,22 +74,22 @@ def running_totals(
 
 
 def next_value(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
     """Add, per row, the first non-null ``value`` of the rows after it in ``order`` (as-of join, looking forward).
 
     ``value`` must itself sort along ``order``, so that the earliest one of a bucket is its minimum.
     """
+    # frames run backwards: "unbounded following" frames are recomputed per row, "unbounded preceding" ones are not
+    backwards = [F.desc(c) for c in order]
+    if bucket is None:
+        whole = Window.partitionBy(*keys).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(whole))
     cut = df.withColumns({BUCKET: bucket, "_value": value})
     firsts = cut.groupBy(*keys, BUCKET).agg(F.min("_value").alias("_first"))
-    # frames run backwards: "unbounded following" frames are recomputed per row, "unbounded preceding" ones are not
     later = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     carried = firsts.select(*keys, BUCKET, F.last("_first", ignorenulls=True).over(later).alias("_later"))
-    after = (
-        Window.partitionBy(*keys, BUCKET)
-        .orderBy(*[F.desc(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    after = Window.partitionBy(*keys, BUCKET).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.withColumn("_inside", F.last("_value", ignorenulls=True).over(after))
     joined = inside.join(carried, [*keys, BUCKET])
     return joined.withColumn(name, F.coalesce("_inside", "_later")).drop(BUCKET, "_value", "_inside", "_later")

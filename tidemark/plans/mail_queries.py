@@ -685,15 +685,15 @@ def queue_after_outcomes(spark, d):
     rows, reports = tb.queue(spark, d), tb.queue_outcomes(spark, d)
     done = qu.apply_outcomes(rows, reports)
     # the spread of a retry time is hash-based; what is compared is the pause without it
-    retried = (F.col("status") == "FAILED") & (F.col("updated_at") != F.col("_before"))
-    return done.join(rows.select("id", F.col("updated_at").alias("_before"), F.col("status").alias("_was")), "id").select(
+    retried = (F.col("status") == "FAILED") & (F.col("_was") == "PROCESSING")
+    return done.join(rows.select("id", F.col("status").alias("_was")), "id").select(
         "id",
         "status",
         "attempt_count",
         "defer_count",
         "error_message",
-        F.when(~(retried & (F.col("_was") == "PROCESSING")), F.col("next_attempt_at")).alias("deferred_until"),
-        F.when(retried & (F.col("_was") == "PROCESSING"), qu.transient_retry_seconds(F.col("attempt_count"))).alias("least_pause"),
+        F.when(~retried, F.col("next_attempt_at")).alias("deferred_until"),
+        F.when(retried, qu.transient_retry_seconds(F.col("attempt_count"))).alias("least_pause"),
     )
 
 

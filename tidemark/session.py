@@ -59,3 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder so that later rounds survive lost executors."""
     scratch_root(df.sparkSession)
     return df.checkpoint()
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keyed stateful streams need the RocksDB state store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
