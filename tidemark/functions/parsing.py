@@ -36,7 +36,9 @@ _PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
 def parse_instant(text: Column) -> Column:
     """ISO-8601 with an offset, else null; ``try_`` because ANSI casts raise."""
     value = F.upper(text)
-    return F.when(F.rlike(value, F.lit(ISO_INSTANT)), F.try_to_timestamp(value))
+    # seconds may be left out, which Spark's own parser does not take together with an offset
+    complete = F.regexp_replace(value, r"^(.{10}T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    return F.when(F.rlike(value, F.lit(ISO_INSTANT)), F.try_to_timestamp(complete))
 
 
 def is_after(text: Column, boundary: Column) -> Column:
@@ -71,26 +73,39 @@ def _flag(text: Column) -> Column:
     return F.coalesce((F.lower(text) == "true") | (number != 0), F.lit(False))
 
 
-def read_reply(reply: Column, finish_reason: Column) -> Column:
-    """Struct ``(outcome, response_required, tasks)`` of a model reply.
+def reply_root(text: Column) -> Column:
+    """Top-level fields of a cleaned reply; ``_broken`` is set where it is no JSON object."""
+    return F.from_json(text, REPLY_SCHEMA, _PERMISSIVE)
 
-    outcome: OK, EMPTY (blank reply), TRUNCATED (stopped by the length limit, never read) or UNREADABLE.
-    ``tasks`` holds the usable items only: those with a title.
-    """
-    text = clean_reply(reply)
-    bare = F.startswith(text, F.lit("["))
-    root = F.from_json(text, REPLY_SCHEMA, _PERMISSIVE)
-    listed = F.when(bare, text).otherwise(strip(root["tasks"]))
-    items = F.from_json(listed, "array<string>")
-    readable = F.startswith(listed, F.lit("[")) & items.isNotNull() & (bare | root["_broken"].isNull())
-    outcome = (
+
+def is_bare_list(text: Column) -> Column:
+    return F.startswith(text, F.lit("["))
+
+
+def reply_items(text: Column, root: Column) -> Column:
+    """The listed tasks as JSON texts; null where the reply lists none in a readable way."""
+    listed = F.when(is_bare_list(text), text).when(root["_broken"].isNull(), strip(root["tasks"]))
+    return F.when(is_bare_list(listed), F.from_json(listed, "array<string>"))
+
+
+def reply_outcome(reply: Column, finish_reason: Column, items: Column) -> Column:
+    """OK, EMPTY (blank reply), TRUNCATED (stopped by the length limit, never read) or UNREADABLE."""
+    return (
         F.when(is_blank(reply), "EMPTY")
         .when(finish_reason == "length", "TRUNCATED")
-        .when(F.coalesce(readable, F.lit(False)), "OK")
+        .when(items.isNotNull(), "OK")
         .otherwise("UNREADABLE")
     )
+
+
+def reply_needs_answer(text: Column, root: Column) -> Column:
+    return ~is_bare_list(text) & _flag(root["responseRequired"])
+
+
+def reply_tasks(items: Column) -> Column:
+    """Tasks with a title, their fields cleaned."""
     parsed = F.transform(items, lambda item: F.from_json(item, TASK_SCHEMA))
-    tasks = F.transform(
+    return F.transform(
         F.filter(parsed, lambda t: text_or_null(t["task"]).isNotNull()),
         lambda t: F.struct(
             text_or_null(t["task"]).alias("title"),
@@ -99,12 +114,6 @@ def read_reply(reply: Column, finish_reason: Column) -> Column:
             priority_or_medium(t["priority"]).alias("priority"),
         ),
     )
-    ok = outcome == "OK"
-    return F.struct(
-        outcome.alias("outcome"),
-        F.when(ok, ~bare & _flag(root["responseRequired"])).alias("response_required"),
-        F.when(ok, tasks).alias("tasks"),
-    )
 
 
 def read_verdict(content: Column, finish_reason: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions.vectors import cosine, norm
 from .timeline import first_per_key, running_totals
 
 SCOPE = ("source_mailbox", "normalized_sender")
-GROUP = (*SCOPE, "task_fingerprint")
+GROUP = ("task_fingerprint", *SCOPE)  # the near-unique part first: sorts compare it first
 SIMILARITY_THRESHOLD = 0.75
 CANDIDATES = 3
 
@@ -103,7 +103,7 @@ def resolve_exact(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     scoped = F.col("source_mailbox").isNotNull() & F.col("normalized_sender").isNotNull()
     undecided = F.col("_known_id").isNull() & F.col("_old_id").isNull()
     # rows without scope compete only with rows of their own message
-    rival = F.when(scoped, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(GROUP)])).otherwise(
+    rival = F.when(scoped, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate((*SCOPE, "task_fingerprint"))])).otherwise(
         F.struct(
             F.lit("").alias("k0"),
             F.coalesce("source_email_id", F.concat(F.lit("row:"), F.col("id"))).alias("k1"),

@@ -763,9 +763,10 @@ def deferred_messages(spark, d):
     return qu.entries(tb.queue(spark, d), "DEFERRED")
 
 
-@registry.add("SELECT status FROM queue WHERE mailbox_user_id = 'mbx5' AND message_id = 'm70'")
+@registry.add("SELECT mailbox_user_id, status, status = 'COMPLETED' AS is_completed FROM queue WHERE message_id = 'm70'")
 def queue_status_lookup(spark, d):
-    return tb.queue(spark, d).filter("mailbox_user_id = 'mbx5' AND message_id = 'm70'").select("status")
+    found = tb.queue(spark, d).filter("message_id = 'm70'")
+    return found.select("mailbox_user_id", "status", (F.col("status") == "COMPLETED").alias("is_completed"))
 
 
 @registry.add("SELECT created_at FROM queue WHERE created_at >= TIMESTAMP '2024-01-13'")

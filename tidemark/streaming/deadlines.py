@@ -76,7 +76,8 @@ class DeadlineTracker(StatefulProcessor):
         yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # everything due by the watermark is handled at once, not only what this timer was set for
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         before = {k[0]: v for k, v in self.waiting.iterator()}
         waiting, out = dict(before), []
         for sla_id, (received, deadline, address, breached) in before.items():
