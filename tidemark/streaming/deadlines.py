@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,27 +54,24 @@ class DeadlineTracker(StatefulProcessor):
             "waiting", "sla_id string", "received_us bigint, deadline_us bigint, address string, breached boolean"
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # one key's share of one micro-batch; the trigger size bounds it
-        batch = pd.concat(list(rows))
-        batch["us"] = batch["moment"].astype("datetime64[us]").astype("int64")
-        # replies at the moment of a message come before it: they cannot answer it
-        batch["is_opening"] = batch["sla_id"].notna()
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = {k[0]: v for k, v in self.waiting.iterator()}
         waiting, out = dict(before), []
-        for row in batch.sort_values(["us", "is_opening", "reply_id"]).itertuples():
-            if row.is_opening:
-                waiting[row.sla_id] = (int(row.us), int(row.deadline_us), row.address, False)
+        # one key's share of one micro-batch, bounded by the trigger size; replies at the moment of a message come
+        # before it, as they cannot answer it
+        for row in sorted(rows, key=lambda r: (r.us, r.sla_id is not None, r.reply_id or "")):
+            if row.sla_id is not None:
+                waiting[row.sla_id] = (row.us, row.deadline_us, row.address, False)
                 continue
             named = set(row.recipients)
             for sla_id in [k for k, v in waiting.items() if v[0] < row.us and v[2] in named]:
                 _, deadline, _, breached = waiting.pop(sla_id)
                 kind = "LATE" if breached or row.us > deadline else "COMPLETED"
-                out.append((sla_id, kind, int(row.us), row.reply_id, key[1]))
+                out.append(_event(sla_id, kind, row.us, row.reply_id, key[1]))
         self._store(before, waiting)
-        yield _frame(out)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # everything due by the watermark is handled at once, not only what this timer was set for
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         before = {k[0]: v for k, v in self.waiting.iterator()}
@@ -84,11 +80,11 @@ class DeadlineTracker(StatefulProcessor):
             if deadline + self.keep_us < now:
                 del waiting[sla_id]
             elif deadline < now and not breached:
-                out.append((sla_id, "BREACHED", deadline, None, None))
+                out.append(_event(sla_id, "BREACHED", deadline, None, None))
                 # keep waiting: a late answer is still recorded, until the retention ends
                 waiting[sla_id] = (received, deadline, address, True)
         self._store(before, waiting)
-        yield _frame(out)
+        return iter(out)
 
     def _store(self, before: dict, waiting: dict) -> None:
         """Write what changed and set one timer, for the next thing that can happen without a row."""
@@ -105,17 +101,22 @@ class DeadlineTracker(StatefulProcessor):
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["sla_id", "kind", "at_us", "reply_id", "responded_by"])
+def _event(sla_id: str, kind: str, at_us: int, reply_id: str | None, responded_by: str | None) -> Row:
+    return Row(sla_id=sla_id, kind=kind, at_us=at_us, reply_id=reply_id, responded_by=responded_by)
 
 
 def track_deadlines(events: DataFrame, delay: str = "1 hour", keep_days: int = 30) -> DataFrame:
-    """Stream of deadline events. Replies older than ``delay`` behind the stream are dropped by the watermark."""
+    """Stream of deadline events.
+
+    Rows more than ``delay`` behind the stream are dropped by the watermark. Micro-batches are taken as they come: a
+    reply that arrives in an earlier batch than its message finds nothing to answer.
+    """
     use_keyed_state(events.sparkSession)
     return (
         events.withWatermark("moment", delay)
+        .withColumn("us", F.unix_micros("moment"))
         .groupBy("conversation_id", "mailbox")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=DeadlineTracker(keep_days),
             outputStructType=OUTPUT,
             outputMode="Append",

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +17,7 @@ OUTPUT = (
     "mailbox_user_id string, message_id string, at_us bigint, action string, accepted boolean, status string, "
     "attempt_count int, defer_count int, next_attempt_us bigint"
 )
+COLUMNS = [field.split()[0] for field in OUTPUT.split(", ")]
 STATE = (
     "status string, attempts int, defers int, first_deferred_us bigint, next_us bigint, claimed_us bigint, "
     "claimed_by string"
@@ -30,7 +30,7 @@ def commands(raw: DataFrame, policy: QueuePolicy = POLICY) -> DataFrame:
     return raw.select(
         "mailbox_user_id",
         "message_id",
-        "moment",
+        F.unix_micros("moment").alias("us"),
         "seq",
         "action",
         "worker",
@@ -96,18 +96,17 @@ class QueueMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = handle.getValueState("row", STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        batch["us"] = batch["moment"].astype("datetime64[us]").astype("int64")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = tuple(self.row.get()) if self.row.exists() else FRESH
         out = []
-        for c in batch.sort_values(["us", "seq"]).itertuples():
-            worker = c.worker if isinstance(c.worker, str) else None
-            after = step(state, c.action, worker, int(c.us), c.category, int(c.retry_minutes), self.policy)
+        # one key's share of one micro-batch, bounded by the trigger size
+        for c in sorted(rows, key=lambda r: (r.us, r.seq)):
+            after = step(state, c.action, c.worker, c.us, c.category, c.retry_minutes, self.policy)
             state = after or state
-            out.append((*key, int(c.us), c.action, after is not None, state[0], state[1], state[2], state[4]))
+            values = (*key, c.us, c.action, after is not None, state[0], state[1], state[2], state[4])
+            out.append(Row(**dict(zip(COLUMNS, values))))
         self.row.update(state)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in OUTPUT.split(", ")])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -119,7 +118,7 @@ def queue_stream(stream: DataFrame, policy: QueuePolicy = POLICY) -> DataFrame:
     return (
         commands(stream, policy)
         .groupBy("mailbox_user_id", "message_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=QueueMachine(policy), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
         )
     )
