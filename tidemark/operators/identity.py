@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import local_part, name_from_email
 from ..functions.text import blank_to_null, is_blank
-from .timeline import first_per_key
+from .timeline import first_per_key, spread_nulls
 
 
 def _key(text: Column) -> Column:
@@ -96,8 +96,8 @@ def reassign_tasks(tasks: DataFrame, plan: DataFrame) -> DataFrame:
     joined = (
         tasks.withColumns(
             {
-                "_email": _key(F.col("assignee_email")),
-                "_name": F.when(F.col("assignee_email").isNull(), _key(F.col("assignee"))),
+                "_email": spread_nulls(_key(F.col("assignee_email")), tasks),
+                "_name": spread_nulls(F.when(F.col("assignee_email").isNull(), _key(F.col("assignee"))), tasks),
             }
         )
         .join(by_email, "_email", "left")
@@ -123,7 +123,7 @@ def resolve_by_mailbox(rows: DataFrame, employees: DataFrame, mailbox: str = "ma
     ).select("_email", owner.alias("_by_email"))
     box = blank_to_null(F.col(mailbox))
     found = (
-        rows.withColumns({"_id": box, "_email": F.lower(box)}).join(by_id, "_id", "left").join(by_email, "_email", "left")
+        rows.withColumns({"_id": spread_nulls(box, rows), "_email": spread_nulls(F.lower(box), rows)}).join(by_id, "_id", "left").join(by_email, "_email", "left")
     )
     who = F.coalesce("_by_id", "_by_email")
     return found.withColumns({"assignee": who["name"], "assignee_email": who["email"]}).drop(
@@ -136,7 +136,8 @@ def email_of_name(rows: DataFrame, employees: DataFrame, name: str = "name") ->
     lookup = first_per_key(employees.withColumn("_name", F.lower("name")), ["_name"], [F.asc("id")]).select(
         "_name", F.col("email").alias("assignee_email")
     )
-    return rows.withColumn("_name", F.lower(blank_to_null(F.col(name)))).join(lookup, "_name", "left").drop("_name")
+    key = spread_nulls(F.lower(blank_to_null(F.col(name))), rows)
+    return rows.withColumn("_name", key).join(lookup, "_name", "left").drop("_name")
 
 
 def name_of_email(rows: DataFrame, employees: DataFrame, email: str, name: str) -> DataFrame:
@@ -145,7 +146,7 @@ def name_of_email(rows: DataFrame, employees: DataFrame, email: str, name: str)
         "_email", blank_to_null(F.col("name")).alias("_found")
     )
     return (
-        rows.withColumn("_email", F.lower(F.trim(F.col(email))))
+        rows.withColumn("_email", spread_nulls(F.lower(blank_to_null(F.col(email))), rows))
         .join(lookup, "_email", "left")
         .withColumn(name, F.coalesce("_found", F.trim(F.col(email))))
         .drop("_email", "_found")
@@ -177,7 +178,9 @@ def upsert_employees(employees: DataFrame, users: DataFrame) -> DataFrame:
         F.col("microsoft_user_id").alias("user_id"), F.col("id").alias("id_row")
     )
     matched = (
-        people.withColumns({"_email": F.lower("email"), "_name": F.lower("name")})
+        people.withColumns(
+            {"_email": spread_nulls(F.lower("email"), people), "_name": spread_nulls(F.lower("name"), people)}
+        )
         .join(by_id, "user_id", "left")
         .join(lookup("email", "email"), "_email", "left")
         .join(lookup("name", "name"), "_name", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import normalize_sender
@@ -19,24 +19,17 @@ def apply_commands(tasks: DataFrame, commands: DataFrame, employees: DataFrame)
     kept as given and the name comes from the directory, or is the address.
     """
 
-    def last(action: str, value) -> F.Column:
+    def last(action: str, value: Column) -> Column:
         return F.max(F.when(F.col("action") == action, F.struct("at", "seq", value.alias("value"))))
 
-    named = name_of_email(commands, employees, "value", "_person")
-    folded = (
-        named.groupBy(F.col("task_id").alias("id"))
-        .agg(
-            last("set_status", F.col("value")).alias("_status"),
-            last("set_priority", F.col("value")).alias("_priority"),
-            F.max(
-                F.when(
-                    F.col("action") == "set_assignee",
-                    F.struct("at", "seq", F.col("value").alias("value"), F.col("_person").alias("person")),
-                )
-            ).alias("_assignee"),
-            F.max(F.when(F.col("action").isin("set_status", "set_priority", "set_assignee"), F.col("at"))).alias("_touched"),
-        )
+    folded = commands.groupBy(F.col("task_id").alias("id")).agg(
+        last("set_status", F.col("value")).alias("_status"),
+        last("set_priority", F.col("value")).alias("_priority"),
+        last("set_assignee", F.col("value")).alias("_assignee"),
+        F.max(F.when(F.col("action").isin("set_status", "set_priority", "set_assignee"), F.col("at"))).alias("_touched"),
     )
+    # names are looked up for what is left of each task's commands, not for every command
+    folded = name_of_email(folded.withColumn("_address", F.col("_assignee.value")), employees, "_address", "_person")
     given = F.col("_assignee").isNotNull()
     cleared = is_blank(F.col("_assignee.value"))
     return (
@@ -45,14 +38,14 @@ def apply_commands(tasks: DataFrame, commands: DataFrame, employees: DataFrame)
             {
                 "status": F.coalesce("_status.value", "status"),
                 "priority": F.coalesce("_priority.value", "priority"),
-                "assignee": F.when(given, F.when(~cleared, F.col("_assignee.person"))).otherwise(F.col("assignee")),
+                "assignee": F.when(given, F.when(~cleared, F.col("_person"))).otherwise(F.col("assignee")),
                 "assignee_email": F.when(given, F.when(~cleared, F.col("_assignee.value"))).otherwise(
                     F.col("assignee_email")
                 ),
                 "updated_at": F.coalesce("_touched", "updated_at"),
             }
         )
-        .drop("_status", "_priority", "_assignee", "_touched")
+        .drop("_status", "_priority", "_assignee", "_touched", "_address", "_person")
     )
 
 

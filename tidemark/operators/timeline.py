@@ -20,6 +20,14 @@ def hour_of(moment: Column) -> Column:
     return F.floor(F.unix_micros(moment) / 3_600_000_000).cast("bigint")
 
 
+def spread_nulls(key: Column, rows: DataFrame) -> Column:
+    """``key`` for an outer join, with nulls replaced by texts that match nothing.
+
+    Null keys never match, but hashing would send all of them to one task.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string")))
+
+
 def rank_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str = "_rank") -> DataFrame:
     """The first ``k`` rows per key in ``order``.
 
