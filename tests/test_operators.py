@@ -46,7 +46,9 @@ def test_rank_first_limits_before_the_shuffle(spark):
 def test_candidates_equal_brute_force(spark):
     rows = [(i, f"b{i % 2}", (i * 37) % 50) for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, block string, at bigint")
+    cut = dedup.recent_candidates(df, df, ["block"], ["at"], F.expr("at div 8"), 3, key_limit=0).collect()
     got = dedup.recent_candidates(df, df, ["block"], ["at"], F.expr("at div 8"), 3).collect()
+    assert sorted(got) == sorted(cut)
     expected = set()
     for i, b, at in rows:
         older = sorted([(r[2], r[0]) for r in rows if r[1] == b and r[2] < at], reverse=True)[:3]

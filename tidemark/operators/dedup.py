@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import task_fingerprint
 from ..functions.vectors import cosine, norm
-from .timeline import first_per_key, running_totals
+from .timeline import KEY_LIMIT, bucket_if_hot, first_per_key, running_totals
 
 SCOPE = ("source_mailbox", "normalized_sender")
 GROUP = ("task_fingerprint", *SCOPE)  # the near-unique part first: sorts compare it first
@@ -146,23 +146,30 @@ def exact_audit(decisions: DataFrame) -> DataFrame:
 
 
 def recent_candidates(
-    fresh: DataFrame, existing: DataFrame, block: Sequence[str], order: Sequence[str], bucket: Column, k: int = CANDIDATES
+    fresh: DataFrame,
+    existing: DataFrame,
+    block: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    k: int = CANDIDATES,
+    key_limit: int = KEY_LIMIT,
 ) -> DataFrame:
     """The ``k`` latest existing rows before each fresh row of the same block.
 
-    Existing rows are numbered per block with a bucketed running count, so a block is never gathered in one task and
-    no pairs beyond the ``k`` per row arise. Both sides carry an ``id``; rows with a null block key have no candidates.
+    Existing rows are numbered per block with a running count, so no pairs beyond the ``k`` per row arise. If a block
+    exceeds ``key_limit`` rows the count runs in buckets, so that no task orders a whole hot block. Both sides carry an ``id``; rows with a null block key have no candidates.
     """
     usable = " AND ".join(f"{c} IS NOT NULL" for c in block)
     columns = list(dict.fromkeys(["id", *block, *order]))
     lanes = fresh.select(*columns, F.lit(False).alias("_old")).unionByName(
         existing.select(*columns, F.lit(True).alias("_old"))
     )
+    lanes = lanes.filter(usable)
     # at equal order values fresh rows come first: candidates are strictly earlier
     numbered = running_totals(
-        lanes.filter(usable),
+        lanes,
         block,
-        bucket,
+        bucket_if_hot(lanes, block, bucket, key_limit),
         [*[F.asc(c) for c in order], F.asc("_old"), F.asc("id")],
         sums={"_n": F.col("_old").cast("bigint")},
     )
@@ -192,13 +199,12 @@ def decide_similar(scored: DataFrame, verdicts: DataFrame, threshold: float = SI
     wins. Otherwise any missing verdict defers the row (UNAVAILABLE before MALFORMED). Otherwise the row is created,
     with an audit entry for the first AMBIGUOUS candidate.
     """
-    checked = scored.filter(F.col("score").isNull() | (F.col("score") >= threshold)).join(
-        verdicts, ["new_id", "candidate_id"], "left"
-    )
+    checked = scored.join(verdicts, ["new_id", "candidate_id"], "left")
+    needed = F.col("score").isNull() | (F.col("score") >= threshold)
     answer = F.coalesce("outcome", F.lit("UNAVAILABLE"))
 
     def first(condition: Column) -> Column:
-        return F.min(F.when(condition, F.struct("candidate_rank", "candidate_id", "reason")))
+        return F.min(F.when(needed & condition, F.struct("candidate_rank", "candidate_id", "reason")))
 
     ruled = checked.groupBy("new_id").agg(
         first((answer == "VERDICT") & (F.col("verdict") == "SAME")).alias("same"),
@@ -214,14 +220,12 @@ def decide_similar(scored: DataFrame, verdicts: DataFrame, threshold: float = SI
         .otherwise("CREATE")
     )
     matched = F.coalesce("same", "unavailable", "malformed", "ambiguous")
-    decided = ruled.select(
+    return ruled.select(
         "new_id",
         decision.alias("decision"),
         matched["candidate_id"].alias("matched_task_id"),
         matched["reason"].alias("match_reason"),
     )
-    everyone = scored.select("new_id").distinct()
-    return everyone.join(decided, "new_id", "left").withColumn("decision", F.coalesce("decision", F.lit("CREATE")))
 
 
 def similar_audit(decisions: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions.parsing import parse_instant, round1, whole_minutes
 from ..functions.text import blank_to_null, is_blank, strip
 from ..session import cut_lineage
 from .tasks import calendar, clamp
-from .timeline import first_per_key, hour_of, next_value, running_totals
+from .timeline import KEY_LIMIT, bucket_if_hot, first_per_key, hour_of, next_value, running_totals
 
 KEY = ("mailbox_user_id", "message_id")
 
@@ -86,27 +86,6 @@ def open_slas(
 # -- reply matching -----------------------------------------------------------------------------------------------
 
 
-# Largest number of timeline rows of one key that may be ordered in one task; bigger keys are cut into hours.
-KEY_LIMIT = 1_000_000
-
-
-def _largest_keys(slas: DataFrame, replies: DataFrame) -> tuple[int, int]:
-    """Most timeline rows of any conversation and of any customer address."""
-
-    def keyed(df: DataFrame, kind: str, key: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"), F.col(key).alias("key")).filter("key IS NOT NULL")
-
-    talks = keyed(slas, "talk", "conversation_id").unionByName(keyed(replies, "talk", "conversation_id"))
-    named = replies.select(F.explode("recipients").alias("lookup"))
-    people = keyed(slas, "person", "lookup").unionByName(keyed(named, "person", "lookup"))
-    sizes = talks.unionByName(people).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(
-        F.max(F.when(F.col("kind") == "talk", F.col("n"))).alias("talk"),
-        F.max(F.when(F.col("kind") == "person", F.col("n"))).alias("person"),
-    ).first()
-    return row["talk"] or 0, row["person"] or 0
-
-
 def _primary(slas: DataFrame, replies: DataFrame, bucket: Column | None) -> DataFrame:
     """Earliest reply in the message's conversation and mailbox that names the customer, per SLA.
 
@@ -270,9 +249,10 @@ def match_replies(slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMI
     )
     cleaned, base = cut_lineage(cleaned), cut_lineage(base)
     hours = hour_of(F.col("moment"))
-    talk, person = _largest_keys(base, cleaned)
-    talk_bucket = hours if talk > key_limit else None
-    person_bucket = hours if person > key_limit else None
+    talks = base.select("conversation_id").unionByName(cleaned.select("conversation_id")).dropna()
+    people = base.select("lookup").unionByName(cleaned.select(F.explode("recipients").alias("lookup"))).dropna()
+    talk_bucket = bucket_if_hot(talks, ["conversation_id"], hours, key_limit)
+    person_bucket = bucket_if_hot(people, ["lookup"], hours, key_limit)
     repeated = base.groupBy("lookup", "message_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = not repeated.isEmpty()
 

@@ -265,12 +265,12 @@ def attention_split(df: DataFrame, as_of: date, top: int = 6) -> DataFrame:
     flagged = df.withColumn(
         "reason", F.when(is_overdue(as_of), "overdue").when(is_urgent(), "priority")
     ).filter("reason IS NOT NULL")
-    counts = flagged.agg(
-        F.count_if(F.col("reason") == "overdue").alias("overdue_count"),
-        F.count_if(F.col("reason") == "priority").alias("high_priority_count"),
-    )
     best = flagged.orderBy("reason", F.asc_nulls_last("due_date"), "id").limit(top)
-    return best.select(*CARD_COLUMNS, "reason").join(F.broadcast(counts))  # one row
+    counts = {
+        "overdue_count": flagged.agg(F.count_if(F.col("reason") == "overdue")),
+        "high_priority_count": flagged.agg(F.count_if(F.col("reason") == "priority")),
+    }
+    return best.select(*CARD_COLUMNS, "reason", *[df.scalar().alias(n) for n, df in counts.items()])
 
 
 def upcoming_deadlines(df: DataFrame, as_of: date, top: int = 5) -> DataFrame:

@@ -20,6 +20,16 @@ def hour_of(moment: Column) -> Column:
     return F.floor(F.unix_micros(moment) / 3_600_000_000).cast("bigint")
 
 
+# Largest number of rows of one key that may be ordered in one task; bigger keys are cut into buckets.
+KEY_LIMIT = 1_000_000
+
+
+def bucket_if_hot(df: DataFrame, keys: Sequence[str], bucket: Column, limit: int = KEY_LIMIT) -> Column | None:
+    """``bucket`` where some key has more than ``limit`` rows, else ``None``. Counts rows per key; no row reaches the driver."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return bucket if not sizes.filter(F.col("n") > limit).isEmpty() else None
+
+
 def spread_nulls(key: Column, rows: DataFrame) -> Column:
     """``key`` for an outer join, with nulls replaced by texts that match nothing.
 
