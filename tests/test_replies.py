@@ -62,6 +62,12 @@ def test_hot_keys_take_the_bucketed_path(spark):
     assert matched(spark, slas, replies, key_limit=0) == replay(slas, replies)
 
 
+@pytest.mark.parametrize("seed, customers, talks, n", [(6, 60, 40, 260), (7, 40, 3, 260)])
+def test_narrowed_rounds_equal_replay(spark, seed, customers, talks, n):
+    slas, replies = mailboxes(seed, customers, talks, n)
+    assert matched(spark, slas, replies, narrow_from=0) == replay(slas, replies)
+
+
 def test_order_of_rows_does_not_matter(spark):
     slas, replies = mailboxes(5, 4, 2, 80)
     expected = matched(spark, slas, replies)

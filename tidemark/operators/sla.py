@@ -152,10 +152,17 @@ def _open_close(rows: DataFrame, key: str, open_phase: int, nobody: Column) -> D
 _REPLY = "struct<reply_id: string, sent_at: timestamp, responded_by: string, recipients: array<string>>"
 
 
-def _fallback(
-    state: DataFrame, replies: DataFrame, copies: bool, talk_bucket: Column | None, person_bucket: Column | None
+def _fallback_hits(
+    talkers: DataFrame,
+    customers: DataFrame,
+    replies: DataFrame,
+    copies: bool,
+    talk_bucket: Column | None,
+    person_bucket: Column | None,
 ) -> DataFrame:
-    """Fallback answers given the closings known so far.
+    """Fallback answers ``(reply_id, sla_id, answer)`` of the replies given the closings known so far.
+
+    ``talkers`` holds at least the SLAs of the replies' conversations, ``customers`` those of the people they name.
 
     A reply may use the fallback if no open SLA shares its conversation. It then answers the only open SLA of all
     customers it names, if there is exactly one. Open SLAs are counted with running sums over time; the running
@@ -169,12 +176,12 @@ def _fallback(
     spoken = replies.filter("conversation_id IS NOT NULL").select(
         "conversation_id", *_axis(F.col("sent_at"), 1, F.col("reply_id"), 0, 0, zero, whole)
     )
-    talks = _open_close(state.filter("conversation_id IS NOT NULL"), "conversation_id", 0, nobody).unionByName(spoken)
+    talks = _open_close(talkers.filter("conversation_id IS NOT NULL"), "conversation_id", 0, nobody).unionByName(spoken)
     gated = running_totals(talks, ["conversation_id"], talk_bucket, order, sums={"open_rows": F.col("change")})
     silent = replies.filter("conversation_id IS NULL").select(whole.alias("reply"))
     asking = gated.filter("reply IS NOT NULL AND open_rows = 0").select("reply").unionByName(silent)
 
-    customers = state.filter("lookup IS NOT NULL")
+    customers = customers.filter("lookup IS NOT NULL")
     if copies:
         # copies of one message in several mailboxes are one candidate; it is open while any copy is
         customers = (
@@ -216,16 +223,36 @@ def _fallback(
     hit = single.join(customers.select("lookup", "mark", "sla_id", "received_at", "closed"), ["lookup", "mark"]).filter(
         (F.col("received_at") < F.col("answer.sent_at")) & (F.col("closed").isNull() | (ends >= asked))
     )
-    return hit.groupBy("sla_id").agg(F.min("answer").alias("fallback"))
+    return hit.select(F.col("answer.reply_id").alias("reply_id"), "sla_id", "answer")
+
+
+def _first_hits(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("sla_id").agg(F.min("answer").alias("fallback"))
+
 
+def _to_judge_again(changed: DataFrame, slas: DataFrame, replies: DataFrame) -> DataFrame:
+    """Replies whose decision can depend on the changed SLAs: same conversation, or naming the same customer."""
+    touched = slas.join(changed.select("sla_id"), "sla_id", "left_semi").select("conversation_id", "lookup")
+    same_talk = replies.join(touched.select("conversation_id"), "conversation_id", "left_semi").select("reply_id")
+    named = replies.select("reply_id", F.explode("recipients").alias("lookup"))
+    same_person = named.join(touched.select("lookup"), "lookup", "left_semi").select("reply_id")
+    return replies.join(same_talk.unionByName(same_person), "reply_id", "left_semi")
 
-def match_replies(slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMIT) -> DataFrame:
+
+# From this number of SLAs on, rounds with few changes look only at the replies those changes can reach.
+NARROW_FROM = 5_000_000
+
+
+def match_replies(
+    slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMIT, narrow_from: int = NARROW_FROM
+) -> DataFrame:
     """First answer of every SLA, exactly as if replies were handled one by one in the order they were sent.
 
     Columns: ``sla_id, first_response_at, response_message_id, responded_by, fallback``. A fallback answer changes
     which SLAs later replies find open. The effect is computed in rounds: each round judges all replies against the
     closings of the round before, and because a decision depends on earlier ones only, the rounds settle on the
-    sequential outcome. Each round is a fixed number of shuffles and is written to the shared folder.
+    sequential outcome. Each round is a fixed number of shuffles and is written to the shared folder. On large inputs,
+    a round after few changes judges only the replies that share a conversation or a customer with a changed SLA.
 
     The largest conversation and customer are measured first; beyond ``key_limit`` rows their timelines are cut into
     hours, so that no task orders a whole hot key.
@@ -258,13 +285,27 @@ def match_replies(slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMI
 
     fixed = cut_lineage(base.join(_primary(base, cleaned, talk_bucket), "sla_id", "left").drop("customer_email"))
     state = fixed.withColumn("closed", F.col("primary"))
-    known = None
+    options = (copies, talk_bucket, person_bucket)
+    total = base.count()
+    hits = cut_lineage(_fallback_hits(state, state, cleaned, *options))
+    known = _first_hits(hits)
+    changed, n_changed = known, total
     while True:
-        found = cut_lineage(_fallback(state, cleaned, copies, talk_bucket, person_bucket))
-        if known is not None and not _differ(known, found):
+        state = fixed.join(known, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
+        if total >= narrow_from and n_changed * 20 < total:
+            again = cut_lineage(_to_judge_again(changed, fixed, cleaned))
+            talkers = state.join(again.select("conversation_id"), "conversation_id", "left_semi")
+            named = again.select(F.explode("recipients").alias("lookup"))
+            customers = state.join(named, "lookup", "left_semi")
+            kept = hits.join(again.select("reply_id"), "reply_id", "left_anti")
+            hits = cut_lineage(kept.unionByName(_fallback_hits(talkers, customers, again, *options)))
+        else:
+            hits = cut_lineage(_fallback_hits(state, state, cleaned, *options))
+        found = _first_hits(hits)
+        changed = cut_lineage(_changed(known, found))
+        known, n_changed = found, changed.count()
+        if n_changed == 0:
             break
-        known = found
-        state = fixed.join(found, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
     first = F.least("primary", "fallback")
     return (
         fixed.join(known, "sla_id", "left")
@@ -279,12 +320,12 @@ def match_replies(slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMI
     )
 
 
-def _differ(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two answer tables disagree anywhere; stops at the first difference."""
+def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """SLAs on whose fallback answer two rounds disagree."""
     both = a.select("sla_id", F.col("fallback").alias("x")).join(
         b.select("sla_id", F.col("fallback").alias("y")), "sla_id", "full"
     )
-    return not both.filter(~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
+    return both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("sla_id")
 
 
 # -- states -------------------------------------------------------------------------------------------------------
