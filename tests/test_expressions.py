@@ -21,7 +21,7 @@ def test_sender_and_name(spark):
     assert column(spark, ["  Alice@Company.com  ", "Bob.Smith+Tasks@Company.com", None, "   "], ad.normalize_sender) == [
         "alice@company.com", "bob.smith+tasks@company.com", None, None,
     ]
-    given = ["merchant1@jakgroup.in", "  merchant2@jakgroup.in  ", "NotAnEmail", None, " ", "@x"]
+    given = ["merchant1@group.example", "  merchant2@group.example  ", "NotAnEmail", None, " ", "@x"]
     assert column(spark, given, ad.name_from_email) == ["merchant1", "merchant2", "notanemail", None, None, "@x"]
 
 

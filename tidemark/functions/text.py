@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -150,7 +149,3 @@ def html_allow_list(html: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]*>", "")
     return F.translate(text, "\u0001\u0002", "<>")
 
-
-def like_literal(text: str) -> str:
-    """``text`` as a literal inside a regular expression."""
-    return re.escape(text)
