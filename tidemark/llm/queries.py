@@ -49,13 +49,13 @@ def op1_topk_slices(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op1_topk_slices"] = """
 WITH fit AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM fit q JOIN fit c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 50 = 0
 ), ranked AS (
@@ -130,15 +130,15 @@ WITH own AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
 ), bits AS (
   SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, body, hex,
-         list_transform(string_split(hex, ''), c -> strpos('0123456789abcdef', c) - 1) AS d
+         list_transform(string_split(hex, ''), lambda c: strpos('0123456789abcdef', c) - 1) AS d
   FROM own
 ), flat AS (
   SELECT page_id, payload_bytes, body,
-         list_transform(range(0, 160), i -> CAST(floor(d[CAST(floor(i / 4) AS BIGINT) + 1] / (8 >> (i % 4))) AS BIGINT) % 2) AS b
+         list_transform(range(0, 160), lambda i: CAST(floor(d[CAST(floor(i / 4) AS BIGINT) + 1] / (8 >> (i % 4))) AS BIGINT) % 2) AS b
   FROM bits
 ), named AS (
   SELECT page_id, payload_bytes, body,
-         list_aggregate(list_transform(range(0, 160, 5), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_aggregate(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
            CAST(1 + 16 * b[i + 1] + 8 * b[i + 2] + 4 * b[i + 3] + 2 * b[i + 4] + b[i + 5] AS BIGINT), 1)), 'string_agg', '') AS payload_digest
   FROM flat
 ), led AS (

@@ -21,7 +21,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -257,10 +257,10 @@ def unique_documents(docs: DataFrame, radius: int = 3, words: int = 3) -> DataFr
 
     Rows that repeat an id count as one document. Rows with a null id cannot be named by a component; all stay.
     """
-    from pyspark.sql import Window
-
-    kept = near_components(docs, radius, words).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = Window.partitionBy("_kept").orderBy(F.xxhash64(*(docs[c] for c in docs.columns)))
-    chosen = docs.join(kept, docs["doc_id"] == F.col("_kept")).withColumn("_nth", F.row_number().over(one))
-    chosen = chosen.where("_nth = 1").select(*(docs[c] for c in docs.columns))
-    return chosen.unionAll(docs.where(docs["doc_id"].isNull()))
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    own = plain[f"c{columns.index('doc_id')}"]
+    kept = near_components(docs, radius, words).where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    one = Window.partitionBy("kept").orderBy(F.xxhash64(*plain.columns))
+    chosen = plain.join(kept, own == F.col("kept")).withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    return chosen.select(*plain.columns).unionAll(plain.where(own.isNull())).toDF(*columns)
