@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,6 +44,12 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(docs[c] for c in columns))
 
 
+def carrying(docs: DataFrame, carried: tuple[str, ...]) -> tuple[DataFrame, list[T.StructField]]:
+    """The carried columns as c0, c1, ... and the text, so that no name of theirs meets one of ours; and their fields."""
+    chosen = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(carried)), docs["text"].alias("text"))
+    return chosen, list(chosen.schema)[:-1]
+
+
 def batches_of(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about ``most_bytes`` each; a longer single text makes one slice."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

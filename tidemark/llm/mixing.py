@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, saved
+from .common import batches_of, carrying, saved
 
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 4000
@@ -122,7 +122,7 @@ def best_temper(rows: DataFrame, words: np.ndarray, priors: np.ndarray) -> float
 
 def memberships(docs: DataFrame, words: np.ndarray, priors: np.ndarray, temper: float, *carried: str) -> DataFrame:
     """(carried columns, tokens, p): blank-separated words and posterior of each whole text."""
-    chosen = docs.select(*(docs[c] for c in (*carried, "text")))
+    chosen, kinds = carrying(docs, carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hashed()
@@ -133,11 +133,12 @@ def memberships(docs: DataFrame, words: np.ndarray, priors: np.ndarray, temper:
                     at, n = hashed.counts(text or "")
                     tokens.append(int(n.sum()))
                     p.append(posterior(at, n, words, priors, temper).tolist())
-                columns = [batch.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*carried, "tokens", "p"])
+                names = [f.name for f in kinds]
+                columns = [batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*names, "tokens", "p"])
 
-    kinds = [chosen.schema[c] for c in carried]
-    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))
+    out = T.StructType([*kinds, T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    return chosen.mapInArrow(run, out).toDF(*carried, "tokens", "p")
 
 
 def replay(p: np.ndarray, errors: Sequence[np.ndarray], step: float) -> np.ndarray:

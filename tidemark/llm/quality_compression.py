@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of, saved, texts
+from .common import batches_of, carrying, saved, texts
 
 SAMPLE_ROWS = 2000
 DICTIONARY_BYTES = 512 << 10
@@ -135,23 +135,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, di
 
 def measure(docs: DataFrame, good: bytes, bad: bytes, *carried: str) -> DataFrame:
     """(carried columns, features) of every whole text."""
-    chosen = docs.select(*(docs[c] for c in carried), docs["text"])
+    chosen, kinds = carrying(docs, carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(good, bad)
         for whole in batches:
             for batch in batches_of(whole, "text"):
                 found = [sizes.features(t or b"") if t else (0.0,) * 4 for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                columns = [batch.column(i) for i in range(len(carried))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.float64()))], names=[*carried, "features"])
+                names = [f.name for f in kinds]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features"])
 
-    kinds = [chosen.schema[c] for c in carried]
-    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    out = T.StructType([*kinds, T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return chosen.mapInArrow(run, out).toDF(*carried, "features")
 
 
 def scored(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     """(carried columns, score): the probability that the whole text is good."""
-    chosen = docs.select(*(docs[c] for c in (*carried, "text")))
+    chosen, kinds = carrying(docs, carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(model.good, model.bad) if model.good is not None else None
@@ -163,11 +163,10 @@ def scored(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
                 if sizes is not None and (at := [i for i, t in enumerate(bodies) if t]):
                     x = design(np.array([sizes.features(bodies[i]) for i in at]))
                     score[at] = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                columns = [batch.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*carried, "score"])
+                names = [f.name for f in kinds]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
 
-    kinds = [chosen.schema[c] for c in carried]
-    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("score", T.DoubleType())]))
+    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("score", T.DoubleType())])).toDF(*carried, "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,7 +174,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     columns = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
-    at = columns.index("text")
-    named = plain.select(*plain.columns, F.col(f"c{at}").alias("text"))
+    named = plain.select(*plain.columns, plain[f"c{columns.index('text')}"].alias("text"))
     kept = scored(named, model, *plain.columns).where("score >= 0.5")
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)))

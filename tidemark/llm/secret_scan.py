@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches_of
+from .common import batches_of, carrying
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -186,7 +186,7 @@ ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), (
 
 def scan(docs: DataFrame, least: dict[int, float], *carried: str) -> DataFrame:
     """(carried columns, spans): every span of each whole text, ordered by start and kind."""
-    chosen = docs.select(*(docs[c] for c in (*carried, "text")))
+    chosen, kinds = carrying(docs, carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,11 +195,10 @@ def scan(docs: DataFrame, least: dict[int, float], *carried: str) -> DataFrame:
                     [{"start": s, "kind": k, "end": e} for s, k, e in all_spans(t, least)] if t else []
                     for t in batch.column("text").to_pylist()
                 ]
-                columns = [batch.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, ARROW_SPANS)], names=[*carried, "spans"])
+                names = [f.name for f in kinds]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, ARROW_SPANS)], names=[*names, "spans"])
 
-    kinds = [chosen.schema[c] for c in carried]
-    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("spans", SPANS)]))
+    return chosen.mapInArrow(run, T.StructType([*kinds, T.StructField("spans", SPANS)])).toDF(*carried, "spans")
 
 
 def spelled(spans: Column) -> Column:
