@@ -62,14 +62,14 @@ def test_deadline_stream_equals_batch(spark, tmp_path):
     sent = spark.createDataFrame(replies, SENT)
     events = deadlines.conversation_events(opened, sent)
     source, target = str(tmp_path / "events"), str(tmp_path / "out")
-    start, hours = min(s[5] for s in slas), timedelta(hours=2)
-    for i in range(-1, 4):  # landed in the order of time
-        part = (F.col("moment") >= F.lit(start + i * hours)) & (F.col("moment") < F.lit(start + (i + 1) * hours))
-        events.filter(part).coalesce(1).write.mode("append").parquet(source)
+    # landed in sixteen files that follow neither time nor conversation, each a batch of its own
+    piece = F.pmod(F.xxhash64("moment", "address"), F.lit(16)).cast("int")
+    events.repartitionById(16, piece).write.parquet(source)
     stream = runner.table_stream(spark, source, events.schema, 1)
-    writer = deadlines.track_deadlines(stream, delay="6 hours").writeStream.foreachBatch(runner.batch_folder_sink(target))
+    writer = deadlines.track_deadlines(stream).writeStream.foreachBatch(runner.batch_folder_sink(target))
     runner.run_available(writer, str(tmp_path / "checkpoint"))
-    got = {r.sla_id: (r.status, r.first_response_at) for r in deadlines.settle(runner.read_batches(spark, target)).collect()}
+    as_of = max(s[5] for s in slas) + timedelta(days=60)
+    got = {r.sla_id: (r.status, r.first_response_at) for r in deadlines.settle(runner.read_batches(spark, target), as_of).collect()}
 
     expected = {}
     for s in slas:
@@ -81,6 +81,7 @@ def test_deadline_stream_equals_batch(spark, tmp_path):
             first = min(r[3] for r in answers)
             expected[s[0]] = ("COMPLETED" if first <= s[5] + timedelta(minutes=20) else "BREACHED", first)
     assert {k: v for k, v in got.items() if v[1] is not None} == expected
+    assert set(got) == {s[0] for s in slas if s[3] is not None}  # the others have breached
 
 
 COMMANDS = [

@@ -1,8 +1,10 @@
-"""Response deadlines on a stream: open messages wait in keyed state, timers raise breaches."""
+"""Response deadlines on a stream: messages and answers wait for each other in keyed state, in whatever order they come."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -12,130 +14,110 @@ from ..functions.addresses import address_set
 from ..functions.text import strip
 from ..session import use_keyed_state
 
-OUTPUT = "sla_id string, kind string, at_us bigint, reply_id string, responded_by string"
-INPUT_COLUMNS = ("conversation_id", "mailbox", "moment", "sla_id", "deadline_us", "address", "reply_id", "recipients")
+OUTPUT = "sla_id string, kind string, at_us bigint, deadline_us bigint, reply_id string, responded_by string"
 
 
 def conversation_events(slas: DataFrame, replies: DataFrame) -> DataFrame:
-    """Openings and replies in one stream, keyed by conversation and mailbox."""
+    """Openings and replies in one stream, keyed by conversation, mailbox and address; one row per address of a reply."""
     none = F.lit(None)
     opened = slas.select(
         "conversation_id",
         F.col("mailbox_user_id").alias("mailbox"),
+        F.lower(strip(F.col("customer_email"))).alias("address"),
         F.col("received_at").alias("moment"),
         "sla_id",
         F.unix_micros("sla_deadline_at").alias("deadline_us"),
-        F.lower(strip(F.col("customer_email"))).alias("address"),
         none.cast("string").alias("reply_id"),
-        none.cast("array<string>").alias("recipients"),
     )
     answers = replies.select(
         "conversation_id",
         "mailbox",
+        F.explode(address_set(F.col("recipients"))).alias("address"),
         F.col("sent_at").alias("moment"),
         none.cast("string").alias("sla_id"),
         none.cast("bigint").alias("deadline_us"),
-        none.cast("string").alias("address"),
         "reply_id",
-        address_set(F.col("recipients")).alias("recipients"),
     )
-    return opened.unionByName(answers).filter("conversation_id IS NOT NULL AND mailbox IS NOT NULL")
+    return opened.unionByName(answers).dropna(subset=["conversation_id", "mailbox", "address", "moment"])
 
 
-class DeadlineTracker(StatefulProcessor):
-    """Emits COMPLETED or LATE with the first answer of a message, and BREACHED when its deadline passes first."""
+class AnswerTracker(StatefulProcessor):
+    """Emits OPENED with each message and ANSWERED whenever an earlier first answer of it becomes known.
 
-    def __init__(self, keep_days: int = 30) -> None:
-        self.keep_us = keep_days * 86_400_000_000
+    Both sides are kept: a reply that arrives before its message, or after a later reply, still counts.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState(
-            "waiting", "sla_id string", "received_us bigint, deadline_us bigint, address string, breached boolean"
-        )
+        self.messages = handle.getMapState("messages", "sla_id string", "us bigint, deadline_us bigint, answer_us bigint")
+        self.replies = handle.getMapState("replies", "us bigint, reply_id string", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = {k[0]: v for k, v in self.waiting.iterator()}
-        waiting, out = dict(before), []
-        # one key's share of one micro-batch, bounded by the trigger size; replies at the moment of a message come
-        # before it, as they cannot answer it
-        for row in sorted(rows, key=lambda r: (r.us, r.sla_id is not None, r.reply_id or "")):
-            if row.sla_id is not None:
-                waiting[row.sla_id] = (row.us, row.deadline_us, row.address, False)
-                continue
-            named = set(row.recipients)
-            for sla_id in [k for k, v in waiting.items() if v[0] < row.us and v[2] in named]:
-                _, deadline, _, breached = waiting.pop(sla_id)
-                kind = "LATE" if breached or row.us > deadline else "COMPLETED"
-                out.append(_event(sla_id, kind, row.us, row.reply_id, key[1]))
-        self._store(before, waiting)
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # everything due by the watermark is handled at once, not only what this timer was set for
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-        before = {k[0]: v for k, v in self.waiting.iterator()}
-        waiting, out = dict(before), []
-        for sla_id, (received, deadline, address, breached) in before.items():
-            if deadline + self.keep_us < now:
-                del waiting[sla_id]
-            elif deadline < now and not breached:
-                out.append(_event(sla_id, "BREACHED", deadline, None, None))
-                # keep waiting: a late answer is still recorded, until the retention ends
-                waiting[sla_id] = (received, deadline, address, True)
-        self._store(before, waiting)
+        opened, answers = {}, set()
+        for r in rows:
+            if r.sla_id is not None:
+                opened[r.sla_id] = (r.us, r.deadline_us)
+            else:
+                answers.add((r.us, r.reply_id))
+        new = sorted(answers)
+        out = []
+        if new:
+            # only messages that wait, or whose answer came later, are touched
+            changed = []
+            for (sla_id,), (us, deadline, answer) in self.messages.iterator():
+                at = bisect_right(new, us, key=lambda x: x[0])
+                if at < len(new) and (answer is None or new[at][0] < answer):
+                    changed.append((sla_id, us, deadline, new[at]))
+            for sla_id, us, deadline, (sent, reply_id) in changed:
+                self.messages.updateValue((sla_id,), (us, deadline, sent))
+                out.append(_event(sla_id, "ANSWERED", sent, deadline, reply_id, key[1]))
+            for answer in new:
+                self.replies.updateValue(answer, (True,))
+        if opened:
+            known = sorted(k for k, _ in self.replies.iterator())
+            for sla_id, (us, deadline) in opened.items():
+                if self.messages.containsKey((sla_id,)):
+                    continue
+                out.append(_event(sla_id, "OPENED", us, deadline, None, None))
+                at = bisect_right(known, us, key=lambda x: x[0])
+                first = known[at] if at < len(known) else None
+                if first:
+                    out.append(_event(sla_id, "ANSWERED", first[0], deadline, first[1], key[1]))
+                self.messages.updateValue((sla_id,), (us, deadline, first[0] if first else None))
         return iter(out)
 
-    def _store(self, before: dict, waiting: dict) -> None:
-        """Write what changed and set one timer, for the next thing that can happen without a row."""
-        for sla_id in before.keys() - waiting.keys():
-            self.waiting.removeKey((sla_id,))
-        for sla_id, value in waiting.items():
-            if before.get(sla_id) != value:
-                self.waiting.updateValue((sla_id,), value)
-        due = [deadline + (self.keep_us if breached else 0) for _, deadline, _, breached in waiting.values()]
-        if due:
-            self.handle.registerTimer(min(due) // 1000 + 1)
-
     def close(self) -> None:
         pass
 
 
-def _event(sla_id: str, kind: str, at_us: int, reply_id: str | None, responded_by: str | None) -> Row:
-    return Row(sla_id=sla_id, kind=kind, at_us=at_us, reply_id=reply_id, responded_by=responded_by)
+def _event(sla_id, kind, at_us, deadline_us, reply_id, responded_by) -> Row:
+    return Row(sla_id=sla_id, kind=kind, at_us=at_us, deadline_us=deadline_us, reply_id=reply_id, responded_by=responded_by)
 
 
-def track_deadlines(events: DataFrame, delay: str = "1 hour", keep_days: int = 30) -> DataFrame:
-    """Stream of deadline events.
+def track_deadlines(events: DataFrame) -> DataFrame:
+    """Stream of openings and answers. There is no watermark and no retention: late rows and late answers count.
 
-    Rows more than ``delay`` behind the stream are dropped by the watermark. Micro-batches are taken as they come: a
-    reply that arrives in an earlier batch than its message finds nothing to answer.
+    State grows with the messages and replies of the conversations; each is a few numbers.
     """
     use_keyed_state(events.sparkSession)
     return (
-        events.withWatermark("moment", delay)
-        .withColumn("us", F.unix_micros("moment"))
-        .groupBy("conversation_id", "mailbox")
+        events.withColumn("us", F.unix_micros("moment"))
+        .groupBy("conversation_id", "mailbox", "address")
         .transformWithState(
-            statefulProcessor=DeadlineTracker(keep_days),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
+            statefulProcessor=AnswerTracker(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
         )
     )
 
 
-def settle(events: DataFrame) -> DataFrame:
-    """Final state per message from its deadline events: an answer outranks the breach before it."""
-    answer = F.min(F.when(F.col("kind") != "BREACHED", F.struct("at_us", "reply_id", "responded_by", "kind")))
-    return (
-        events.groupBy("sla_id")
-        .agg(answer.alias("a"))
-        .select(
-            "sla_id",
-            F.when(F.col("a.kind") == "COMPLETED", "COMPLETED").otherwise("BREACHED").alias("status"),
-            F.timestamp_micros("a.at_us").alias("first_response_at"),
-            F.col("a.reply_id").alias("response_message_id"),
-            F.col("a.responded_by").alias("responded_by"),
-        )
+def settle(events: DataFrame, as_of: datetime) -> DataFrame:
+    """State per message from its events: answered ones, and unanswered ones whose deadline lies before ``as_of``."""
+    answer = F.min(F.when(F.col("kind") == "ANSWERED", F.struct("at_us", "reply_id", "responded_by")))
+    settled = events.groupBy("sla_id").agg(answer.alias("a"), F.max("deadline_us").alias("deadline_us"))
+    late = F.coalesce(F.col("a.at_us") > F.col("deadline_us"), F.lit(True))
+    clock = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    return settled.filter(F.col("a").isNotNull() | (F.col("deadline_us") < clock)).select(
+        "sla_id",
+        F.when(late, "BREACHED").otherwise("COMPLETED").alias("status"),
+        F.timestamp_micros("a.at_us").alias("first_response_at"),
+        F.col("a.reply_id").alias("response_message_id"),
+        F.col("a.responded_by").alias("responded_by"),
     )

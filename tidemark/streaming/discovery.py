@@ -12,17 +12,7 @@ from ..functions.parsing import parse_instant
 from ..operators import feed as fd
 from ..operators import ingest
 from ..operators import queue as qu
-from .runner import batch_folder_sink, run_available
-
-
-def discovered_stream(pages: DataFrame, boundary: datetime, delay: str = "7 days") -> DataFrame:
-    """New message keys, each once within ``delay``: a re-walk of the feed gives the same keys again."""
-    return (
-        ingest.discovered(pages, boundary)
-        .withColumn("received_at", parse_instant(F.col("received")))
-        .withWatermark("received_at", delay)
-        .dropDuplicatesWithinWatermark(["mailbox_user_id", "message_id"])
-    )
+from .runner import batch_folder_sink, ledger_sink, run_available
 
 
 def register_stream(
@@ -33,14 +23,21 @@ def register_stream(
     checkpoint: str,
     as_of: datetime,
 ) -> None:
-    """Queue every discovered message that is not stored yet; ``stored_queue`` reads the queue as it is now."""
+    """Queue every discovered message that is not stored yet, however late and in whatever order its page arrives.
 
-    def fresh(batch: DataFrame) -> DataFrame:
+    A message is stored if ``stored_queue`` or an earlier batch of this stream holds its key. There is no watermark:
+    mailboxes do not arrive in one order of time, and a first walk of an old mailbox lies far behind the others.
+    """
+    keys = ["mailbox_user_id", "message_id"]
+
+    def fresh(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        stored = stored_queue()
         addressed = batch.withColumn("mailbox_address", F.col("mailbox_user_id"))
-        return qu.register(addressed, stored_queue(), as_of)
+        rows = qu.register(addressed, stored, as_of)
+        return rows if earlier is None else rows.join(earlier.select(*keys), keys, "left_anti")
 
-    found = discovered_stream(pages, boundary)
-    run_available(found.writeStream.foreachBatch(batch_folder_sink(target, fresh)), checkpoint)
+    found = ingest.discovered(pages, boundary).withColumn("received_at", parse_instant(F.col("received")))
+    run_available(found.writeStream.foreachBatch(ledger_sink(target, fresh)), checkpoint)
 
 
 def removals_stream(pages: DataFrame, target: str, checkpoint: str) -> None:
@@ -60,10 +57,37 @@ def append_changes(slas: DataFrame, target: str, checkpoint: str) -> None:
     run_available(fd.sla_events(slas).writeStream.foreachBatch(batch_folder_sink(target)), checkpoint)
 
 
-def publish(events: DataFrame, target: str, checkpoint: str) -> None:
-    """Deliver change events as envelopes, oldest first within a batch; repeated ids are delivered once per batch."""
-
-    def envelopes(batch: DataFrame) -> DataFrame:
-        return fd.envelopes(batch.dropDuplicates(["id"])).orderBy("created_at", "id")
-
-    run_available(events.writeStream.foreachBatch(batch_folder_sink(target, envelopes)), checkpoint)
+def publish(
+    events: DataFrame,
+    target: str,
+    checkpoint: str,
+    deliver: Callable[[DataFrame], DataFrame] | None = None,
+    max_attempts: int = 5,
+) -> None:
+    """Deliver change events as envelopes and keep a ledger of every attempt.
+
+    A batch claims its own events and those of earlier batches that failed and may be tried again; an id that has been
+    delivered is never claimed a second time. ``deliver`` gets the claimed envelopes and returns their ids with a
+    boolean ``ok``; by default all are delivered. The ledger has one row per attempt: the envelope, ``attempt`` and
+    ``state`` (PUBLISHED, FAILED, or DEAD after ``max_attempts``).
+    """
+
+    def attempt(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        new = fd.envelopes(batch.dropDuplicates(["id"])).withColumn("attempt", F.lit(1))
+        if earlier is not None:
+            last = earlier.groupBy("id").agg(F.max_by("state", "attempt").alias("_state"), F.max("attempt").alias("_tried"))
+            new = new.join(last.select("id"), "id", "left_anti")
+            again = last.filter("_state = 'FAILED'").select("id", "_tried")
+            retried = earlier.join(again, (earlier["id"] == again["id"]) & (earlier["attempt"] == again["_tried"]), "left_semi")
+            new = new.unionByName(retried.withColumn("attempt", F.col("attempt") + 1).drop("state"))
+        if deliver is None:
+            return new.withColumn("state", F.lit("PUBLISHED"))
+        told = deliver(new).select("id", "ok")
+        state = (
+            F.when(F.coalesce("ok", F.lit(False)), "PUBLISHED")
+            .when(F.col("attempt") >= max_attempts, "DEAD")
+            .otherwise("FAILED")
+        )
+        return new.join(told, "id", "left").withColumn("state", state).drop("ok")
+
+    run_available(events.writeStream.foreachBatch(ledger_sink(target, attempt)), checkpoint)

@@ -44,6 +44,20 @@ def batch_folder_sink(target: str, prepare: Callable[[DataFrame], DataFrame] | N
     return write
 
 
+def ledger_sink(target: str, prepare: Callable[[DataFrame, DataFrame | None], DataFrame]):
+    """Like :func:`batch_folder_sink`, but ``prepare`` also gets the rows of all earlier batches (None at first).
+
+    Only earlier batches are shown, so a batch that is run again sees what it saw the first time.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = batch.sparkSession.read.parquet(target).filter(F.col("batch_id") < batch_id) if batch_id else None
+        rows = prepare(batch, earlier.drop("batch_id") if earlier is not None else None)
+        rows.write.mode("overwrite").parquet(f"{target.rstrip('/')}/batch_id={batch_id}")
+
+    return write
+
+
 def read_batches(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).drop("batch_id")
 
