@@ -37,30 +37,15 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-SPREAD_FROM = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Full scan of one table; the schema is given, so planning reads no file; zone-less times become instants."""
-    df = spread(spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
     naive = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
     return df.withColumns(naive) if naive else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a table that is smaller than one split per core; bigger tables come in enough splits by themselves.
-
-    A small file is often a single row group, which is a single task whatever follows.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 << 20
-    if SPREAD_FROM <= size < split * cores:
-        return df.repartition(cores, df.columns[0])
-    return df
-
-
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
     region = table(spark, folder, "region").select("r_regionkey", "r_name")
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
