@@ -206,8 +206,9 @@ def test_cosine(spark):
     df = spark.sql("SELECT array(1.0D, 0.0D) a, array(1.0D, 1.0D) b, array(0.0D, 0.0D) z, array(1.0D) s")
     row = df.select(vec.cosine(F.col("a"), F.col("b")).alias("x"), vec.cosine(F.col("a"), F.col("z")).alias("y")).first()
     assert abs(row.x - 0.5**0.5) < 1e-12 and row.y == 0.0
+    assert df.select(vec.cosine(F.col("a"), F.col("s"))).first()[0] is None
     with pytest.raises(Exception, match="differ in size"):
-        df.select(vec.cosine(F.col("a"), F.col("s"))).collect()
+        df.select(vec.cosine(F.col("a"), F.col("s"), strict=True)).collect()
 
 
 def test_html(spark):

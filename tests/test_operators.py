@@ -12,10 +12,10 @@ from tidemark.sources import landing
 NOW = datetime(2024, 1, 20)
 
 
-def test_running_totals_agree_with_and_without_buckets(spark):
+def test_running_totals_do_not_depend_on_the_buckets(spark):
     df = spark.range(500).selectExpr("id % 3 AS k", "id AS at", "id % 7 AS v", "xxhash64(id) AS h")
     args = dict(sums={"s": F.col("v")}, xors={"x": F.col("h")})
-    plain = running_totals(df, ["k"], None, [F.asc("at")], **args)
+    plain = running_totals(df, ["k"], F.lit(0), [F.asc("at")], **args)
     cut = running_totals(df, ["k"], F.expr("at div 40"), [F.asc("at")], **args)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.select(plain.columns).collect()))
     total = 0
@@ -24,9 +24,9 @@ def test_running_totals_agree_with_and_without_buckets(spark):
         assert r.s == total
 
 
-def test_next_value_agrees_with_and_without_buckets(spark):
+def test_next_value_does_not_depend_on_the_buckets(spark):
     df = spark.range(300).selectExpr("id % 2 AS k", "id AS at", "IF(id % 11 = 3, id, NULL) AS v")
-    plain = next_value(df, ["k"], None, ["at"], F.col("v"), "n")
+    plain = next_value(df, ["k"], F.lit(0), ["at"], F.col("v"), "n")
     cut = next_value(df, ["k"], F.expr("at div 10"), ["at"], F.col("v"), "n")
     rows = sorted(map(tuple, plain.collect()), key=str)
     assert rows == sorted(map(tuple, cut.select(plain.columns).collect()), key=str)
@@ -46,7 +46,7 @@ def test_rank_first_limits_before_the_shuffle(spark):
 def test_candidates_equal_brute_force(spark):
     rows = [(i, f"b{i % 2}", (i * 37) % 50) for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, block string, at bigint")
-    cut = dedup.recent_candidates(df, df, ["block"], ["at"], F.expr("at div 8"), 3, key_limit=0).collect()
+    cut = dedup.recent_candidates(df, df, ["block"], ["at"], F.expr("at div 3"), 3).collect()
     got = dedup.recent_candidates(df, df, ["block"], ["at"], F.expr("at div 8"), 3).collect()
     assert sorted(got) == sorted(cut)
     expected = set()
@@ -59,7 +59,10 @@ def test_candidates_equal_brute_force(spark):
 def decide(spark, scores, verdicts):
     scored = spark.createDataFrame([(1, c, i + 1, s) for i, (c, s) in enumerate(scores)], "new_id bigint, candidate_id bigint, candidate_rank int, score double")
     given = spark.createDataFrame([(1, c, o, v, "why") for c, o, v in verdicts], "new_id bigint, candidate_id bigint, outcome string, verdict string, reason string")
-    row = dedup.decide_similar(scored, given).first()
+    fresh = spark.createDataFrame([(1,), (2,)], "id bigint")
+    ruled = {r.new_id: r for r in dedup.decide_similar(fresh, scored, given).collect()}
+    assert ruled[2].decision == "CREATE"  # no candidates at all
+    row = ruled[1]
     return row.decision, row.matched_task_id
 
 
@@ -216,3 +219,33 @@ def test_trend_has_no_gaps(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 3, 23, 59),), (datetime(2024, 1, 1),), (datetime(2023, 12, 1),)], "t timestamp")
     rows = tk.daily_counts(df, F.col("t"), date(2024, 1, 4), 4).orderBy("day").collect()
     assert [(r.day.day, r.n) for r in rows] == [(1, 1), (2, 0), (3, 1), (4, 0)]
+
+
+def test_exact_decisions_equal_replay(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rng = random.Random(12)
+    schema = (
+        "id bigint, source_email_id string, task_fingerprint string, source_mailbox string, normalized_sender string, "
+        "created_at timestamp, status string"
+    )
+    rows = []
+    for i in range(220):
+        at = datetime(2026, 1, 1) + timedelta(minutes=rng.randrange(150))
+        rows.append((i, rng.choice([None, *[f"m{k}" for k in range(12)]]), f"h{rng.randrange(4)}", rng.choice(["a", "b", None]), rng.choice(["s", "t", None]), at, rng.choice(["NEW", "NEW", "ARCHIVED"])))
+    old, fresh = rows[:40], rows[40:]
+    got = dedup.resolve_exact(spark.createDataFrame(old, schema), spark.createDataFrame(fresh, schema)).collect()
+
+    stored, want = list(sorted(old, key=lambda r: (r[5], r[0]))), {}
+    for r in sorted(fresh, key=lambda r: (r[5], r[0])):
+        known = [s for s in stored if r[1] is not None and s[1] == r[1] and s[2] == r[2]]
+        same = [s for s in stored if None not in (r[3], r[4]) and s[2:5] == r[2:5] and s[6] != "ARCHIVED"]
+        if known:
+            want[r[0]] = ("KNOWN", known[0][0])
+        elif same:
+            want[r[0]] = ("EXACT", same[0][0])
+        else:
+            want[r[0]] = ("CREATED", r[0])
+            stored.append((*r[:6], "NEW"))
+    assert {r.id: (r.decision, r.task_id) for r in got} == want

@@ -22,17 +22,17 @@ def replay(slas, replies):
         if talk:
             hits = [s for s in talk if s[1] == mailbox and s[5] < sent and s[4].strip().lower() in named]
         else:
-            found = {s[2]: s for s in sorted(present) if s[5] < sent and s[4].lower() in named}
+            found = {s[2]: s for s in sorted(present, key=lambda s: (s[5], s[0])) if s[5] < sent and s[4].lower() in named}
             hits = list(found.values()) if len(found) == 1 else []
         for s in hits:
             answered[s[0]] = (sent, reply_id, mailbox, not talk)
     return answered
 
 
-def matched(spark, slas, replies, **options):
+def matched(spark, slas, replies):
     a = spark.createDataFrame(slas, SLA)
     b = spark.createDataFrame(replies, SENT)
-    rows = sla.match_replies(a, b, **options).collect()
+    rows = sla.match_replies(a, b).collect()
     return {r.sla_id: (r.first_response_at, r.response_message_id, r.responded_by, r.fallback) for r in rows}
 
 
@@ -57,15 +57,37 @@ def test_equals_replay(spark, seed, customers, talks, n):
     assert matched(spark, slas, replies) == replay(slas, replies)
 
 
-def test_hot_keys_take_the_bucketed_path(spark):
-    slas, replies = mailboxes(4, 2, 1, 120)
-    assert matched(spark, slas, replies, key_limit=0) == replay(slas, replies)
+@pytest.mark.parametrize("seed, customers, talks, n", [(4, 2, 1, 120), (6, 60, 40, 260), (7, 40, 3, 260), (8, 4, 6, 200)])
+def test_copies_in_several_mailboxes_equal_replay(spark, seed, customers, talks, n):
+    slas, replies = mailboxes(seed, customers, talks, n)
+    rng = random.Random(seed)
+    copies = []
+    for _, box, message, talk, customer, moment in slas:
+        if rng.random() < 0.4:
+            other = f"b{rng.randrange(2, 4)}"
+            copies.append((f"{other}/{message}", other, message, rng.choice([talk, None]), customer, moment + timedelta(minutes=rng.choice([0, 0, 7]))))
+    assert matched(spark, slas + copies, replies) == replay(slas + copies, replies)
 
 
-@pytest.mark.parametrize("seed, customers, talks, n", [(6, 60, 40, 260), (7, 40, 3, 260)])
-def test_narrowed_rounds_equal_replay(spark, seed, customers, talks, n):
-    slas, replies = mailboxes(seed, customers, talks, n)
-    assert matched(spark, slas, replies, narrow_from=0) == replay(slas, replies)
+def test_open_copy_is_answered_after_the_closed_one(spark):
+    slas = [("b0/m", "b0", "m", None, "a@x", START), ("b1/m", "b1", "m", "c1", "a@x", START + timedelta(minutes=1))]
+    replies = [("r1", "b1", "c1", START + timedelta(hours=1), ["a@x"]), ("r2", "b0", None, START + timedelta(hours=2), ["a@x"])]
+    assert matched(spark, slas, replies) == replay(slas, replies)
+    assert matched(spark, slas, replies)["b0/m"][1] == "r2"
+
+
+@pytest.mark.parametrize("pairs", [2, 200])
+def test_long_histories_take_as_many_rounds_as_short_ones(spark, monkeypatch, pairs):
+    rounds = []
+    real = sla._elsewhere
+    monkeypatch.setattr(sla, "_elsewhere", lambda *a: (rounds.append(1), real(*a))[1])
+    slas, replies = [], []
+    for k in range(pairs):
+        for c in range(2):
+            slas.append((f"b0/m{k}-{c}", "b0", f"m{k}-{c}", None, f"cust{c}@x", START + timedelta(minutes=2 * k)))
+            replies.append((f"r{k:04d}-{c}", "b0", None, START + timedelta(minutes=2 * k + 1), [f"cust{c}@x"]))
+    assert matched(spark, slas, replies) == replay(slas, replies)
+    assert len(rounds) == 1
 
 
 def test_order_of_rows_does_not_matter(spark):

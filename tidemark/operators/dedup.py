@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import task_fingerprint
 from ..functions.vectors import cosine, norm
-from .timeline import KEY_LIMIT, bucket_if_hot, first_per_key, running_totals
+from ..session import cut_lineage
+from .timeline import first_per_key, running_totals
 
 SCOPE = ("source_mailbox", "normalized_sender")
 GROUP = ("task_fingerprint", *SCOPE)  # the near-unique part first: sorts compare it first
@@ -47,15 +49,11 @@ def duplicate_groups(tasks: DataFrame) -> DataFrame:
 
 def duplicate_members(tasks: DataFrame) -> DataFrame:
     """Every member of every duplicate group with what happens to it: the oldest stays, the others are archived."""
-    groups = duplicate_groups(tasks).select(*GROUP, "active_duplicate_count", "oldest_id")
+    groups = duplicate_groups(tasks).select(*(F.col(c).alias(f"_{c}") for c in GROUP), "active_duplicate_count", "oldest_id")
     action = F.when(F.col("id") == F.col("oldest_id"), "KEEP ACTIVE (oldest)").otherwise("WILL BE ARCHIVED")
-    return (
-        scoped_active(tasks)
-        .select("id", *GROUP, "title", "status", "created_at")
-        .join(groups, list(GROUP))
-        .withColumn("action", action)
-        .drop("oldest_id")
-    )
+    members = scoped_active(tasks).select("id", *GROUP, "title", "status", "created_at")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in GROUP]  # groups of a null mailbox have members as well
+    return members.join(groups, same).withColumn("action", action).drop("oldest_id", *(f"_{c}" for c in GROUP))
 
 
 def archive_duplicates(tasks: DataFrame, as_of) -> DataFrame:
@@ -85,53 +83,61 @@ def active_exact_matches(tasks: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def resolve_exact(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Decide for every extracted task whether it is new.
+    """Decide for every extracted task whether it is new, as if they came one by one in the order of ``(created_at, id)``.
 
-    decision: KNOWN (this message already produced it; no audit), EXACT (an active task of the same mailbox and
-    sender has the hash; audited) or CREATED. Fresh rows are judged in the order of ``(created_at, id)``. Rows
-    without mailbox or sender have no scope and are only checked against their own message.
-    """
-    message = ["source_email_id", "task_fingerprint"]
-    known = (
-        existing.filter(F.col("source_email_id").isNotNull())
-        .groupBy(*message)
-        .agg(F.min_by("id", F.struct("created_at", "id")).alias("_known_id"))
-    )
-    old = scoped_active(existing).groupBy(*GROUP).agg(F.min_by("id", F.struct("created_at", "id")).alias("_old_id"))
-    checked = fresh.join(known, message, "left").join(old, list(GROUP), "left")
+    decision: KNOWN (the message has already produced a stored task with this hash; no audit), EXACT (an active task of
+    the same mailbox and sender has the hash; audited) or CREATED. The message is looked up first, whatever the scope,
+    so no (message, hash) is created twice. Rows without mailbox or sender are only checked against their own message.
 
+    Messages of stored tasks are settled in one pass. The other rows form rounds: a row that is the first undecided one both of
+    its message and of its scope is created and settles later ones of either; few rows are left after the first round,
+    and each round is written to the shared folder.
+    """
+    columns = ["id", "source_email_id", *GROUP, "created_at"]
+    stored = existing.select(*columns, F.lit(True).alias("_old"), (F.col("status") != "ARCHIVED").alias("_active"))
+    asked = fresh.select(*columns, F.lit(False).alias("_old"), F.lit(True).alias("_active"))
+    own = F.concat(F.lit("\u0000"), F.col("_old").cast("string"), F.lit(":"), F.col("id").cast("string"))
     scoped = F.col("source_mailbox").isNotNull() & F.col("normalized_sender").isNotNull()
-    undecided = F.col("_known_id").isNull() & F.col("_old_id").isNull()
-    # rows without scope compete only with rows of their own message
-    rival = F.when(scoped, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate((*SCOPE, "task_fingerprint"))])).otherwise(
-        F.struct(
-            F.lit("").alias("k0"),
-            F.coalesce("source_email_id", F.concat(F.lit("row:"), F.col("id"))).alias("k1"),
-            F.col("task_fingerprint").alias("k2"),
-        )
+    tagged = stored.unionAll(asked).withColumns(
+        {
+            "_at": F.struct("created_at", "id"),
+            # rows without message or scope are alone there
+            "_message": F.struct(F.coalesce("source_email_id", own).alias("m"), "task_fingerprint"),
+            "_scope": F.struct(
+                F.when(scoped, F.col("source_mailbox")).otherwise(own).alias("a"), F.when(scoped, F.col("normalized_sender")).alias("b"), "task_fingerprint"
+            ),
+        }
     )
-    keyed = checked.withColumns({"_scoped": scoped, "_rival": rival})
-    creators = (
-        keyed.filter(undecided)
-        .groupBy("_scoped", "_rival")
-        .agg(
-            F.min_by(F.struct("id", "source_email_id"), F.struct("created_at", "id")).alias("_creator"),
-        )
+    by_message, by_scope = Window.partitionBy("_message"), Window.partitionBy("_scope")
+    stored_id = F.when(F.col("_old"), F.col("_at"))
+    active_id = F.when(F.col("_old") & F.col("_active"), F.col("_at"))
+    checked = (
+        tagged.withColumn("_known", F.min(stored_id).over(by_message)["id"])
+        .withColumn("_held", F.min(active_id).over(by_scope)["id"])
+        .filter(~F.col("_old"))
+        .drop("_old", "_active")
     )
-    judged = keyed.join(creators, ["_scoped", "_rival"], "left")
-    mine = F.col("_creator.id") == F.col("id")
-    same_message = F.col("_creator.source_email_id").eqNullSafe(F.col("source_email_id")) & F.col(
-        "source_email_id"
-    ).isNotNull()
+    now = cut_lineage(checked)
+    done = [now.filter("_known IS NOT NULL")]
+    left = now.filter("_known IS NULL")
+    while not left.isEmpty():
+        free = F.col("_held").isNull()
+        ranked = left.withColumn("_first", F.min("_at").over(by_message) == F.col("_at"))
+        ranked = ranked.withColumn("_creator", free & F.col("_first") & (F.min(F.when(free, F.col("_at"))).over(by_scope) == F.col("_at")))
+        made = F.when(F.col("_creator"), F.col("id"))
+        told = ranked.withColumn("_held", F.coalesce("_held", F.max(made).over(by_scope)))
+        judged = cut_lineage(told.withColumn("_known", F.max(made).over(by_message)))
+        # a row that its scope holds may still be known to its message, until the earlier rows of that are settled
+        settled = F.col("_known").isNotNull() | (F.col("_held").isNotNull() & F.col("_first"))
+        done.append(judged.filter(settled).drop("_first"))
+        left = judged.filter(~settled).drop("_creator", "_first")
+    decided = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+    if "_creator" not in decided.columns:
+        decided = decided.withColumn("_creator", F.lit(False))
     decision = (
-        F.when(F.col("_known_id").isNotNull(), "KNOWN")
-        .when(F.col("_old_id").isNotNull(), "EXACT")
-        .when(mine, "CREATED")
-        .when(same_message, "KNOWN")
-        .otherwise("EXACT")
+        F.when(F.col("_creator"), "CREATED").when(F.col("_known").isNotNull(), "KNOWN").otherwise("EXACT")
     )
-    task = F.coalesce("_known_id", "_old_id", "_creator.id")
-    return judged.select("id", "source_email_id", *GROUP, decision.alias("decision"), task.alias("task_id"))
+    return decided.select("id", "source_email_id", *GROUP, decision.alias("decision"), F.coalesce("_known", "_held").alias("task_id"))
 
 
 def exact_audit(decisions: DataFrame) -> DataFrame:
@@ -152,12 +158,12 @@ def recent_candidates(
     order: Sequence[str],
     bucket: Column,
     k: int = CANDIDATES,
-    key_limit: int = KEY_LIMIT,
 ) -> DataFrame:
     """The ``k`` latest existing rows before each fresh row of the same block.
 
-    Existing rows are numbered per block with a running count, so no pairs beyond the ``k`` per row arise. If a block
-    exceeds ``key_limit`` rows the count runs in buckets, so that no task orders a whole hot block. Both sides carry an ``id``; rows with a null block key have no candidates.
+    Existing rows are numbered per block with a running count, so no pairs beyond the ``k`` per row arise. The count
+    runs in buckets, so that no task orders a whole hot block. Both sides carry an ``id``; rows with a null block key
+    have no candidates.
     """
     usable = " AND ".join(f"{c} IS NOT NULL" for c in block)
     columns = list(dict.fromkeys(["id", *block, *order]))
@@ -169,7 +175,7 @@ def recent_candidates(
     numbered = running_totals(
         lanes,
         block,
-        bucket_if_hot(lanes, block, bucket, key_limit),
+        bucket,
         [*[F.asc(c) for c in order], F.asc("_old"), F.asc("id")],
         sums={"_n": F.col("_old").cast("bigint")},
     )
@@ -192,8 +198,12 @@ def score_candidates(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
     return paired.withColumn("score", score).drop("_a", "_b", "_na", "_nb")
 
 
-def decide_similar(scored: DataFrame, verdicts: DataFrame, threshold: float = SIMILARITY_THRESHOLD) -> DataFrame:
-    """One decision per new row from its scored candidates and the verifier's answers.
+def decide_similar(
+    fresh: DataFrame, scored: DataFrame, verdicts: DataFrame, threshold: float = SIMILARITY_THRESHOLD
+) -> DataFrame:
+    """One decision per row of ``fresh`` (``id``) from its scored candidates and the verifier's answers.
+
+    A row without candidates is created.
 
     A candidate below the threshold is skipped; one without score must be verified. In candidate order the first SAME
     wins. Otherwise any missing verdict defers the row (UNAVAILABLE before MALFORMED). Otherwise the row is created,
@@ -220,7 +230,7 @@ def decide_similar(scored: DataFrame, verdicts: DataFrame, threshold: float = SI
         .otherwise("CREATE")
     )
     matched = F.coalesce("same", "unavailable", "malformed", "ambiguous")
-    return ruled.select(
+    return fresh.select(F.col("id").alias("new_id")).join(ruled, "new_id", "left").select(
         "new_id",
         decision.alias("decision"),
         matched["candidate_id"].alias("matched_task_id"),

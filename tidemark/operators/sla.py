@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from ..functions.parsing import parse_instant, round1, whole_minutes
 from ..functions.text import blank_to_null, is_blank, strip
 from ..session import cut_lineage
 from .tasks import calendar, clamp
-from .timeline import KEY_LIMIT, bucket_if_hot, first_per_key, hour_of, next_value, running_totals
+from .timeline import first_per_key, hour_of, next_value, running_totals
 
 KEY = ("mailbox_user_id", "message_id")
 
@@ -86,7 +87,7 @@ def open_slas(
 # -- reply matching -----------------------------------------------------------------------------------------------
 
 
-def _primary(slas: DataFrame, replies: DataFrame, bucket: Column | None) -> DataFrame:
+def _primary(slas: DataFrame, replies: DataFrame, bucket: Column) -> DataFrame:
     """Earliest reply in the message's conversation and mailbox that names the customer, per SLA.
 
     An as-of join looking forward over (conversation, mailbox, address): no pairs of messages and replies arise.
@@ -120,142 +121,144 @@ def _primary(slas: DataFrame, replies: DataFrame, bucket: Column | None) -> Data
     return found.filter("sla_id IS NOT NULL AND answer IS NOT NULL").select("sla_id", F.col("answer").alias("primary"))
 
 
-_AXIS = ("moment", "phase", "by", "step")
+_ORDER = ("us", "phase", "by", "step")
+_EVENT = (
+    "lookup string, us bigint, phase int, by string, step int, sla_id string, conversation_id string, message_id string, mailbox string"
+)
+_LOOK = "reply_id string, lookup string, us bigint, mailbox string, own_open bigint, own_talk bigint, sla_id string"
 
 
-def _axis(moment: Column, phase: int, by: Column, step: int, change: int, mark: Column, reply: Column) -> list[Column]:
-    """One event of a timeline: where it lies, how it changes the number of open SLAs, and who asks.
+def _events(slas: DataFrame, replies: DataFrame) -> DataFrame:
+    """Every customer's timeline: openings, closings by the conversation's own answer, and replies that name them.
 
-    A reply sees the state before it and closes after it has looked, hence ``step``.
+    At one moment openings come first, then each reply followed by what it closes.
     """
-    return [
-        moment.alias("moment"),
-        F.lit(phase).alias("phase"),
-        by.alias("by"),
-        F.lit(step).alias("step"),
-        F.lit(change).cast("bigint").alias("change"),
-        mark.alias("mark"),
-        reply.alias("reply"),
-    ]
-
-
-def _open_close(rows: DataFrame, key: str, open_phase: int, nobody: Column) -> DataFrame:
-    opened = rows.select(
-        key, *_axis(F.col("received_at"), open_phase, F.lit(""), 0, 1, F.col("mark"), nobody)
+    known = slas.filter("lookup IS NOT NULL")
+    about = ["sla_id", "conversation_id", "message_id"]
+    nothing = [F.lit(None).cast("string").alias(c) for c in about]
+    opened = known.select(
+        "lookup", F.unix_micros("received_at").alias("us"), F.lit(0).alias("phase"), F.lit("").alias("by"), F.lit(0).alias("step"),
+        *about, F.lit(None).cast("string").alias("mailbox"),
     )
-    closed = rows.filter("closed IS NOT NULL").select(
-        key, *_axis(F.col("closed.sent_at"), 1, F.col("closed.reply_id"), 1, -1, F.col("mark"), nobody)
+    closed = known.filter("primary IS NOT NULL").select(
+        "lookup", F.unix_micros("primary.sent_at").alias("us"), F.lit(1).alias("phase"), F.col("primary.reply_id").alias("by"),
+        F.lit(1).alias("step"), *about, F.lit(None).cast("string").alias("mailbox"),
     )
-    return opened.unionByName(closed)
-
-
-_REPLY = "struct<reply_id: string, sent_at: timestamp, responded_by: string, recipients: array<string>>"
-
+    asked = replies.select(
+        F.explode("recipients").alias("lookup"), F.unix_micros("sent_at").alias("us"), F.lit(1).alias("phase"),
+        F.col("reply_id").alias("by"), F.lit(0).alias("step"), nothing[0], "conversation_id", nothing[2], "mailbox",
+    )
+    return opened.unionByName(closed).unionByName(asked)
 
-def _fallback_hits(
-    talkers: DataFrame,
-    customers: DataFrame,
-    replies: DataFrame,
-    copies: bool,
-    talk_bucket: Column | None,
-    person_bucket: Column | None,
-) -> DataFrame:
-    """Fallback answers ``(reply_id, sla_id, answer)`` of the replies given the closings known so far.
 
-    ``talkers`` holds at least the SLAs of the replies' conversations, ``customers`` those of the people they name.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replay the timelines, one customer after the other, holding only the open messages of the current one.
 
-    A reply may use the fallback if no open SLA shares its conversation. It then answers the only open SLA of all
-    customers it names, if there is exactly one. Open SLAs are counted with running sums over time; the running
-    exclusive-or of their marks is the mark of the single open one, so no reply/SLA pairs are built.
+    A reply may use the fallback if no open SLA shares its conversation, and then answers the only open message of all
+    customers it names, if there is exactly one. What others have open at that moment comes with the reply.
     """
-    nobody = F.lit(None).cast(_REPLY)
-    order = [F.asc(c) for c in _AXIS]
-    zero = F.lit(0).cast("bigint")
-    whole = F.struct("reply_id", "sent_at", F.col("mailbox").alias("responded_by"), "recipients").cast(_REPLY)
-
-    spoken = replies.filter("conversation_id IS NOT NULL").select(
-        "conversation_id", *_axis(F.col("sent_at"), 1, F.col("reply_id"), 0, 0, zero, whole)
-    )
-    talks = _open_close(talkers.filter("conversation_id IS NOT NULL"), "conversation_id", 0, nobody).unionByName(spoken)
-    gated = running_totals(talks, ["conversation_id"], talk_bucket, order, sums={"open_rows": F.col("change")})
-    silent = replies.filter("conversation_id IS NULL").select(whole.alias("reply"))
-    asking = gated.filter("reply IS NOT NULL AND open_rows = 0").select("reply").unionByName(silent)
-
-    customers = customers.filter("lookup IS NOT NULL")
-    if copies:
-        # copies of one message in several mailboxes are one candidate; it is open while any copy is
-        customers = (
-            customers.groupBy("lookup", "message_id")
-            .agg(
-                F.min("received_at").alias("received_at"),
-                F.when(F.count_if(F.col("closed").isNull()) == 0, F.max("closed")).alias("closed"),
-                F.max_by("sla_id", F.struct("received_at", "sla_id")).alias("sla_id"),
+    lookup: str | None = None
+    waiting: dict[str, tuple] = {}  # open SLA: (received, conversation, message)
+    talks: dict[str | None, int] = {}
+    messages: dict[str, int] = {}
+
+    def add(table: dict, key, change: int) -> None:
+        left = table.get(key, 0) + change
+        if left:
+            table[key] = left
+        else:
+            table.pop(key, None)
+
+    def close(sla_id: str) -> None:
+        if (held := waiting.pop(sla_id, None)) is not None:
+            add(talks, held[1], -1)
+            add(messages, held[2], -1)
+
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in (*_FIELDS, "other_open", "other_talk"))
+        for who, us, phase, by, step, sla_id, talk, message, mailbox, other_open, other_talk in zip(*columns, strict=True):
+            if who != lookup:
+                lookup = who
+                for table in (waiting, talks, messages):
+                    table.clear()
+            if phase == 0:
+                waiting[sla_id] = (us, talk, message)
+                add(talks, talk, 1)
+                add(messages, message, 1)
+            elif step == 1:
+                close(sla_id)
+            else:
+                # messages of this very moment are open for the conversation but cannot be answered yet
+                fresh = [v[2] for v in waiting.values() if v[0] >= us] if len(messages) <= 2 else []
+                old = {m for m in messages if messages[m] > fresh.count(m)} if fresh else messages
+                own_open, own_talk = len(old), talks.get(talk, 0) if talk is not None else 0
+                hit = None
+                if own_open == 1 and not other_open and not own_talk and not other_talk:
+                    (only,) = old
+                    hit = max((v[0], k) for k, v in waiting.items() if v[2] == only and v[0] < us)[1]
+                    close(hit)
+                out.append((by, who, us, mailbox, own_open, own_talk, hit))
+        if out:
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                names=["reply_id", "lookup", "us", "mailbox", "own_open", "own_talk", "sla_id"],
             )
-            .withColumn("mark", F.xxhash64("message_id"))
-        )
-    named = asking.select(
-        F.explode("reply.recipients").alias("lookup"),
-        *_axis(F.col("reply.sent_at"), 1, F.col("reply.reply_id"), 0, 0, zero, F.col("reply")),
-    )
-    people = _open_close(customers, "lookup", 2, nobody).unionByName(named)
-    counted = running_totals(
-        people,
-        ["lookup"],
-        person_bucket,
-        order,
-        sums={"open_rows": F.col("change")},
-        xors={"open_mark": F.col("mark")},
-    ).filter("reply IS NOT NULL AND open_rows > 0")
-    answer = F.struct("reply.sent_at", "reply.reply_id", "reply.responded_by")
-    single = (
-        counted.groupBy("reply.reply_id")
-        .agg(
-            F.sum("open_rows").alias("n"),
-            F.min(F.struct("lookup", "open_mark")).alias("only"),
-            F.min(answer).alias("answer"),
-        )
-        .filter("n = 1")
-        .select(F.col("only.lookup").alias("lookup"), F.col("only.open_mark").alias("mark"), "answer")
-    )
-    # the open interval guards against two messages with one mark
-    ends = F.struct("closed.sent_at", "closed.reply_id")
-    asked = F.struct("answer.sent_at", "answer.reply_id")
-    hit = single.join(customers.select("lookup", "mark", "sla_id", "received_at", "closed"), ["lookup", "mark"]).filter(
-        (F.col("received_at") < F.col("answer.sent_at")) & (F.col("closed").isNull() | (ends >= asked))
-    )
-    return hit.select(F.col("answer.reply_id").alias("reply_id"), "sla_id", "answer")
 
 
-def _first_hits(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("sla_id").agg(F.min("answer").alias("fallback"))
+_FIELDS = tuple(f.split()[0] for f in _EVENT.split(", "))
 
 
-def _to_judge_again(changed: DataFrame, slas: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies whose decision can depend on the changed SLAs: same conversation, or naming the same customer."""
-    touched = slas.join(changed.select("sla_id"), "sla_id", "left_semi").select("conversation_id", "lookup")
-    same_talk = replies.join(touched.select("conversation_id"), "conversation_id", "left_semi").select("reply_id")
-    named = replies.select("reply_id", F.explode("recipients").alias("lookup"))
-    same_person = named.join(touched.select("lookup"), "lookup", "left_semi").select("reply_id")
-    return replies.join(same_talk.unionByName(same_person), "reply_id", "left_semi")
+def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame) -> DataFrame:
+    """(by, lookup, other_open, other_talk): what else is open at each reply, given the closings of this round.
 
+    ``other_open`` counts the messages of the other customers it names, ``other_talk`` the SLAs of others in its
+    conversation: the conversation's running count, in hourly buckets, less the customer's own.
+    """
+    named = looks.groupBy("reply_id").agg(F.sum("own_open").alias("all_open"), F.count(F.lit(1)).alias("n"))
+    keys = ["conversation_id"]
+    # only conversations that are not one customer's alone can hold somebody else's message
+    talked = state.select(*keys, "lookup").unionByName(replies.select(*keys, F.explode("recipients").alias("lookup")))
+    shared = (
+        talked.dropna(subset=keys)
+        .groupBy(*keys)
+        .agg(F.min(F.coalesce("lookup", F.lit(""))).alias("a"), F.max(F.coalesce("lookup", F.lit(""))).alias("b"))
+        .filter("a <> b")
+        .select(*keys)
+    )
+    nobody = F.lit(None).cast("string")
 
-# From this number of SLAs on, rounds with few changes look only at the replies those changes can reach.
-NARROW_FROM = 5_000_000
+    def point(rows: DataFrame, moment: str, phase: int, by: Column, step: int, change: int, reply: Column) -> DataFrame:
+        return rows.select(
+            *keys, F.col(moment).alias("moment"), F.lit(phase).alias("phase"), by.alias("by"), F.lit(step).alias("step"),
+            F.lit(change).cast("bigint").alias("change"), reply.alias("reply_id"),
+        )
 
+    known = state.join(shared, keys, "left_semi")
+    events = (
+        point(known, "received_at", 0, F.lit(""), 0, 1, nobody)
+        .unionByName(point(known.filter("closed IS NOT NULL"), "closed.sent_at", 1, F.col("closed.reply_id"), 1, -1, nobody))
+        .unionByName(point(replies.join(shared, keys, "left_semi"), "sent_at", 1, F.col("reply_id"), 0, 0, F.col("reply_id")))
+    )
+    order = [F.asc(c) for c in ("moment", "phase", "by", "step")]
+    counted = running_totals(events, keys, hour_of(F.col("moment")), order, sums={"all_talk": F.col("change")})
+    talk = counted.filter("reply_id IS NOT NULL").select("reply_id", "all_talk")
+    joined = looks.join(named.filter("n > 1"), "reply_id", "left").join(talk, "reply_id", "left")
+    other_open = F.coalesce(F.col("all_open") - F.col("own_open"), F.lit(0))
+    other_talk = F.coalesce(F.col("all_talk") - F.col("own_talk"), F.lit(0))
+    return joined.select(F.col("reply_id").alias("by"), "lookup", other_open.alias("other_open"), other_talk.alias("other_talk"))
 
-def match_replies(
-    slas: DataFrame, replies: DataFrame, key_limit: int = KEY_LIMIT, narrow_from: int = NARROW_FROM
-) -> DataFrame:
-    """First answer of every SLA, exactly as if replies were handled one by one in the order they were sent.
 
-    Columns: ``sla_id, first_response_at, response_message_id, responded_by, fallback``. A fallback answer changes
-    which SLAs later replies find open. The effect is computed in rounds: each round judges all replies against the
-    closings of the round before, and because a decision depends on earlier ones only, the rounds settle on the
-    sequential outcome. Each round is a fixed number of shuffles and is written to the shared folder. On large inputs,
-    a round after few changes judges only the replies that share a conversation or a customer with a changed SLA.
+def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
+    """First answer of every SLA, exactly as if replies were handled one by one in the order they were sent.
 
-    The largest conversation and customer are measured first; beyond ``key_limit`` rows their timelines are cut into
-    hours, so that no task orders a whole hot key.
+    Columns: ``sla_id, first_response_at, response_message_id, responded_by, fallback``. Answers within a message's own
+    conversation are an as-of lookup. A fallback answer changes which messages later replies find open: each customer's
+    timeline is replayed in one pass, so chains of messages and answers settle at once however long they are. What one
+    customer's replies depend on elsewhere (other customers named in them, or others' messages in the conversation) is
+    taken from the round before; rounds end when that no longer changes, so their number follows the chains that cross
+    customers, not the length of anyone's history. Each round is written to the shared folder.
     """
     cleaned = replies.select(
         "reply_id",
@@ -272,60 +275,45 @@ def match_replies(
         F.lower("customer_email").alias("lookup"),
         "customer_email",
         "received_at",
-        F.xxhash64("message_id").alias("mark"),
     )
     cleaned, base = cut_lineage(cleaned), cut_lineage(base)
-    hours = hour_of(F.col("moment"))
-    talks = base.select("conversation_id").unionByName(cleaned.select("conversation_id")).dropna()
-    people = base.select("lookup").unionByName(cleaned.select(F.explode("recipients").alias("lookup"))).dropna()
-    talk_bucket = bucket_if_hot(talks, ["conversation_id"], hours, key_limit)
-    person_bucket = bucket_if_hot(people, ["lookup"], hours, key_limit)
-    repeated = base.groupBy("lookup", "message_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = not repeated.isEmpty()
-
-    fixed = cut_lineage(base.join(_primary(base, cleaned, talk_bucket), "sla_id", "left").drop("customer_email"))
-    state = fixed.withColumn("closed", F.col("primary"))
-    options = (copies, talk_bucket, person_bucket)
-    total = base.count()
-    hits = cut_lineage(_fallback_hits(state, state, cleaned, *options))
-    known = _first_hits(hits)
-    changed, n_changed = known, total
+    fixed = cut_lineage(base.join(_primary(base, cleaned, hour_of(F.col("moment"))), "sla_id", "left").drop("customer_email"))
+    events = cut_lineage(_events(fixed, cleaned))
+    elsewhere = None
     while True:
-        state = fixed.join(known, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
-        if total >= narrow_from and n_changed * 20 < total:
-            again = cut_lineage(_to_judge_again(changed, fixed, cleaned))
-            talkers = state.join(again.select("conversation_id"), "conversation_id", "left_semi")
-            named = again.select(F.explode("recipients").alias("lookup"))
-            customers = state.join(named, "lookup", "left_semi")
-            kept = hits.join(again.select("reply_id"), "reply_id", "left_anti")
-            hits = cut_lineage(kept.unionByName(_fallback_hits(talkers, customers, again, *options)))
+        if elsewhere is None:
+            told = events.withColumns({"other_open": F.lit(0).cast("bigint"), "other_talk": F.lit(0).cast("bigint")})
         else:
-            hits = cut_lineage(_fallback_hits(state, state, cleaned, *options))
-        found = _first_hits(hits)
-        changed = cut_lineage(_changed(known, found))
-        known, n_changed = found, changed.count()
-        if n_changed == 0:
+            busy = elsewhere.filter("other_open <> 0 OR other_talk <> 0")
+            told = events.join(busy, ["by", "lookup"], "left").na.fill(0, ["other_open", "other_talk"])
+        ordered = told.repartition("lookup").sortWithinPartitions("lookup", *_ORDER)
+        looks = cut_lineage(ordered.select(*_FIELDS, "other_open", "other_talk").mapInArrow(_fold, _LOOK))
+        answer = F.struct(F.timestamp_micros("us").alias("sent_at"), "reply_id", F.col("mailbox").alias("responded_by"))
+        hits = looks.filter("sla_id IS NOT NULL").groupBy("sla_id").agg(F.min(answer).alias("fallback"))
+        state = fixed.join(hits, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
+        found = cut_lineage(_elsewhere(looks, state, cleaned))
+        before = elsewhere if elsewhere is not None else found.limit(0)
+        if _same(before, found):
             break
-    first = F.least("primary", "fallback")
-    return (
-        fixed.join(known, "sla_id", "left")
-        .filter(first.isNotNull())
-        .select(
-            "sla_id",
-            first["sent_at"].alias("first_response_at"),
-            first["reply_id"].alias("response_message_id"),
-            first["responded_by"].alias("responded_by"),
-            F.coalesce(F.col("primary").isNull() | (F.col("fallback") < F.col("primary")), F.lit(False)).alias("fallback"),
-        )
+        elsewhere = found
+    first = F.col("closed")
+    return state.filter(first.isNotNull()).select(
+        "sla_id",
+        first["sent_at"].alias("first_response_at"),
+        first["reply_id"].alias("response_message_id"),
+        first["responded_by"].alias("responded_by"),
+        F.coalesce(F.col("primary").isNull() | (F.col("fallback") < F.col("primary")), F.lit(False)).alias("fallback"),
     )
 
 
-def _changed(a: DataFrame, b: DataFrame) -> DataFrame:
-    """SLAs on whose fallback answer two rounds disagree."""
-    both = a.select("sla_id", F.col("fallback").alias("x")).join(
-        b.select("sla_id", F.col("fallback").alias("y")), "sla_id", "full"
-    )
-    return both.filter(~F.col("x").eqNullSafe(F.col("y"))).select("sla_id")
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """True if two rounds agree on what is open elsewhere; nothing open is the same as not being there."""
+
+    def mark(x: DataFrame):
+        kept = x.filter("other_open <> 0 OR other_talk <> 0")
+        return kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)"))).first()
+
+    return mark(a) == mark(b)
 
 
 # -- states -------------------------------------------------------------------------------------------------------

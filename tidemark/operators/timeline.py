@@ -2,8 +2,7 @@
 
 A key's timeline is cut into buckets (for example hours). Totals per (key, bucket) are pre-aggregated and carried
 forward over the few rows that remain per key, and only the rows of one bucket are ordered together. Cost is linear
-in the rows, whatever the size of the largest key. Callers that have measured their largest key and found it small
-pass no bucket and save the extra shuffles.
+in the rows, whatever the size of the largest key.
 """
 
 from __future__ import annotations
@@ -20,22 +19,13 @@ def hour_of(moment: Column) -> Column:
     return F.floor(F.unix_micros(moment) / 3_600_000_000).cast("bigint")
 
 
-# Largest number of rows of one key that may be ordered in one task; bigger keys are cut into buckets.
-KEY_LIMIT = 1_000_000
-
-
-def bucket_if_hot(df: DataFrame, keys: Sequence[str], bucket: Column, limit: int = KEY_LIMIT) -> Column | None:
-    """``bucket`` where some key has more than ``limit`` rows, else ``None``. Counts rows per key; no row reaches the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return bucket if not sizes.filter(F.col("n") > limit).isEmpty() else None
-
-
 def spread_nulls(key: Column, rows: DataFrame) -> Column:
     """``key`` for an outer join, with nulls replaced by texts that match nothing.
 
-    Null keys never match, but hashing would send all of them to one task.
+    Null keys never match, but hashing would send all of them to one task. The replacement is made of the first column
+    of ``rows``, the one that identifies them, so that no other column is read for it.
     """
-    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string")))
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.xxhash64(rows.columns[0]).cast("string")))
 
 
 def rank_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str = "_rank") -> DataFrame:
@@ -55,7 +45,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column | None,
+    bucket: Column,
     order: Sequence[Column],
     sums: Mapping[str, Column] | None = None,
     xors: Mapping[str, Column] | None = None,
@@ -65,11 +55,6 @@ def running_totals(
     ``bucket`` must not decrease along ``order`` and keys must not be null.
     """
     sums, xors = dict(sums or {}), dict(xors or {})
-    if bucket is None:
-        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns(
-            {n: F.sum(c).over(whole) for n, c in sums.items()} | {n: F.bit_xor(c).over(whole) for n, c in xors.items()}
-        )
     cut = df.withColumn(BUCKET, bucket)
     per_bucket = cut.groupBy(*keys, BUCKET).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.bit_xor(c).alias(n) for n, c in xors.items()]
@@ -92,7 +77,7 @@ def running_totals(
 
 
 def next_value(
-    df: DataFrame, keys: Sequence[str], bucket: Column | None, order: Sequence[str], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str
 ) -> DataFrame:
     """Add, per row, the first non-null ``value`` of the rows after it in ``order`` (as-of join, looking forward).
 
@@ -100,9 +85,6 @@ def next_value(
     """
     # frames run backwards: "unbounded following" frames are recomputed per row, "unbounded preceding" ones are not
     backwards = [F.desc(c) for c in order]
-    if bucket is None:
-        whole = Window.partitionBy(*keys).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(whole))
     cut = df.withColumns({BUCKET: bucket, "_value": value})
     firsts = cut.groupBy(*keys, BUCKET).agg(F.min("_value").alias("_first"))
     later = Window.partitionBy(*keys).orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)

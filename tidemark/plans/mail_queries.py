@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.calendar import deadline
 from ..operators import feed as fd
 from ..operators import identity, ingest, mutations, queue as qu, sla
-from ..operators.timeline import bucket_if_hot, next_value
+from ..operators.timeline import next_value
 from ..sources import landing
 from ..sources import tables as tb
 from .registry import Registry
@@ -604,8 +604,7 @@ def thread_answers(spark, d):
     """First answer to every question of a thread, by the same forward lookup as reply matching."""
     turns = tb.table(spark, d, "conversations").select("conv_id", "turn", "role")
     answer = F.when(F.col("role") == "assistant", F.col("turn"))
-    bucket = bucket_if_hot(turns, ["conv_id"], F.expr("turn div 1000"))
-    found = next_value(turns, ["conv_id"], bucket, ["turn"], answer, "answer_turn")
+    found = next_value(turns, ["conv_id"], F.expr("turn div 1000"), ["turn"], answer, "answer_turn")
     return found.filter("role = 'user'").select("conv_id", "turn", "answer_turn")
 
 

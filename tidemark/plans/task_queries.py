@@ -426,24 +426,34 @@ _FRESH = f"""(SELECT *, {fingerprint()} AS task_fingerprint FROM (
     SELECT * EXCLUDE (task_fingerprint) REPLACE (CAST(date_trunc('year', due_date) AS DATE) AS due_date,
       'msg-' || (id // 40) AS source_email_id) FROM tasks))"""
 
+# the rows that stored tasks do not settle are replayed one by one, with a list of what has been created so far
 _EXACT = f"""
+  SELECT * FROM (WITH RECURSIVE judged AS MATERIALIZED (
+    SELECT f.*, k.known_id, o.old_id, coalesce(f.source_email_id, 'row:' || f.id) || '/' || f.task_fingerprint AS m,
+      CASE WHEN f.source_mailbox IS NULL OR f.normalized_sender IS NULL THEN 'row:' || f.id
+           ELSE f.source_mailbox || '//' || f.normalized_sender || '//' || f.task_fingerprint END AS s
+    FROM (SELECT id, source_email_id, {KEYS}, created_at FROM {_FRESH} WHERE NOT {_OLD}) f
+    LEFT JOIN (SELECT source_email_id, task_fingerprint, min_by(id, (created_at, id)) AS known_id FROM {_FRESH}
+               WHERE {_OLD} AND source_email_id IS NOT NULL GROUP BY ALL) k USING (source_email_id, task_fingerprint)
+    LEFT JOIN (SELECT {KEYS}, min_by(id, (created_at, id)) AS old_id FROM {_FRESH} WHERE {_OLD} AND {ACTIVE}
+               GROUP BY ALL) o USING ({KEYS})
+  ), waiting AS MATERIALIZED (
+    SELECT id, m, s, old_id, row_number() OVER (ORDER BY created_at, id) AS i FROM judged WHERE known_id IS NULL
+  ), replay AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS BIGINT) AS task,
+      CAST([] AS STRUCT(m VARCHAR, s VARCHAR, id BIGINT)[]) AS made
+    UNION ALL
+    SELECT w.i, w.id,
+      CASE WHEN by_message IS NOT NULL THEN 'KNOWN' WHEN by_scope IS NOT NULL THEN 'EXACT' ELSE 'CREATED' END,
+      coalesce(by_message, by_scope, w.id),
+      CASE WHEN by_message IS NULL AND by_scope IS NULL THEN list_append(made, {{'m': w.m, 's': w.s, 'id': w.id}}) ELSE made END
+    FROM (SELECT w.*, r.made, list_filter(r.made, lambda x: x.m = w.m)[1].id AS by_message,
+            coalesce(w.old_id, list_filter(r.made, lambda x: x.s = w.s)[1].id) AS by_scope
+          FROM replay r JOIN waiting w ON w.i = r.i + 1) w
+  )
   SELECT id, source_email_id, {KEYS},
-    CASE WHEN known_id IS NOT NULL THEN 'KNOWN' WHEN old_id IS NOT NULL THEN 'EXACT' WHEN id = maker_id THEN 'CREATED'
-         WHEN source_email_id = maker_message THEN 'KNOWN' ELSE 'EXACT' END AS decision,
-    coalesce(known_id, old_id, maker_id) AS task_id
-  FROM (
-    SELECT *, first_value(id) OVER w AS maker_id, first_value(source_email_id) OVER w AS maker_message
-    FROM (
-      SELECT f.*, k.known_id, o.old_id,
-        CASE WHEN known_id IS NOT NULL OR old_id IS NOT NULL THEN 'settled'
-             WHEN f.source_mailbox IS NULL OR f.normalized_sender IS NULL THEN coalesce(f.source_email_id, 'row:' || f.id) || '/' || f.task_fingerprint
-             ELSE f.source_mailbox || '//' || f.normalized_sender || '//' || f.task_fingerprint END AS rival
-      FROM (SELECT * FROM {_FRESH} WHERE NOT {_OLD}) f
-      LEFT JOIN (SELECT source_email_id, task_fingerprint, min_by(id, (created_at, id)) AS known_id FROM {_FRESH}
-                 WHERE {_OLD} AND source_email_id IS NOT NULL GROUP BY ALL) k USING (source_email_id, task_fingerprint)
-      LEFT JOIN (SELECT {KEYS}, min_by(id, (created_at, id)) AS old_id FROM {_FRESH} WHERE {_OLD} AND {ACTIVE}
-                 GROUP BY ALL) o USING ({KEYS}))
-    WINDOW w AS (PARTITION BY rival ORDER BY created_at, id))"""
+    CASE WHEN known_id IS NOT NULL THEN 'KNOWN' ELSE outcome END AS decision, coalesce(known_id, task) AS task_id
+  FROM judged LEFT JOIN (SELECT id, outcome, task FROM replay) USING (id))"""
 
 
 def _exact_decisions(spark, d):
@@ -501,7 +511,7 @@ def similarity_candidates(spark, d):
 def _pairs(spark, d):
     vectors = tb.table(spark, d, "embeddings").selectExpr("vec_id AS id", "label", "embedding AS vector")
     found = dedup.recent_candidates(vectors, vectors, ["label"], ["id"], F.expr("id div 64"))
-    return dedup.score_candidates(found, vectors)
+    return vectors, dedup.score_candidates(found, vectors)
 
 
 def _verdicts(scored):
@@ -524,12 +534,12 @@ _PAIRS = f"""(SELECT new_id, candidate_id, candidate_rank, {_COSINE} AS score FR
 
 @registry.add(f"SELECT new_id, candidate_id, candidate_rank, round(score, 6) AS score FROM {_PAIRS}")
 def similarity_scores(spark, d):
-    return _pairs(spark, d).withColumn("score", F.round("score", 6))
+    return _pairs(spark, d)[1].withColumn("score", F.round("score", 6))
 
 
 _SIMILAR = f"""
   SELECT new_id, coalesce(decision, 'CREATE') AS decision, matched_task_id, match_reason FROM
-  (SELECT DISTINCT new_id FROM {_PAIRS}) LEFT JOIN (
+  (SELECT vec_id AS new_id FROM embeddings) LEFT JOIN (
     SELECT new_id,
       CASE WHEN same IS NOT NULL THEN 'SEMANTIC_SAME' WHEN away IS NOT NULL THEN 'DEFER_UNAVAILABLE'
            WHEN bad IS NOT NULL THEN 'DEFER_MALFORMED' WHEN unsure IS NOT NULL THEN 'CREATE_AMBIGUOUS' ELSE 'CREATE' END AS decision,
@@ -543,8 +553,8 @@ _SIMILAR = f"""
 
 
 def _similar(spark, d):
-    scored = _pairs(spark, d)
-    return dedup.decide_similar(scored, _verdicts(scored), threshold=0.25)
+    vectors, scored = _pairs(spark, d)
+    return dedup.decide_similar(vectors, scored, _verdicts(scored), threshold=0.25)
 
 
 @registry.add(_SIMILAR)

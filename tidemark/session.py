@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -33,7 +34,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .appName("tidemark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
         # no Python call sites per expression: plans build faster
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -61,9 +63,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder so that later rounds survive lost executors."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint()
+    """Write to the shared folder and read back, so that later rounds start from files and survive lost executors."""
+    path = scratch_path(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
