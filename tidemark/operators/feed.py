@@ -52,6 +52,64 @@ def sla_events(slas: DataFrame) -> DataFrame:
     return change_events(slas, kind, "SLA", F.col("sla_id"), payload, moment)
 
 
+def sla_transitions(slas: DataFrame) -> DataFrame:
+    """One event per transition of each SLA: created, and later completed or breached."""
+    met, missed = F.col("status") == "COMPLETED", F.col("status") == "BREACHED"
+    steps = F.array(
+        F.struct(F.lit("SLA_CREATED").alias("kind"), F.lit("WAITING").alias("state"), F.col("received_at").alias("at")),
+        F.when(met, F.struct(F.lit("SLA_COMPLETED").alias("kind"), F.lit("COMPLETED").alias("state"), F.col("first_response_at").alias("at"))),
+        F.when(
+            missed,
+            F.struct(F.lit("SLA_BREACHED").alias("kind"), F.lit("BREACHED").alias("state"), F.coalesce("first_response_at", "sla_deadline_at").alias("at")),
+        ),
+    )
+    taken = slas.select("sla_id", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("t"))
+    payload = {"slaId": F.col("sla_id"), "status": F.col("t.state")}
+    return change_events(taken, F.col("t.kind"), "SLA", F.col("sla_id"), payload, F.col("t.at"))
+
+
+def task_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Events of tasks that are new in ``after`` and of each field of the others that changed.
+
+    A new task gives TASK_CREATED alone; a changed status, priority or assignee an event each; any other change of a
+    known task gives TASK_UPDATED if none of those three did.
+    """
+    watched = ["status", "priority", "assignee", "assignee_email", "title", "due_date"]
+    old = before.select("id", F.struct(*watched).alias("o"))
+    paired = after.select("id", "updated_at", "created_at", F.struct(*watched).alias("n")).join(old, "id", "left")
+
+    def differs(*columns: str) -> Column:
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+        return ~same
+
+    known = F.col("o").isNotNull()
+    status, priority = known & differs("status"), known & differs("priority")
+    assignee = known & differs("assignee", "assignee_email")
+    other = known & differs("title", "due_date") & ~status & ~priority & ~assignee
+    kinds = F.array(
+        F.when(~known, F.lit("TASK_CREATED")),
+        F.when(status, F.lit("TASK_STATUS_CHANGED")),
+        F.when(priority, F.lit("TASK_PRIORITY_CHANGED")),
+        F.when(assignee, F.lit("TASK_ASSIGNEE_CHANGED")),
+        F.when(other, F.lit("TASK_UPDATED")),
+    )
+    changed = paired.withColumn("kind", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
+    payload = {"taskId": F.col("id"), "status": F.col("n.status"), "priority": F.col("n.priority"), "assignee": F.col("n.assignee")}
+    moment = F.when(F.col("kind") == "TASK_CREATED", F.col("created_at")).otherwise(F.col("updated_at"))
+    return change_events(changed, F.col("kind"), "TASK", F.col("id"), payload, moment)
+
+
+def mail_events(queue: DataFrame) -> DataFrame:
+    """An event for every message whose processing has ended well."""
+    ended = queue.filter(F.col("status").isin("COMPLETED", "SKIPPED"))
+    payload = {c: F.col(n) for c, n in (("mailboxUserId", "mailbox_user_id"), ("messageId", "message_id"), ("status", "status"))}
+    return change_events(
+        ended, F.lit("EMAIL_PROCESSED"), "EMAIL", F.col("id"), payload, F.coalesce("processed_at", "updated_at")
+    )
+
+
 def due_events(feed: DataFrame, as_of: datetime, limit: int = BATCH) -> DataFrame:
     """The oldest due PENDING events, claimed for publishing."""
     return (

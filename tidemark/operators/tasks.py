@@ -23,7 +23,7 @@ LIST_COLUMNS = (
 FULL_COLUMNS = (
     "id", "title", "description", "assignee", "assignee_email", "due_date", "priority", "status", "source_email_id",
     "source_subject", "source_sender", "source_mailbox", "source_domain", "source_type", "created_at", "updated_at",
-    "email_received_at", "source_email_body",
+    "email_received_at", "source_email_body", "ai_reason",
 )
 CARD_COLUMNS = ("id", "title", "assignee", "due_date", "priority", "status", "updated_at")
 

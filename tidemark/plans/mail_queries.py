@@ -379,11 +379,11 @@ def extracted_tasks(spark, d):
           subject AS source_subject, nullif(lower({strip('sender_email')}), '') AS normalized_sender, mailbox_user_id AS source_mailbox,
           CASE WHEN {_CLASS} IN ('INTERNAL', 'EXTERNAL') THEN {_CLASS} END AS source_type, {parse_instant('received')} AS email_received_at
         FROM {_ITEMS} i JOIN emails USING (mailbox_user_id, message_id)
-        LEFT JOIN employees o ON o.microsoft_user_id = 'ms-' || (position % 90) || '-0')""".replace("SELECT *, md5", "SELECT * REPLACE (CAST(due_date AS VARCHAR) AS due_date), md5")
+        LEFT JOIN employees o ON o.microsoft_user_id = 'ms-' || user_no || '-0')""".replace("SELECT *, md5", "SELECT * REPLACE (CAST(due_date AS VARCHAR) AS due_date), md5")
 )
 def extracted_task_rows(spark, d):
     owner = tb.employees(spark, d).select("name", "email", "microsoft_user_id")
-    mail = _classed(spark, d).withColumn("_owner", F.concat(F.lit("ms-"), F.col("position") % 90, F.lit("-0")))
+    mail = _classed(spark, d).withColumn("_owner", F.concat(F.lit("ms-"), F.col("user_no"), F.lit("-0")))
     mail = identity.resolve_by_mailbox(mail, owner.withColumn("id", F.lit(0)), "_owner")
     rows = ingest.task_rows(mail, ingest.extracted_tasks(_replies(spark, d)))
     return rows.drop("source_sender", "source_email_body", "source_domain", "status")
@@ -874,6 +874,27 @@ def stale_projections(spark, d):
     return fd.stale_projections(tb.feed(spark, d))
 
 
+@registry.add(
+    f"""SELECT event_type, 'SLA' AS entity_type, sla_id AS entity_id, '{{"slaId":"' || sla_id || '","status":"' || state || '"}}' AS payload,
+          'PENDING' AS status, moment AS created_at
+        FROM (SELECT sla_id, 'SLA_CREATED' AS event_type, 'WAITING' AS state, received_at AS moment FROM {_STATED}
+              UNION ALL SELECT sla_id, 'SLA_COMPLETED', 'COMPLETED', first_response_at FROM {_STATED} WHERE status = 'COMPLETED'
+              UNION ALL SELECT sla_id, 'SLA_BREACHED', 'BREACHED', coalesce(first_response_at, sla_deadline_at) FROM {_STATED} WHERE status = 'BREACHED')"""
+)
+def sla_transition_events(spark, d):
+    return fd.sla_transitions(_stated(spark, d)).drop("id", "attempt_count")
+
+
+@registry.add(
+    """SELECT 'EMAIL_PROCESSED' AS event_type, 'EMAIL' AS entity_type, CAST(id AS VARCHAR) AS entity_id,
+         '{"mailboxUserId":"' || mailbox_user_id || '","messageId":"' || message_id || '","status":"' || status || '"}' AS payload,
+         'PENDING' AS status, coalesce(processed_at, updated_at) AS created_at
+       FROM queue WHERE status IN ('COMPLETED', 'SKIPPED')"""
+)
+def mail_feed_events(spark, d):
+    return fd.mail_events(tb.queue(spark, d)).drop("id", "attempt_count")
+
+
 @registry.add(
     f"""SELECT CASE status WHEN 'COMPLETED' THEN 'SLA_COMPLETED' WHEN 'BREACHED' THEN 'SLA_BREACHED' ELSE 'SLA_CREATED' END AS event_type,
           'SLA' AS entity_type, sla_id AS entity_id, '{{"slaId":"' || sla_id || '","status":"' || status || '"}}' AS payload, 'PENDING' AS status,
@@ -881,3 +902,22 @@ def stale_projections(spark, d):
 )
 def sla_feed_events(spark, d):
     return fd.sla_events(_stated(spark, d)).drop("id", "attempt_count")
+
+
+@registry.add(
+    """SELECT c_custkey AS message_id, list_aggregate(list_transform(list_filter(r, lambda x: trim(coalesce(x.address, '')) <> ''),
+         lambda x: CASE WHEN trim(coalesce(x.name, '')) = '' THEN x.address ELSE x.name || ' <' || x.address || '>' END), 'string_agg', '; ') AS shown
+       FROM (SELECT c_custkey, [{'name': c_name, 'address': 'c' || c_custkey || '@x.example'},
+               {'name': CASE WHEN c_custkey % 3 = 0 THEN ' ' WHEN c_custkey % 3 = 1 THEN c_mktsegment END, 'address': c_mktsegment || '@y.example'},
+               {'name': c_name, 'address': CASE WHEN c_custkey % 2 = 0 THEN '  ' END}] AS r FROM customer)"""
+)
+def recipient_texts(spark, d):
+    """Recipients as a reader sees them."""
+    people = tb.table(spark, d, "customer").selectExpr(
+        "c_custkey AS message_id",
+        """array(named_struct('name', c_name, 'address', concat('c', c_custkey, '@x.example')),
+                 named_struct('name', CASE WHEN c_custkey % 3 = 0 THEN ' ' WHEN c_custkey % 3 = 1 THEN c_mktsegment END,
+                              'address', concat(c_mktsegment, '@y.example')),
+                 named_struct('name', c_name, 'address', CASE WHEN c_custkey % 2 = 0 THEN '  ' END)) AS r""",
+    )
+    return people.select("message_id", F.array_join(ad.recipient_display(F.col("r")), "; ").alias("shown"))

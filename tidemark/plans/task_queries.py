@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, identity, mutations, quality, tasks as tk
+from ..operators import dedup, feed, identity, mutations, quality, tasks as tk
 from ..sources import landing
 from ..sources import tables as tb
 from .registry import Registry
@@ -466,6 +466,16 @@ def exact_decisions(spark, d):
     return _exact_decisions(spark, d)
 
 
+@registry.add(
+    f"""SELECT 'created_twice' AS check_name, count(*) AS violations FROM (SELECT 1 FROM ({_EXACT})
+        WHERE decision = 'CREATED' AND source_email_id IS NOT NULL GROUP BY source_email_id, task_fingerprint HAVING count(*) > 1)"""
+)
+def created_once(spark, d):
+    """No message creates one task twice: the report finds nothing."""
+    made = _exact_decisions(spark, d).filter("decision = 'CREATED' AND source_email_id IS NOT NULL")
+    return quality.unique_checks({"created_twice": (made, ["source_email_id", "task_fingerprint"])})
+
+
 @registry.add(
     f"""SELECT 'EXACT' AS match_type, task_id AS matched_task_id, CAST(NULL AS BIGINT) AS new_task_id, source_email_id,
           source_mailbox, normalized_sender, 'Exact canonical fingerprint match' AS match_reason
@@ -632,7 +642,7 @@ def directory_members(spark, d):
 
 # -- commands -----------------------------------------------------------------------------------------------------
 
-_COMMANDS = """(SELECT event_id AS seq, ts AS at_time, event_id % 700 AS task_id,
+_COMMANDS = """(SELECT event_id AS seq, ts AS at_time, (event_id // 3) * 4 AS task_id,
     ['set_status', 'set_priority', 'set_assignee'][event_id % 3 + 1] AS action,
     CASE event_id % 3 WHEN 0 THEN ['NEW', 'IN_PROGRESS', 'COMPLETED', 'BLOCKED'][(event_id // 3) % 4 + 1]
       WHEN 1 THEN ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][(event_id // 3) % 4 + 1]
@@ -644,7 +654,7 @@ def _commands(spark, d):
     return tb.table(spark, d, "events").selectExpr(
         "event_id AS seq",
         "ts AS at",
-        "event_id % 700 AS task_id",
+        "(event_id div 3) * 4 AS task_id",
         "element_at(array('set_status', 'set_priority', 'set_assignee'), cast(event_id % 3 + 1 AS int)) AS action",
         """CASE event_id % 3
              WHEN 0 THEN element_at(array('NEW', 'IN_PROGRESS', 'COMPLETED', 'BLOCKED'), cast((event_id div 3) % 4 + 1 AS int))
@@ -671,6 +681,33 @@ def tasks_after_commands(spark, d):
     return done.select("id", "status", "priority", "assignee", "assignee_email", "updated_at")
 
 
+@registry.add(
+    f"""WITH c AS (SELECT * FROM {_COMMANDS}),
+        l AS (SELECT task_id, action, arg_max(value, (at_time, seq)) AS value, max(at_time) AS t FROM c GROUP BY 1, 2),
+        e AS (SELECT lower(email) AS k, arg_min(name, id) AS name FROM employees GROUP BY 1),
+        n AS (SELECT t.id, t.created_at, t.status AS s0, t.priority AS p0, t.assignee AS a0, t.assignee_email AS m0,
+            coalesce(s.value, status) AS s1, coalesce(p.value, priority) AS p1,
+            CASE WHEN a.value IS NULL THEN assignee WHEN trim(a.value) = '' THEN NULL ELSE coalesce(e.name, a.value) END AS a1,
+            CASE WHEN a.value IS NULL THEN assignee_email WHEN trim(a.value) = '' THEN NULL ELSE a.value END AS m1,
+            coalesce(greatest(s.t, p.t, a.t), updated_at) AS updated_at
+          FROM tasks t LEFT JOIN l s ON s.task_id = t.id AND s.action = 'set_status'
+            LEFT JOIN l p ON p.task_id = t.id AND p.action = 'set_priority'
+            LEFT JOIN l a ON a.task_id = t.id AND a.action = 'set_assignee' LEFT JOIN e ON e.k = lower(trim(a.value)))
+        SELECT event_type, 'TASK' AS entity_type, CAST(id AS VARCHAR) AS entity_id,
+          '{{"taskId":"' || id || '","status":"' || s1 || '","priority":"' || p1 || '","assignee":"' || coalesce(a1, '') || '"}}' AS payload,
+          'PENDING' AS status, CASE WHEN event_type = 'TASK_CREATED' THEN created_at ELSE updated_at END AS created_at
+        FROM (SELECT *, 'TASK_CREATED' AS event_type FROM n WHERE id % 10 = 0
+          UNION ALL SELECT *, 'TASK_STATUS_CHANGED' FROM n WHERE id % 10 <> 0 AND s0 <> s1
+          UNION ALL SELECT *, 'TASK_PRIORITY_CHANGED' FROM n WHERE id % 10 <> 0 AND p0 <> p1
+          UNION ALL SELECT *, 'TASK_ASSIGNEE_CHANGED' FROM n WHERE id % 10 <> 0 AND (a0 IS DISTINCT FROM a1 OR m0 IS DISTINCT FROM m1))"""
+)
+def task_feed_events(spark, d):
+    """Every tenth task is new; the others changed by their commands."""
+    rows = tb.tasks(spark, d)
+    after = mutations.apply_commands(rows, _commands(spark, d), tb.employees(spark, d))
+    return feed.task_events(rows.filter("id % 10 <> 0"), after).drop("id", "attempt_count")
+
+
 @registry.add(
     f"""SELECT id, coalesce(status, 'NEW') AS status, coalesce(priority, 'MEDIUM') AS priority, normalized_sender,
           {fingerprint()} AS task_fingerprint
@@ -723,7 +760,7 @@ def quality_guards(spark, d):
        UNION ALL SELECT 'queue_message', count(*) FROM (SELECT 1 FROM queue GROUP BY mailbox_user_id, message_id HAVING count(*) > 1)
        UNION ALL SELECT 'intelligence_message', count(*) FROM (SELECT 1 FROM emails GROUP BY mailbox_user_id, message_id HAVING count(*) > 1)
        UNION ALL SELECT 'sla_message', count(*) FROM (SELECT 1 FROM opened GROUP BY mailbox_user_id, message_id HAVING count(*) > 1)
-       UNION ALL SELECT 'customer_domain', count(*) FROM (SELECT 1 FROM (SELECT DISTINCT sender_domain FROM emails) GROUP BY sender_domain HAVING count(*) > 1)
+       UNION ALL SELECT 'customer_domain', count(*) FROM (SELECT 1 FROM emails WHERE sender_domain IS NOT NULL GROUP BY sender_domain HAVING count(*) > 1)
        UNION ALL SELECT 'task_status', count(*) FROM tasks WHERE status NOT IN ('NEW', 'IN_PROGRESS', 'COMPLETED', 'BLOCKED')"""
 )
 def uniqueness_checks(spark, d):
@@ -739,7 +776,7 @@ def uniqueness_checks(spark, d):
             "queue_message": (tb.queue(spark, d), ["mailbox_user_id", "message_id"]),
             "intelligence_message": (mail, ["mailbox_user_id", "message_id"]),
             "sla_message": (opened, ["mailbox_user_id", "message_id"]),
-            "customer_domain": (mail.select("sender_domain").distinct(), ["sender_domain"]),
+            "customer_domain": (mail.select("sender_domain").dropna(), ["sender_domain"]),
         }
     )
     # ARCHIVED is left out of the accepted values on purpose, so that the check has something to find

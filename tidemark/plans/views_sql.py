@@ -99,6 +99,7 @@ VIEWS: dict[str, str] = {
     c_mktsegment || '.example' AS source_domain,
     CASE o_custkey % 3 WHEN 0 THEN 'INTERNAL' WHEN 1 THEN 'EXTERNAL' END AS source_type,
     'Body of ' || o_orderkey AS source_email_body,
+    CASE WHEN o_orderkey % 5 <> 0 THEN 'Asked for by ' || c_name END AS ai_reason,
     o_orderdate + to_minutes(o_orderkey % 1440) AS created_at,
     o_orderdate + to_hours(o_orderkey % 97) AS updated_at,
     CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate - to_hours(o_orderkey % 5) END AS email_received_at
@@ -114,7 +115,7 @@ VIEWS: dict[str, str] = {
     CASE n WHEN 0 THEN 'user' || g || '@org.example' WHEN 1 THEN 'User' || g || '@alt.example'
            ELSE 'USER' || g || '@old.example' END AS email,
     CASE WHEN (g + n) % 4 <> 0 THEN 'ms-' || g || '-' || n END AS microsoft_user_id
-  FROM (SELECT c_custkey // 10 AS g FROM customer WHERE c_custkey % 10 = 0) p
+  FROM (SELECT DISTINCT c_custkey // 10 AS g FROM customer) p
   CROSS JOIN (VALUES (0), (1), (2)) v(n)
   WHERE n = 0 OR (n = 1 AND g % 3 = 0) OR (n = 2 AND g % 6 = 0)""",
     "email_rows": f"""

@@ -84,6 +84,7 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
         "concat(c_mktsegment, '.example') AS source_domain",
         "CASE o_custkey % 3 WHEN 0 THEN 'INTERNAL' WHEN 1 THEN 'EXTERNAL' END AS source_type",
         "concat('Body of ', o_orderkey) AS source_email_body",
+        "CASE WHEN o_orderkey % 5 <> 0 THEN concat('Asked for by ', c_name) END AS ai_reason",
         "timestampadd(MINUTE, cast(o_orderkey % 1440 AS int), o_orderdate) AS created_at",
         "timestampadd(HOUR, cast(o_orderkey % 97 AS int), o_orderdate) AS updated_at",
         """CASE WHEN o_orderkey % 13 <> 0
@@ -102,7 +103,8 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 def employees(spark: SparkSession, folder: str) -> DataFrame:
     """Directory rows; every third person has a second spelling, every sixth a third one."""
-    people = table(spark, folder, "customer").filter("c_custkey % 10 = 0").selectExpr("c_custkey div 10 AS g")
+    # ten customers are one person
+    people = table(spark, folder, "customer").selectExpr("c_custkey div 10 AS g").distinct()
     spelled = people.selectExpr(
         "g",
         """explode(filter(array(
