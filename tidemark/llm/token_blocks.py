@@ -16,9 +16,9 @@ Repeated rows are written one by one. An empty table gives no segments and an em
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,18 +38,28 @@ MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIIqIQII")
 #: minimum, width, ids, exceptions
 BLOCK_HEADER = struct.Struct("<IBHH")
-#: Words kept with their ids in one Python worker.
-CACHE_WORDS = 200_000
-ODD_BLANK = re.compile(r"(?:^|\s) | (?:\s|$)")
-WORD_EDGE = re.compile(r"(?<=\S)(?= \S)")
+#: Words kept with their ids in one Python worker; words beyond are learnt for one batch only.
+CACHE_WORDS = 800_000
+
+
+class Words(dict):
+    """Ids by word; a word that is asked for in vain is noted, once."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self[word] = None
+        self.new.append(word)
 
 
 class WordEncoder:
     """Ids of whole texts, each different word sent to the library once.
 
     The vocabulary's splitting rule never joins a character with a single blank after it, so a text may be cut before
-    every blank that stands alone between two other characters; the ids of the parts are those of the whole. A text
-    that names a special token goes to the library in one piece.
+    every blank that stands alone between two other characters; the ids of the parts are those of the whole. New words
+    go to the library in one text, whose ids are dealt out by the bytes that they stand for. Texts with other blanks
+    next to one another, or with a special token, go to the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,37 +68,49 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for w, e in zip(new, self.library.encode_batch_fast([lead + w for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+        vocabulary = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a character of a token stands for a byte
+        self.known = Words()  # words after a blank; None: not to be cut out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [" " + w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        if plain:
+            (data,) = self.whole(["".join(plain)])
+            ends = np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")])
+            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in plain])) + 1
+            first = 0
+            for w, last in zip(plain, (4 * cuts).tolist(), strict=True):
+                self.known[w[1:]] = data[first:last]
+                first = last
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first.clear()
-            self.later.clear()
-        cut: list[tuple[str, list[str]] | None] = []
+        heads, rests = [], []
         for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-            elif ODD_BLANK.search(text):
-                head, *rest = WORD_EDGE.split(text)
-                cut.append((head, [w[1:] for w in rest]))
-            else:
-                head, *rest = text.split(" ")
-                cut.append((head, rest))
-        self._learn(self.first, {c[0] for c in cut if c}, "")
-        self._learn(self.later, set().union(*(c[1] for c in cut if c)), " ")
-        out = []
-        for text, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1])))
+            head, *rest = text.split(" ")
+            heads.append(head)
+            rests.append(rest)
+            deque(map(self.known.__getitem__, rest), maxlen=0)  # notes the new words
+        new, self.known.new = self.known.new, []
+        self._learn(new)
+        out: list[bytes | None] = []
+        for text, head, ids, rest in zip(texts, heads, self.whole(heads), rests, strict=True):
+            odd = rest and (not head or head[-1].isspace()) or any(s in text for s in self.special)
+            try:
+                out.append(None if odd else ids + b"".join(map(self.known.__getitem__, rest)))
+            except TypeError:  # a word that is not to be cut out
+                out.append(None)
+        if at := [i for i, x in enumerate(out) if x is None]:
+            for i, x in zip(at, self.whole([texts[i] for i in at]), strict=True):
+                out[i] = x
+        if len(self.known) > CACHE_WORDS:
+            for w in new:
+                del self.known[w]
         return out
 
 
@@ -100,11 +122,12 @@ def word_encoder(path: str) -> WordEncoder:
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block of unsigned 32-bit values."""
     low = int(values.min())
-    off = values - np.uint32(low)
-    width = int(np.percentile(off, percentile, method="higher")).bit_length()
+    off = (values - np.uint32(low)).astype("<u4")
+    rank = -(-int(percentile * (len(off) - 1)) // 100)
+    width = int(np.partition(off, rank)[rank]).bit_length()
     late = np.flatnonzero(off >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = (off[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    body = np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+    bits = np.unpackbits(off.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    body = np.packbits(bits, bitorder="little").tobytes()
     high = (off[late] >> np.uint32(width)).astype("<u4") if len(late) else np.empty(0, "<u4")
     return BLOCK_HEADER.pack(low, width, len(values), len(late)) + body + late.astype("<u2").tobytes() + high.tobytes()
 
@@ -114,10 +137,10 @@ def unpack(data: memoryview, at: int) -> np.ndarray:
     low, width, count, late = BLOCK_HEADER.unpack_from(data, at)
     at += BLOCK_HEADER.size
     size = (count * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little").reshape(count, width)
-    values = np.zeros(count, np.uint32)
-    for i in range(width):
-        values |= bits[:, i].astype(np.uint32) << np.uint32(i)
+    bits = np.zeros((count, 32), np.uint8)
+    packed = np.frombuffer(data, np.uint8, size, at)
+    bits[:, :width] = np.unpackbits(packed, count=count * width, bitorder="little").reshape(count, width)
+    values = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
     at += size
     if late:
         places = np.frombuffer(data, "<u2", late, at)
