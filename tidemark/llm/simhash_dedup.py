@@ -31,6 +31,8 @@ SEED = 42
 #: Fingerprints in one side of a cell of the join, about.
 CELL_ROWS = 8192
 MOST_PREFIX_BITS = 12
+#: Fingerprints that a task deals at a time.
+DEAL_ROWS = 8192
 #: Node pairs of at most this many fingerprint pairs are compared at once.
 LEAF_PAIRS = 32
 #: Node pairs walked at once: bounds the memory of a task.
@@ -183,33 +185,46 @@ def links(fps: DataFrame, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFr
     masks = np.array([sum(1 << i for i in on) for r in range(radius + 1) for on in combinations(range(bits), r)], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                fp = whole.column("fp").slice(at, 4096).to_numpy(zero_copy_only=False)
-                bare = fp.view(np.uint64)
-                own = (bare >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), np.int64)
-                part = (bare * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[own]
-                node = first[own] + part
-                other = (own[:, None] ^ masks[None, :]).ravel()
-                many = parts[other]
-                at_row = np.repeat(np.repeat(np.arange(len(fp)), len(masks)), many)
-                offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                there, here = np.repeat(first[other], many) + offset, node[at_row]
-                cell = (np.minimum(here, there) << 31) | np.maximum(here, there)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(here <= there), pa.array(fp[at_row])], names=["cell", "low", "fp"]
-                )
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column("fp").to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= DEAL_ROWS:
+                yield packed(np.concatenate(held))
+                held = []
+        if held:
+            yield packed(np.concatenate(held))
+
+    def packed(fp: np.ndarray) -> pa.RecordBatch:
+        """One row per cell and side: its fingerprints among these, as bytes."""
+        bare = fp.view(np.uint64)
+        own = (bare >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fp), np.int64)
+        part = (bare * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[own]
+        node = first[own] + part
+        other = (own[:, None] ^ masks[None, :]).ravel()
+        many = parts[other]
+        at_row = np.repeat(np.repeat(np.arange(len(fp)), len(masks)), many)
+        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        there, here = np.repeat(first[other], many) + offset, node[at_row]
+        key = ((np.minimum(here, there) << 31 | np.maximum(here, there)) << 1) | (here <= there)
+        order = np.argsort(key, kind="stable")
+        key, flat = key[order], bare[at_row[order]]
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1 if len(key) else np.empty(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        rows = [flat[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=False)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key[starts[: len(ends)]] >> 1), pa.array((key[starts[: len(ends)]] & 1).astype(bool)), pa.array(rows, pa.binary())], names=["cell", "low", "fps"]
+        )
 
     def join(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        low = table.column("low").to_numpy()
         cell = table.column("cell")[0].as_py()
-        a = np.sort(fp[low])
-        b = None if cell >> 31 == cell & 0x7FFFFFFF else np.sort(fp[~low])
-        u, v = forest_links(a, b, radius)
+        sides: dict[bool, list[bytes]] = {True: [], False: []}
+        for low, data in zip(table.column("low").to_pylist(), table.column("fps").to_pylist(), strict=True):
+            sides[low].append(data)
+        a, b = (np.sort(np.frombuffer(b"".join(x), np.uint64)) for x in (sides[True], sides[False]))
+        u, v = forest_links(a, None if cell >> 31 == cell & 0x7FFFFFFF else b, radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "cell long, low boolean, fp long")
+    dealt = fps.select("fp").mapInArrow(deal, "cell long, low boolean, fps binary")
     return dealt.groupBy("cell").applyInArrow(join, "u long, v long")
 
 
