@@ -7,8 +7,9 @@ the three records through those identifiers into one nested row per capture.
 Payloads are equal if their SHA-1 and length are. Of equal payloads of at least ``least_bytes`` bytes the row with the
 largest page id is the response and the others revisit it; where rows share that id one of them is the response.
 
-Each task packs its records into pieces of some megabytes and writes them as the lines of a text file; a record ends
-with CR LF CR LF, whose last byte is the line feed, so the file is a plain WARC file byte for byte.
+Every record is a gzip member of its own, as usual for archives. Each task packs members into pieces of some megabytes
+and writes them as the lines of a text file. What the writer puts after a line is the end of an empty gzip member whose
+header ends the piece, so the file is a sequence of gzip members byte for byte.
 
 Defined results: a null html is an empty payload, a null url an absent target. Null page ids are smaller than all
 others. Repeated rows are captures of their own. An empty table gives no records and an empty result.
@@ -17,7 +18,9 @@ others. Repeated rows are captures of their own. An empty table gives no records
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +32,10 @@ from .common import batches_of, scratch_path
 
 PIECE_BYTES = 4 << 20
 PIECES_PER_FILE = 8
+#: An empty gzip member in two parts: its header closes a piece, the rest is the writer's line end.
+EMPTY_HEAD = bytes((0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF))
+EMPTY_REST = bytes((3, 0, 0, 0, 0, 0, 0, 0, 0, 0))
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -38,9 +45,9 @@ def base32_sha1(data: bytes) -> str:
 
 
 def record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
-    """One record with its closing CR LF CR LF; headers without a value are left out."""
+    """One record, compressed, with its closing CR LF CR LF; headers without a value are left out."""
     lines = ["WARC/1.1", *(f"{k}: {_line(v)}" for k, v in headers if v is not None), f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def _line(value: str) -> str:
@@ -119,7 +126,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             nonlocal held, size
             data = b"".join(held)
             held, size = [], 0
-            return pa.RecordBatch.from_pydict({"data": pa.array([data[:-1]], pa.binary())})  # the writer ends the line
+            return pa.RecordBatch.from_pydict({"data": pa.array([data + EMPTY_HEAD], pa.binary())})
 
         for whole in batches:
             for batch in batches_of(whole, "html"):
@@ -134,21 +141,38 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
             yield piece()
 
     data = planned(pages, least_bytes).mapInArrow(run, "data binary")
-    data.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", PIECES_PER_FILE).text(path)
+    lines = data.select(F.col("data").cast("string")).write.option("lineSep", EMPTY_REST.decode())
+    lines.option("maxRecordsPerFile", PIECES_PER_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """(headers, block) of each record of a file; header names in lower case."""
-    at, view = 0, memoryview(data)
+def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """What each gzip member of a file holds."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): _value(v) for k, _, v in (x.partition(": ") for x in lines)}
-        size = int(headers["content-length"])
-        yield headers, view[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size + 4
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            piece = view[at : at + step]
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
+    """(headers, block) of each record of a file, compressed or not; header names in lower case."""
+    for data in members(data) if data[:2] == EMPTY_HEAD[:2] else [data]:
+        at, view = 0, memoryview(data)
+        while at < len(data):
+            stop = data.index(b"\r\n\r\n", at)
+            first, *lines = data[at:stop].decode().split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            headers = {k.lower(): _value(v) for k, _, v in (x.partition(": ") for x in lines)}
+            size = int(headers["content-length"])
+            yield headers, view[stop + 4 : stop + 4 + size]
+            at = stop + 4 + size + 4
 
 
 RECORD = "record_id string, kind string, concurrent_to string, target_uri string, refers_to string, payload_digest string, payload_bytes long, fields string"
