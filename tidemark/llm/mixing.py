@@ -2,14 +2,15 @@
 
 A classifier learnt from a labelled table gives every document a posterior over the domains. Rates x >= 0 (how often a
 document is to be used) are chosen so that the expected tokens per domain, sum of x * tokens * posterior, match target
-totals: least squares, each domain's error relative to its target, by projected gradient from x = 1. Rates stay in the
-tasks: the gradient of a row needs only its posterior and the domains' current errors, so a step is one sum over a
-compact table, and a row's rate is found by replaying the errors of the steps so far.
+totals: least squares, each domain's error relative to its tokens at x = 1, by projected gradient from there with
+momentum. In that scale the step size is one and few steps are needed. Rates stay in the tasks: the gradient of a row
+needs only its posterior and the domains' current errors, so a step is one sum over a compact table, and a row's rate
+is found by replaying the errors of the steps so far.
 
-The classifier is multinomial naive Bayes over hashed words; its per-word log odds are tempered by an exponent chosen
-on the labelled rows, so that posteriors are not all zero or one. It is learnt from a bounded sample: at most
-``SAMPLE_ROWS`` labelled documents per domain, the first in the order of a hash of their ids. Everything else covers
-all documents.
+The classifier is a softmax regression over the presence of hashed words. Only words count whose spread over the
+domains is no accident (likelihood-ratio test), at most ``MOST_FEATURES`` of them. It is learnt from a bounded sample:
+at most ``SAMPLE_ROWS`` labelled documents per domain, the first in the order of a hash of their ids. Everything else
+covers all documents.
 
 Defined results: a null or empty text has no tokens; its posterior is the share of each domain among the labels and
 its rate follows from it. Rows with null or contradictory labels are not learnt from. Without labels all posteriors
@@ -20,23 +21,28 @@ scaled to sum to one. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batches_of, carrying, saved
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 SAMPLE_ROWS = 4000
-TEMPERS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 1.0)
-STEPS = 200
-TOLERANCE = 1e-5
+#: Least likelihood-ratio statistic of a word that counts, and how many may.
+LEAST_RATIO = 25.0
+MOST_FEATURES = 4096
+#: Steps and ridge of the regression.
+ROUNDS = 150
+RIDGE = 1e-4
+STEPS = 100
+TOLERANCE = 1e-4
 
 
 class Hashed:
@@ -46,13 +52,60 @@ class Hashed:
         self.known: dict[str, int] = {}
         self.most = most
 
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def buckets(self, text: str) -> tuple[np.ndarray, int]:
+        """The different buckets of the words of a text, and its number of words."""
         if len(self.known) > self.most:
             self.known.clear()
-        seen = Counter(text.lower().split())
-        for w in seen.keys() - self.known.keys():
-            self.known[w] = xxhash.xxh64_intdigest(w) % BUCKETS
-        return np.fromiter(map(self.known.__getitem__, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.float64, len(seen))
+        words = text.lower().split()
+        seen = set(words)
+        for w in seen:
+            if w not in self.known:
+                self.known[w] = xxhash.xxh64_intdigest(w) % BUCKETS
+        return np.unique(np.fromiter(map(self.known.__getitem__, seen), np.int64, len(seen))), len(words)
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """Row of each bucket in ``weights`` (feature, domain), -1 for those that do not count, and a bias per domain."""
+
+    place: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+
+    def features(self, buckets: np.ndarray) -> np.ndarray:
+        at = self.place[buckets]
+        return at[at >= 0]
+
+    def posterior(self, buckets: np.ndarray) -> np.ndarray:
+        score = self.bias + self.weights[self.features(buckets)].sum(axis=0)
+        p = np.exp(score - score.max())
+        return p / p.sum()
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def regress(rows: list[np.ndarray], y: np.ndarray, features: int, domains: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression on rows of feature numbers, by Adam steps over all rows."""
+    size = np.array([len(r) for r in rows])
+    flat = np.concatenate([*rows, np.empty(0, np.int64)])
+    owner = np.repeat(np.arange(len(rows)), size)
+    wanted = np.eye(domains)[y]
+    table = np.zeros((features + 1, domains))  # the last row is the bias
+    mean, square = np.zeros_like(table), np.zeros_like(table)
+    for step in range(1, ROUNDS + 1):
+        score = np.stack([np.bincount(owner, table[flat, k], len(rows)) for k in range(domains)], axis=1) + table[-1]
+        off = (softmax(score) - wanted) / len(rows)
+        slope = np.empty_like(table)
+        for k in range(domains):
+            slope[:-1, k] = np.bincount(flat, off[owner, k], features)
+        slope[-1] = off.sum(axis=0)
+        slope[:-1] += RIDGE * table[:-1]
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope * slope
+        table -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+    return table[:-1], table[-1]
 
 
 def sample_of(docs: DataFrame, labelled: DataFrame, domains: int, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, np.ndarray]:
@@ -70,57 +123,58 @@ def sample_of(docs: DataFrame, labelled: DataFrame, domains: int, sample_rows: i
     return saved(rows.select("domain", "text"), "domain-sample"), seen
 
 
-def bayes(rows: DataFrame, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities (domain, bucket) from the sampled texts, and log priors from the labels."""
+def learnt(rows: DataFrame, seen: np.ndarray) -> Classifier:
+    """The classifier from the sampled texts; ``seen`` holds the number of labels of each domain."""
     domains = len(seen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, total = Hashed(), np.zeros((domains, BUCKETS))
+        hashed, total = Hashed(), np.zeros((domains, BUCKETS), np.int32)
         for whole in batches:
             for batch in batches_of(whole, "text"):
                 for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    if text:
-                        at, n = hashed.counts(text)
-                        np.add.at(total[domain], at, np.minimum(n, 8))
+                    total[domain, hashed.buckets(text or "")[0]] += 1
         d, b = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"domain": pa.array(d.astype(np.int32)), "bucket": pa.array(b.astype(np.int32)), "n": total[d, b]})
-
-    summed = rows.mapInArrow(count, "domain int, bucket int, n double").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.ones((domains, BUCKETS))
-    for r in summed.toLocalIterator():  # domains x BUCKETS rows at most
-        counts[r["domain"], r["bucket"]] += r["n"]
-    return np.log(counts / counts.sum(axis=1, keepdims=True)), np.log((seen + 1) / (seen + 1).sum())
-
-
-def posterior(at: np.ndarray, n: np.ndarray, words: np.ndarray, priors: np.ndarray, temper: float) -> np.ndarray:
-    """Softmax of the prior and the summed word evidence, the latter to the power that ``temper`` takes off its length."""
-    if not len(at):
-        score = priors.copy()
-    else:
-        size = n.sum()
-        score = priors + (words[:, at] @ n) / size * size**temper
-    score -= score.max()
-    p = np.exp(score)
-    return p / p.sum()
-
-
-def best_temper(rows: DataFrame, words: np.ndarray, priors: np.ndarray) -> float:
-    """The exponent with the least log loss over the sampled documents."""
-
-    def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, total = Hashed(), np.zeros(len(TEMPERS))
+        yield pa.RecordBatch.from_pydict({"domain": pa.array(d.astype(np.int32)), "bucket": pa.array(b.astype(np.int32)), "n": pa.array(total[d, b].astype(np.int64))})
+
+    sizes = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    of = np.array([sizes.get(d, 0) for d in range(domains)], float)
+    priors = np.log((seen + 1) / (seen + 1).sum())
+    place = np.full(BUCKETS, -1, np.int64)
+    if not of.sum():
+        return Classifier(place, np.zeros((0, domains)), priors)
+    counted = rows.mapInArrow(count, "domain int, bucket int, n long").groupBy("bucket")
+    counted = counted.agg(*(F.sum(F.when(F.col("domain") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in range(domains)))
+    every = sum((F.col(f"n{d}") for d in range(1, domains)), F.col("n0"))
+
+    def part(seen_: Column, expected: Column) -> Column:
+        return F.when((seen_ > 0) & (expected > 0), seen_ * F.log(seen_ / expected)).otherwise(F.lit(0.0))
+
+    ratio = F.lit(0.0)
+    for d in range(domains):
+        expected = every * (of[d] / of.sum())
+        ratio = ratio + 2 * (part(F.col(f"n{d}"), expected) + part(of[d] - F.col(f"n{d}"), of[d] - expected))
+    chosen = counted.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "bucket")
+    kept = chosen.limit(MOST_FEATURES).collect()
+    place[[r["bucket"] for r in kept]] = np.arange(len(kept))
+    bare = Classifier(place, np.zeros((len(kept), domains)), priors)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = Hashed()
         for whole in batches:
             for batch in batches_of(whole, "text"):
-                for domain, text in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    at, n = hashed.counts(text or "")
-                    total -= [math.log(max(posterior(at, n, words, priors, t)[domain], 1e-12)) for t in TEMPERS]
-        yield pa.RecordBatch.from_pydict({"t": list(range(len(TEMPERS))), "loss": total})
+                at = [bare.features(hashed.buckets(t or "")[0]).tolist() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(at, pa.list_(pa.int32()))], names=["domain", "at"])
 
-    found = rows.mapInArrow(loss, "t long, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).collect()
-    return TEMPERS[min(found, key=lambda r: (r["loss"], r["t"]))["t"]] if found else 1.0
+    sample = rows.mapInArrow(found, "domain int, at array<int>").collect()  # the bounded sample, at most MOST_FEATURES numbers each
+    sample.sort(key=lambda r: (r["domain"], r["at"]))
+    y = np.array([r["domain"] for r in sample])
+    weights, bias = regress([np.array(r["at"], np.int64) for r in sample], y, len(kept), domains)
+    # the sample holds as many of each domain as there are, up to its bound: back to the shares among all labels
+    bias = bias + priors - np.log((of + 1) / (of + 1).sum())
+    return Classifier(place, weights, bias)
 
 
-def memberships(docs: DataFrame, words: np.ndarray, priors: np.ndarray, temper: float, *carried: str) -> DataFrame:
+def memberships(docs: DataFrame, model: Classifier, *carried: str) -> DataFrame:
     """(carried columns, tokens, p): blank-separated words and posterior of each whole text."""
     chosen, kinds = carrying(docs, carried)
 
@@ -130,9 +184,9 @@ def memberships(docs: DataFrame, words: np.ndarray, priors: np.ndarray, temper:
             for batch in batches_of(whole, "text"):
                 tokens, p = [], []
                 for text in batch.column("text").to_pylist():
-                    at, n = hashed.counts(text or "")
-                    tokens.append(int(n.sum()))
-                    p.append(posterior(at, n, words, priors, temper).tolist())
+                    buckets, n = hashed.buckets(text or "")
+                    tokens.append(n)
+                    p.append(model.posterior(buckets).tolist())
                 names = [f.name for f in kinds]
                 columns = [batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=[*names, "tokens", "p"])
@@ -141,33 +195,37 @@ def memberships(docs: DataFrame, words: np.ndarray, priors: np.ndarray, temper:
     return chosen.mapInArrow(run, out).toDF(*carried, "tokens", "p")
 
 
-def replay(p: np.ndarray, errors: Sequence[np.ndarray], step: float) -> np.ndarray:
-    """Rates after one projected step per error vector, from rate 1."""
-    x = np.ones(len(p))
-    for e in errors:
-        x = np.maximum(0.0, x - step * (p @ e))
-    return x
+Steps = Sequence[tuple[np.ndarray, float]]
+
+
+def replay(p: np.ndarray, steps: Steps, size: float, ahead: bool = False) -> np.ndarray:
+    """Rates after one projected step per (error, momentum), from rate 1; ``ahead`` gives the point of the next gradient."""
+    before = now = point = np.ones(len(p))
+    for error, momentum in steps:
+        before, now = now, np.maximum(0.0, point - size * (p @ error))
+        point = now + momentum * (now - before)
+    return point if ahead else now
 
 
 def _matrix(batch: pa.RecordBatch, domains: int) -> np.ndarray:
     return batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, domains)
 
 
-def solve(members: DataFrame, weights: Sequence[float], total: float | None = None) -> tuple[list[np.ndarray], float]:
-    """The errors of each projected-gradient step and the step size: what ``replay`` needs to give any row's rate.
+def solve(members: DataFrame, weights: Sequence[float], total: float | None = None) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Error and momentum of each projected-gradient step, and the step size: what ``replay`` needs for any row's rate.
 
     ``members`` holds tokens and p; ``total`` is the number of tokens to reach, by default as many as there are.
     """
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
 
-    def sums(errors: list[np.ndarray], step: float, moments: bool) -> np.ndarray:
+    def sums(steps: list, size: float, moments: bool) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got, square = np.zeros(k), np.zeros((k, k))
             for batch in batches:
                 if batch.num_rows:
                     p, t = _matrix(batch, k), batch.column("tokens").to_numpy().astype(float)
-                    got += (replay(p, errors, step) * t) @ p
+                    got += (replay(p, steps, size, ahead=True) * t) @ p
                     if moments:
                         square += (p * t[:, None]).T @ p
             flat = np.concatenate([got, square.ravel()]) if moments else got
@@ -178,29 +236,34 @@ def solve(members: DataFrame, weights: Sequence[float], total: float | None = No
 
     first = sums([], 0.0, True)
     got, square = first[:k], first[k:].reshape(k, k)
-    goal = share * (total if total is not None else got.sum())
-    live = goal > 0
-    if not got.sum() or not live.any():
+    if not got.sum():
         return [], 0.0
-    scale = np.where(live, goal, got.sum())
+    goal = share * (total if total is not None else got.sum())
+    scale = np.where(got > 0, got, got.sum())
     root = 1 / np.sqrt(scale)
-    step = 1 / np.linalg.eigvalsh(square * root[:, None] * root[None, :])[-1]
-    errors: list[np.ndarray] = []
+    size = 1 / np.linalg.eigvalsh(square * root[:, None] * root[None, :])[-1]
+    steps: list[tuple[np.ndarray, float]] = []
+    pace, worst = 1.0, np.inf
     for _ in range(STEPS):
         error = (got - goal) / scale
-        if np.abs(error).max() <= TOLERANCE or (errors and np.abs(error - errors[-1]).max() <= TOLERANCE / 100):
+        loss = float((error**2 * scale).sum())
+        if np.abs(error).max() <= TOLERANCE or (steps and np.abs(error - steps[-1][0]).max() <= TOLERANCE / 100):
             break
-        errors.append(error)
-        got = sums(errors, step, False)
-    return errors, step
+        if loss > worst:  # the momentum carried too far: start it anew
+            pace = 1.0
+        worst, later = loss, (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        steps.append((error, (pace - 1) / later))
+        pace = later
+        got = sums(steps, size, False)
+    return steps, size
 
 
-def rates(members: DataFrame, errors: list[np.ndarray], step: float, domains: int) -> DataFrame:
+def rates(members: DataFrame, steps: Steps, size: float, domains: int) -> DataFrame:
     """``members`` with a column ``rate``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = replay(_matrix(batch, domains), errors, step)
+            rate = replay(_matrix(batch, domains), steps, size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     return members.mapInArrow(run, T.StructType([*members.schema, T.StructField("rate", T.DoubleType())]))
@@ -209,10 +272,9 @@ def rates(members: DataFrame, errors: list[np.ndarray], step: float, domains: in
 def fitted(docs: DataFrame, labelled: DataFrame, weights: Sequence[float], *carried: str) -> DataFrame:
     """(carried columns, tokens, p, rate) for every document."""
     sample, seen = sample_of(docs, labelled, len(weights))
-    words, priors = bayes(sample, seen)
-    members = saved(memberships(docs, words, priors, best_temper(sample, words, priors), *carried), "memberships")
-    errors, step = solve(members, weights)
-    return rates(members, errors, step, len(weights))
+    members = saved(memberships(docs, learnt(sample, seen), *carried), "memberships")
+    steps, size = solve(members, weights)
+    return rates(members, steps, size, len(weights))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -223,11 +285,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: Sequence[float]) -> Dat
     at = {c: F.col(f"c{columns.index(c)}").alias(c) for c in ("doc_id", "text")}
     own = plain.select(*plain.columns, *at.values())
     sample, seen = sample_of(docs, labelled, len(weights))
-    words, priors = bayes(sample, seen)
-    temper = best_temper(sample, words, priors)
-    compact = saved(memberships(docs, words, priors, temper), "memberships")
-    errors, step = solve(compact, weights)
-    rated = rates(memberships(own, words, priors, temper, *plain.columns, "doc_id"), errors, step, len(weights))
+    model = learnt(sample, seen)
+    compact = saved(memberships(docs, model), "memberships")
+    steps, size = solve(compact, weights)
+    rated = rates(memberships(own, model, *plain.columns, "doc_id"), steps, size, len(weights))
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col(f"c{columns.index('text')}"))), F.lit(1 << 20)) / (1 << 20)
     times = F.floor(F.col("rate") + chance).cast("int")
     kept = rated.where(times > 0).withColumn("_nth", F.explode(F.sequence(F.lit(1), times)))
