@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,14 +42,23 @@ CACHE_WORDS = 800_000
 
 
 class Words(dict):
-    """Ids by word; a word that is asked for in vain is noted, once."""
+    """Place of each word in ``ids``; a word that is asked for in vain gets a place and is noted as new."""
 
     def __init__(self) -> None:
+        self.ids: list[bytes | None] = []  # None: not to be cut out
         self.new: list[str] = []
 
-    def __missing__(self, word: str) -> None:
-        self[word] = None
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self.ids)
+        self.ids.append(None)
         self.new.append(word)
+        return place
+
+    def forget(self, words: list[str]) -> None:
+        """Take out the words that came last."""
+        for w in words:
+            del self[w]
+        del self.ids[len(self.ids) - len(words) :]
 
 
 class WordEncoder:
@@ -72,7 +80,7 @@ class WordEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character of a token stands for a byte
-        self.known = Words()  # words after a blank; None: not to be cut out
+        self.known = Words()  # words after a blank
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,32 +93,31 @@ class WordEncoder:
             cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) for w in plain])) + 1
             first = 0
             for w, last in zip(plain, (4 * cuts).tolist(), strict=True):
-                self.known[w[1:]] = data[first:last]
+                self.known.ids[self.known[w[1:]]] = data[first:last]
                 first = last
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         heads, rests = [], []
+        place = self.known.__getitem__
         for text in texts:
             head, *rest = text.split(" ")
             heads.append(head)
-            rests.append(rest)
-            deque(map(self.known.__getitem__, rest), maxlen=0)  # notes the new words
+            rests.append(list(map(place, rest)))
         new, self.known.new = self.known.new, []
         self._learn(new)
         out: list[bytes | None] = []
         for text, head, ids, rest in zip(texts, heads, self.whole(heads), rests, strict=True):
             odd = rest and (not head or head[-1].isspace()) or any(s in text for s in self.special)
             try:
-                out.append(None if odd else ids + b"".join(map(self.known.__getitem__, rest)))
+                out.append(None if odd else ids + b"".join(map(self.known.ids.__getitem__, rest)))
             except TypeError:  # a word that is not to be cut out
                 out.append(None)
         if at := [i for i, x in enumerate(out) if x is None]:
             for i, x in zip(at, self.whole([texts[i] for i in at]), strict=True):
                 out[i] = x
         if len(self.known) > CACHE_WORDS:
-            for w in new:
-                del self.known[w]
+            self.known.forget(new)
         return out
 
 
