@@ -79,3 +79,14 @@ def test_tables_find_every_near_fingerprint(spark):
         got = th.near(spark.createDataFrame([(q,) for q in queries], "q long"), spark.createDataFrame([(f,) for f in signed], "fp long"), radius).collect()
         want = sorted((q, f, ((q ^ f) % (1 << 64)).bit_count()) for q in queries for f in signed if ((q ^ f) % (1 << 64)).bit_count() <= radius)
         assert sorted((r["q"], r["fp"], r["distance"]) for r in got) == want
+
+
+def test_neighbours_of_every_asked_row(spark):
+    rnd = random.Random(12)
+    base = [rnd.getrandbits(64) for _ in range(8)]
+    rows = [(i, th.signed(rnd.choice(base) ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 3))))) for i in range(300)] + [(None, 5)]
+    got = {r["doc_id"]: r["near_docs"] for r in th.neighbours(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert len(got) == len(rows)
+    for i, fp in rows:
+        near = sum(((fp ^ other) % (1 << 64)).bit_count() <= 3 for _, other in rows) - 1
+        assert got[i] == (near if i is not None and i % 20 == 0 else None)

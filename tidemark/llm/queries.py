@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from . import main_text, mixing, pieces, quality_compression, secret_scan, simhash_dedup, term_simhash, token_blocks, topk_slices, warc
+from .common import saved
 
 END_ID = 2
 #: Domains by label: good, poor (quality 0), toxic; and their target shares of tokens.
@@ -153,9 +154,17 @@ FROM led
 
 @query
 def op8_term_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    found = term_simhash.edited_pairs(table(spark, folder, "documents"))
+    """With ``near_docs``: for ids divisible by 20, how many other documents lie within three bits."""
+    found = term_simhash.neighbours(saved(term_simhash.edited_pairs(table(spark, folder, "documents")), "fingerprints"))
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", digits("fp").alias("fingerprint"), digits("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        digits("fp").alias("fingerprint"),
+        digits("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "near_docs",
     )
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, cut_points, parts_of, range_number
+from .common import batches_of, cut_points, parts_of, range_number, saved
 
 #: Terms kept with their votes in one Python worker.
 CACHE_TERMS = 200_000
@@ -184,3 +184,18 @@ def near(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFrame:
     differing = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*(F.when(differing.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
     return met.where((F.bit_count(differing) <= radius) & (first == F.col("t"))).select("q", "fp", F.bit_count(differing).alias("distance"))
+
+
+def neighbours(marks: DataFrame, asked: str = "doc_id % 20 = 0", radius: int = 3) -> DataFrame:
+    """``marks`` (doc_id, fp, ...) with ``near_docs``: how many other rows have a fingerprint within the radius.
+
+    Counted for the rows that meet ``asked``, against all rows; null for the others. Equal fingerprints are looked up
+    once and counted as often as they occur, so a group of copies makes no pairs.
+    """
+    sizes = saved(marks.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    chosen = F.coalesce(F.expr(asked), F.lit(False))
+    queries = marks.where(chosen)
+    found = near(queries.select(F.col("fp").alias("q")), sizes, radius).join(sizes, "fp")
+    total = found.groupBy("q").agg((F.sum("n") - 1).alias("near_docs"))
+    counted = queries.join(total, F.col("fp") == F.col("q")).drop("q")
+    return counted.unionByName(marks.where(~chosen).withColumn("near_docs", F.lit(None).cast("long")))
