@@ -342,6 +342,7 @@ def run_log(outcomes: DataFrame, before: DataFrame, after: DataFrame, policy: Qu
         F.when(F.col("action") == "complete", "completed")
         .when(F.col("action") == "unavailable", "skipped")
         .when(F.col("action") == "release", "rate_limited")
+        .when(F.col("action") == "start", "started")  # under way: no outcome yet
         .when(F.col("status") == "DEAD_LETTER", "dead_lettered")
         .when(F.col("status") == "DEFERRED", "deferred")
         .otherwise("failed")

@@ -266,11 +266,13 @@ def attention_split(df: DataFrame, as_of: date, top: int = 6) -> DataFrame:
         "reason", F.when(is_overdue(as_of), "overdue").when(is_urgent(), "priority")
     ).filter("reason IS NOT NULL")
     best = flagged.orderBy("reason", F.asc_nulls_last("due_date"), "id").limit(top)
-    counts = {
-        "overdue_count": flagged.agg(F.count_if(F.col("reason") == "overdue")),
-        "high_priority_count": flagged.agg(F.count_if(F.col("reason") == "priority")),
-    }
-    return best.select(*CARD_COLUMNS, "reason", *[df.scalar().alias(n) for n, df in counts.items()])
+    counts = flagged.agg(
+        F.struct(
+            F.count_if(F.col("reason") == "overdue").alias("overdue_count"),
+            F.count_if(F.col("reason") == "priority").alias("high_priority_count"),
+        ).alias("both")
+    ).scalar()
+    return best.select(*CARD_COLUMNS, "reason", *[counts[n].alias(n) for n in ("overdue_count", "high_priority_count")])
 
 
 def upcoming_deadlines(df: DataFrame, as_of: date, top: int = 5) -> DataFrame:

@@ -672,7 +672,7 @@ def owned_outcomes(spark, d):
 
 
 _NEXT_STATE = f"""(SELECT id, action, reported_at, category, CASE WHEN action IS NULL THEN status WHEN action = 'complete' THEN 'COMPLETED'
-    WHEN action = 'unavailable' THEN 'SKIPPED' WHEN action = 'release' THEN 'PENDING'
+    WHEN action = 'unavailable' THEN 'SKIPPED' WHEN action = 'release' THEN 'PENDING' WHEN action = 'start' THEN 'PROCESSING'
     WHEN category = 'NON_RETRYABLE' THEN 'DEAD_LETTER'
     WHEN category = 'UNAVAILABLE' THEN CASE WHEN defer_count + 1 > 100 OR reported_at - coalesce(first_deferred_at, reported_at) >= INTERVAL 2880 MINUTE
       THEN 'DEAD_LETTER' ELSE 'DEFERRED' END
@@ -684,11 +684,11 @@ _NEXT_STATE = f"""(SELECT id, action, reported_at, category, CASE WHEN action IS
 
 
 @registry.add(
-    f"""SELECT id, status, attempt_count,
+    f"""SELECT id, status, CAST(CASE WHEN action = 'start' THEN attempt_count + 1 ELSE attempt_count END AS INTEGER) AS attempt_count,
           CASE WHEN action = 'fail' AND category = 'UNAVAILABLE' THEN defer_count + 1 ELSE defer_count END AS defer_count,
-          CASE WHEN action IS NULL THEN error_message WHEN action = 'fail' THEN CASE WHEN trim(message) = '' THEN coalesce(kind, 'error') ELSE message END
+          CASE WHEN action IS NULL OR action = 'start' THEN error_message WHEN action = 'fail' THEN CASE WHEN trim(message) = '' THEN coalesce(kind, 'error') ELSE message END
                WHEN action = 'unavailable' THEN 'Message is no longer available in Microsoft Graph.' END AS error_message,
-          CASE WHEN action IS NULL THEN next_attempt_at WHEN action = 'release' THEN reported_at
+          CASE WHEN action IS NULL OR action = 'start' THEN next_attempt_at WHEN action = 'release' THEN reported_at
                WHEN status = 'DEFERRED' THEN reported_at + to_minutes(coalesce(greatest(1, retry_s // 60), 20)) END AS deferred_until,
           CASE WHEN action = 'fail' AND status = 'FAILED'
                THEN least(30 * CAST(pow(2, least(greatest(attempt_count - 1, 0), 10)) AS BIGINT), 3600) END AS least_pause

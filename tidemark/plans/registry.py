@@ -18,16 +18,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 class Registry:
     queries: dict[str, Query] = field(default_factory=dict)
     oracles: dict[str, str] = field(default_factory=dict)
+    #: Oracles as they were given, without the views they use.
+    bodies: dict[str, str] = field(default_factory=dict)
+    #: Oracles built from other queries' ones.
+    late: dict[str, Callable[[], str]] = field(default_factory=dict)
 
-    def add(self, sql: str | None = None) -> Callable[[Query], Query]:
-        """Register the decorated query under its function name."""
+    def add(self, sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
+        """Register the decorated query under its function name; a function gives SQL that builds on other queries'."""
 
         def register(fn: Query) -> Query:
             def run(spark: SparkSession, folder: str) -> DataFrame:
                 return zone_free(fn(configure(spark), folder))
 
             self.queries[fn.__name__] = run
-            if sql is not None:
+            if callable(sql):
+                self.late[fn.__name__] = sql
+            elif sql is not None:
+                self.bodies[fn.__name__] = sql
                 self.oracles[fn.__name__] = oracle(sql)
             return fn
 
@@ -36,6 +43,7 @@ class Registry:
     def merge(self, other: Registry) -> None:
         self.queries.update(other.queries)
         self.oracles.update(other.oracles)
+        self.oracles.update({name: oracle(sql()) for name, sql in other.late.items()})
 
 
 def zone_free(df: DataFrame) -> DataFrame:

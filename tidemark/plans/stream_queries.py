@@ -91,9 +91,51 @@ def stream_deadlines(spark, d):
     return deadlines.settle(runner.read_batches(spark, target), AS_OF)
 
 
-@registry.add()
+_MINUTE = 60_000_000
+_READY = "((p.status IN ('PENDING', 'FAILED') AND p.attempts < 5) OR (p.status = 'DEFERRED' AND p.defers < 100)) AND coalesce(p.due <= c.us, true)"
+_LIVE = f"p.status = 'PROCESSING' AND p.claimed >= c.us - 15 * {_MINUTE}"
+_DEAD = f"(p.defers + 1 > 100 OR c.us - coalesce(p.since, c.us) >= 2880 * {_MINUTE})"
+
+
+# one command of every message at a time; the worker is always the same
+@registry.add(
+    f"""WITH RECURSIVE command AS MATERIALIZED (
+          SELECT *, row_number() OVER (PARTITION BY mailbox_user_id, message_id ORDER BY us, seq) AS i FROM (
+            SELECT 'mbx' || (user_id % 10) AS mailbox_user_id, 'm' || user_id || '-' || (event_id % 5) AS message_id,
+              epoch_us(ts) AS us, event_id AS seq,
+              ['claim', 'start', 'fail', 'claim', 'start', 'complete', 'reap', 'requeue', 'release', 'remove'][(event_id // 5) % 10 + 1] AS action,
+              CASE WHEN event_id % 4 = 0 THEN 'UNAVAILABLE' WHEN event_id % 9 = 1 THEN 'NON_RETRYABLE' ELSE 'TRANSIENT' END AS category
+            FROM events)),
+        step AS (
+          SELECT mailbox_user_id, message_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS us, CAST(NULL AS VARCHAR) AS action, false AS accepted,
+            'PENDING' AS status, 0 AS attempts, 0 AS defers, CAST(NULL AS BIGINT) AS since, CAST(NULL AS BIGINT) AS due, CAST(NULL AS BIGINT) AS claimed
+          FROM (SELECT DISTINCT mailbox_user_id, message_id FROM command)
+          UNION ALL
+          SELECT mailbox_user_id, message_id, i, us, action, after IS NOT NULL, coalesce(after, status),
+            CASE WHEN after IS NULL THEN attempts WHEN action = 'requeue' THEN 0 WHEN action = 'start' THEN attempts + 1 ELSE attempts END,
+            CASE WHEN after IS NULL THEN defers WHEN action = 'requeue' THEN 0 WHEN action = 'fail' AND category = 'UNAVAILABLE' THEN defers + 1 ELSE defers END,
+            CASE WHEN after IS NULL THEN since WHEN action = 'requeue' THEN NULL WHEN after = 'DEFERRED' THEN coalesce(since, us) ELSE since END,
+            CASE WHEN after IS NULL OR action IN ('claim', 'start') THEN due WHEN action IN ('requeue', 'release') OR (action = 'reap' AND after = 'FAILED') THEN us
+                 WHEN after = 'DEFERRED' THEN us + {_MINUTE} WHEN after = 'FAILED' THEN us + 1000000 * least(30 * CAST(pow(2, least(greatest(attempts - 1, 0), 10)) AS BIGINT), 3600) END,
+            CASE WHEN after IS NULL OR action = 'start' THEN claimed WHEN action = 'claim' THEN us END
+          FROM (SELECT c.*, p.status, p.attempts, p.defers, p.since, p.due, p.claimed,
+                  CASE c.action
+                    WHEN 'claim' THEN CASE WHEN {_READY} THEN 'PROCESSING' END
+                    WHEN 'requeue' THEN CASE WHEN p.status = 'DEAD_LETTER' THEN 'PENDING' END
+                    WHEN 'remove' THEN CASE WHEN p.status IN ('PENDING', 'FAILED', 'DEFERRED') THEN 'SKIPPED' END
+                    WHEN 'reap' THEN CASE WHEN p.status = 'PROCESSING' AND p.claimed < c.us - 15 * {_MINUTE}
+                                          THEN CASE WHEN p.attempts >= 5 THEN 'DEAD_LETTER' ELSE 'FAILED' END END
+                    ELSE CASE WHEN {_LIVE} THEN CASE c.action WHEN 'start' THEN 'PROCESSING' WHEN 'release' THEN 'PENDING' WHEN 'complete' THEN 'COMPLETED'
+                      ELSE CASE c.category WHEN 'NON_RETRYABLE' THEN 'DEAD_LETTER'
+                        WHEN 'UNAVAILABLE' THEN CASE WHEN {_DEAD} THEN 'DEAD_LETTER' ELSE 'DEFERRED' END
+                        ELSE CASE WHEN p.attempts >= 5 THEN 'DEAD_LETTER' ELSE 'FAILED' END END END END
+                  END AS after
+                FROM step p JOIN command c ON c.mailbox_user_id = p.mailbox_user_id AND c.message_id = p.message_id AND c.i = p.i + 1))
+        SELECT mailbox_user_id, message_id, us AS at_us, action, accepted, status, CAST(attempts AS INTEGER) AS attempt_count,
+          CAST(defers AS INTEGER) AS defer_count, due AS next_attempt_us FROM step WHERE i > 0"""
+)
 def stream_queue(spark, d):
-    """Rows only: the states depend on the order of commands; tests replay them one by one."""
+    """Commands in the order of time; the oracle replays them message by message."""
     events = tb.table(spark, d, "events")
     raw = events.selectExpr(
         "concat('mbx', user_id % 10) AS mailbox_user_id",
@@ -109,7 +151,7 @@ def stream_queue(spark, d):
         "'90' AS retry_after",
     )
     folder, target = scratch_path(spark, "commands"), scratch_path(spark, "states")
-    raw.repartitionByRange(3, "moment").write.parquet(folder)
+    raw.repartitionByRange(FILES, "moment").write.parquet(folder)
     stream = runner.table_stream(spark, folder, raw.schema, 1000)
     writer = queue_state.queue_stream(stream).writeStream.foreachBatch(runner.batch_folder_sink(target))
     runner.run_available(writer, scratch_path(spark, "checkpoint"))

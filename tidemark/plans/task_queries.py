@@ -292,7 +292,27 @@ def dashboard_counts(spark, d):
     return tk.dashboard(tb.tasks(spark, d), DAY, priority="CRITICAL")["counts"]
 
 
-@registry.add()
+def _dashboard_sql() -> str:
+    """Every part's own query over the filtered tasks, its rows as JSON without null fields."""
+    shown = "* REPLACE (strftime(updated_at, '%Y-%m-%dT%H:%M:%S.000Z') AS updated_at)"
+    parts = {
+        "counts": ("*", registry.bodies["dashboard_counts"].replace("WHERE priority = 'CRITICAL'", "")),
+        "tasks_by_assignee": ("*", registry.bodies["top_assignees"]),
+        "employee_workload": ("*", registry.bodies["workload"].replace("FROM tasks", "FROM every_task")),
+        "attention": (shown, registry.bodies["attention_queue"]),
+        "upcoming": (shown, registry.bodies["upcoming_deadlines"]),
+        "recent": (shown, registry.bodies["recent_activity"]),
+        "trend": ("*", registry.bodies["task_trend"].replace("2000-06-09", "2000-06-02")),
+    }
+    rows = [
+        f"SELECT '{name}' AS part, CAST(json_merge_patch('{{}}', to_json(t)) AS VARCHAR) AS item FROM (SELECT {columns} FROM ({sql.replace('FROM tasks', 'FROM chosen')})) t"
+        for name, (columns, sql) in parts.items()
+    ]
+    filtered = "WITH every_task AS (SELECT * FROM tasks), chosen AS (SELECT * FROM tasks WHERE priority = 'CRITICAL') "
+    return filtered + " UNION ALL ".join(rows)
+
+
+@registry.add(_dashboard_sql)
 def dashboard(spark, d):
     return tk.dashboard_rows(tk.dashboard(tb.tasks(spark, d), DAY, priority="CRITICAL", days=14))
 

@@ -209,7 +209,7 @@ VIEWS: dict[str, str] = {
         FROM events)""",
     "queue_outcomes": """
   SELECT event_id AS id, 'run-' || (event_id % 20) AS run_id,
-    ['complete', 'fail', 'unavailable', 'release', 'fail'][k % 5 + 1] AS action,
+    ['complete', 'fail', 'unavailable', 'release', 'fail', 'start'][k % 6 + 1] AS action,
     'w' || ((CASE WHEN k % 8 = 0 THEN event_id + 1 ELSE event_id END) % 3) AS worker,
     ts + to_minutes(5 + k % 18) AS reported_at,
     CASE k % 9 WHEN 0 THEN 'extraction_non_retryable' WHEN 1 THEN 'provider_unavailable'

@@ -200,7 +200,7 @@ def queue_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return events.selectExpr("event_id div 7 AS k", "event_id", "ts").selectExpr(
         "event_id AS id",
         "concat('run-', event_id % 20) AS run_id",
-        "element_at(array('complete', 'fail', 'unavailable', 'release', 'fail'), cast(k % 5 + 1 AS int)) AS action",
+        "element_at(array('complete', 'fail', 'unavailable', 'release', 'fail', 'start'), cast(k % 6 + 1 AS int)) AS action",
         "concat('w', if(k % 8 = 0, event_id + 1, event_id) % 3) AS worker",
         "timestampadd(MINUTE, cast(5 + k % 18 AS int), ts) AS reported_at",
         """CASE k % 9 WHEN 0 THEN 'extraction_non_retryable' WHEN 1 THEN 'provider_unavailable'
