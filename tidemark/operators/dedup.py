@@ -238,6 +238,37 @@ def decide_similar(
     )
 
 
+def decide_tasks(
+    existing: DataFrame,
+    fresh: DataFrame,
+    vectors: DataFrame,
+    verdicts: DataFrame,
+    block: Sequence[str],
+    bucket: Column,
+    threshold: float = SIMILARITY_THRESHOLD,
+) -> DataFrame:
+    """The whole chain for extracted tasks: exact first, then similarity for what that would create.
+
+    Candidates are stored active tasks of the same block; tasks of one batch do not see each other by similarity.
+    Returns ``id, decision, task_id, match_reason``: KNOWN and EXACT as in :func:`resolve_exact`, else the similarity
+    decision, with CREATED for rows that nothing resembles; ``task_id`` is the task the row stands for or waits on,
+    its own id where it is created.
+    """
+    exact = cut_lineage(resolve_exact(existing, fresh))
+    new = fresh.join(exact.filter("decision = 'CREATED'").select("id"), "id", "left_semi")
+    found = recent_candidates(new, scoped_active(existing), block, ["created_at"], bucket)
+    similar = decide_similar(new.select("id"), score_candidates(found, vectors), verdicts, threshold)
+    created = F.col("similar.decision").isin("CREATE", "CREATE_AMBIGUOUS")
+    joined = exact.join(similar.select(F.col("new_id").alias("id"), F.struct("*").alias("similar")), "id", "left")
+    plain = F.when(F.col("similar.decision") == "CREATE", "CREATED").otherwise(F.col("similar.decision"))
+    return joined.select(
+        "id",
+        F.coalesce(plain, "decision").alias("decision"),
+        F.when(created, F.col("id")).otherwise(F.coalesce("similar.matched_task_id", "task_id")).alias("task_id"),
+        F.col("similar.match_reason").alias("match_reason"),
+    )
+
+
 def similar_audit(decisions: DataFrame) -> DataFrame:
     kept = decisions.filter("decision IN ('SEMANTIC_SAME', 'CREATE_AMBIGUOUS')")
     ambiguous = F.col("decision") == "CREATE_AMBIGUOUS"

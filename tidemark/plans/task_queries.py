@@ -803,3 +803,53 @@ def uniqueness_checks(spark, d):
     return report.unionByName(
         quality.outside_values(rows, "status", ["NEW", "IN_PROGRESS", "COMPLETED", "BLOCKED"], "task_status")
     )
+
+
+# -- the whole chain of decisions -----------------------------------------------------------------------------------
+
+# some tasks have no vector and some a short one
+_VECTOR = "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN {a}CAST(1 AS DOUBLE){b} ELSE {a}CAST(id % 7 AS DOUBLE), CAST(id % 5 AS DOUBLE), CAST(id % 3 - 1 AS DOUBLE){b} END"
+_TASK_DECISIONS = f"""
+  WITH f AS MATERIALIZED (SELECT id, source_mailbox, normalized_sender, status, created_at, nullif(lower(trim(assignee_email)), '') AS k,
+      {_VECTOR.format(a='[', b=']')} AS v FROM {_FRESH}),
+  e AS MATERIALIZED ({_EXACT}),
+  pairs AS (
+    SELECT new_id, candidate_id, r, n, CASE WHEN len(a) = len(b) THEN {_COSINE} END AS score FROM (
+      SELECT n.id AS new_id, c.id AS candidate_id, n.v AS a, c.v AS b, n.id * 7 + c.id AS n,
+        row_number() OVER (PARTITION BY n.id ORDER BY c.created_at DESC, c.id DESC) AS r
+      FROM (SELECT * FROM f WHERE id IN (SELECT id FROM e WHERE decision = 'CREATED')) n JOIN f c USING (source_mailbox, normalized_sender, k)
+      WHERE c.{_OLD} AND c.status <> 'ARCHIVED' AND c.created_at < n.created_at) WHERE r <= 3),
+  ruled AS (
+    SELECT new_id, min_by(candidate_id, r) FILTER (WHERE n % 11 > 1 AND n % 5 = 0) AS same,
+      min_by(candidate_id, r) FILTER (WHERE n % 11 = 0) AS away, min_by(candidate_id, r) FILTER (WHERE n % 11 = 1) AS bad,
+      min_by(candidate_id, r) FILTER (WHERE n % 11 > 1 AND n % 5 = 1) AS unsure
+    FROM pairs WHERE score IS NULL OR score >= 0.75 GROUP BY 1)
+  SELECT id, CASE WHEN decision <> 'CREATED' THEN decision WHEN same IS NOT NULL THEN 'SEMANTIC_SAME' WHEN away IS NOT NULL THEN 'DEFER_UNAVAILABLE'
+      WHEN bad IS NOT NULL THEN 'DEFER_MALFORMED' WHEN unsure IS NOT NULL THEN 'CREATE_AMBIGUOUS' ELSE 'CREATED' END AS decision,
+    CASE WHEN decision <> 'CREATED' THEN task_id ELSE coalesce(same, away, bad, id) END AS task_id,
+    CASE WHEN decision = 'CREATED' THEN 'because ' || (id * 7 + coalesce(same, away, bad, unsure)) END AS match_reason
+  FROM e LEFT JOIN ruled ON new_id = id"""
+
+
+def _task_decisions(spark, d):
+    rows = _fresh(spark, d).withColumn("assignee_key", F.nullif(F.lower(F.trim("assignee_email")), F.lit("")))
+    vectors = rows.select("id", F.expr(_VECTOR.format(a="array(", b=")")).alias("vector"))
+    old, new = rows.filter(_OLD), rows.filter(f"NOT ({_OLD})")
+    hour = F.floor(F.unix_micros(F.col("created_at")) / 3_600_000_000).cast("bigint")
+    # what the verifier would say of every pair it may be asked about
+    asked = dedup.recent_candidates(new, dedup.scoped_active(old), BLOCK, ["created_at"], hour)
+    return dedup.decide_tasks(old, new, vectors, _verdicts(asked), BLOCK, hour)
+
+
+@registry.add(f"SELECT * FROM ({_TASK_DECISIONS})")
+def task_decisions(spark, d):
+    return _task_decisions(spark, d)
+
+
+@registry.add(
+    f"""SELECT count(*) AS total_processed, count(*) FILTER (WHERE decision IN ('CREATED', 'CREATE_AMBIGUOUS')) AS unique_created,
+          count(*) FILTER (WHERE decision = 'EXACT') AS exact, count(*) FILTER (WHERE decision = 'SEMANTIC_SAME') AS semantic_same,
+          count(*) FILTER (WHERE decision = 'CREATE_AMBIGUOUS') AS semantic_ambiguous FROM ({_TASK_DECISIONS})"""
+)
+def task_decision_summary(spark, d):
+    return dedup.audit_summary(_task_decisions(spark, d))
