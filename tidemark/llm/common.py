@@ -13,6 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import configure
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches for Python that stay small although each row holds a whole text."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, as in tests, a temporary folder of this process."""

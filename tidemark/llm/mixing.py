@@ -48,7 +48,7 @@ TOLERANCE = 1e-4
 class Hashed:
     """Bucket of each word; words seen before are kept."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         self.known: dict[str, int] = {}
         self.most = most
 

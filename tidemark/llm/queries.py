@@ -8,9 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure
 from . import main_text, mixing, pieces, quality_compression, secret_scan, simhash_dedup, term_simhash, token_blocks, topk_slices, warc
-from .common import saved
+from .common import prepared, saved
 
 END_ID = 2
 #: Domains by label: good, poor (quality 0), toxic; and their target shares of tokens.
@@ -22,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, folder: fn(configure(spark), folder)
+    QUERIES[fn.__name__] = lambda spark, folder: fn(prepared(spark), folder)
     return fn
 
 
