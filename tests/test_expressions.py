@@ -221,3 +221,22 @@ def test_html(spark):
 def test_clipping(spark):
     assert column(spark, ["x" * 20], lambda c: tx.clip_body(c, 5)) == ["xxxxx" + tx.BODY_MARKER]
     assert column(spark, ["x" * 20, " ", None], lambda c: tx.clip_error(c, F.lit("Kind"), 3)) == ["xxx", "Kin", "Kin"]
+
+
+PAGES = {
+    "<ul><li>one<li>two</ul><p>three</p>": ("one two three", "<ul><li>one<li>two</ul><p>three</p>"),
+    "<SCRIPT type='x'>if (a<b) {}</SCRIPT>shown<style>p{}</style>": ("shown", "shown"),
+    "a<span class=\"c\">b</span>c &lt;d&gt; &amp;amp;": ("abc <d> &amp;", "a<span>b</span>c &lt;d&gt; &amp;amp;"),
+    "x<!-- <p>gone</p> -->y": ("xy", "xy"),
+    "<div>first<div>second</div>third</div>": ("first second third", None),
+    "line<br>break": ("line break", None),
+    "": ("", ""),
+}
+
+
+def test_golden_pages(spark):
+    pages = list(PAGES)
+    assert column(spark, pages, tx.html_to_text) == [t for t, _ in PAGES.values()]
+    cleaned = column(spark, pages, tx.html_allow_list)
+    for got, (_, want) in zip(cleaned, PAGES.values()):
+        assert want is None or got == want

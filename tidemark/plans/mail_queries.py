@@ -71,6 +71,16 @@ def sent_items_scan(spark, d):
     return ingest.sent_items(_pages(spark, d), BOUNDARY).withColumn("recipients", _joined("recipients"))
 
 
+@registry.add(
+    f"""SELECT mailbox_user_id AS mailbox, message_id AS reply_id, {parse_instant('received')} AS sent_at FROM {_LANDED} WHERE NOT removed
+          AND ({parse_instant('received')} > TIMESTAMP '2024-01-03' OR mailbox_user_id IN (SELECT mailbox_user_id FROM queue WHERE id % 2 = 1))"""
+)
+def sent_items_of_known(spark, d):
+    """Mailboxes that have been walked before give their older mail as well."""
+    scanned = tb.queue(spark, d).filter("id % 2 = 1").select(F.col("mailbox_user_id").alias("mailbox"))
+    return ingest.sent_items(_pages(spark, d), BOUNDARY, scanned).select("mailbox", "reply_id", "sent_at")
+
+
 _KNOWN = "SELECT mailbox_user_id, message_id FROM queue WHERE id % 3 = 0"
 
 

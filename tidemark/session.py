@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,10 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
+    # Python workers find the package whatever folder the program starts in; a cluster installs it or uses --py-files
+    root, known = str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidemark")

@@ -74,11 +74,6 @@ def write_export(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
-
-
 def export_pending(tasks: DataFrame, log: DataFrame) -> DataFrame:
     """Tasks without a successful export."""
     return tasks.join(log.filter("error IS NULL").select(F.col("task_id").alias("id")), "id", "left_anti")

@@ -46,9 +46,11 @@ def removals_stream(pages: DataFrame, target: str, checkpoint: str) -> None:
     run_available(gone.writeStream.foreachBatch(batch_folder_sink(target)), checkpoint)
 
 
-def sent_stream(pages: DataFrame, boundary: datetime | None, target: str, checkpoint: str) -> None:
-    """Sent mail with its own checkpoint. Give the boundary for a mailbox's first run only."""
-    sent = ingest.sent_items(pages, boundary)
+def sent_stream(
+    pages: DataFrame, boundary: datetime | None, target: str, checkpoint: str, scanned: DataFrame | None = None
+) -> None:
+    """Sent mail with its own checkpoint; ``scanned`` names the mailboxes whose first run is over."""
+    sent = ingest.sent_items(pages, boundary, scanned)
     run_available(sent.writeStream.foreachBatch(batch_folder_sink(target)), checkpoint)
 
 
