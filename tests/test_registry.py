@@ -34,3 +34,18 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(contract.queries())
+
+
+def scans_of_orders(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan, [line for line in plan.split("\n") if "FileScan parquet" in line and "orders.parquet" in line]
+
+
+def test_workload_has_one_exchange(spark):
+    plan, scans = scans_of_orders(contract.queries()["workload"](spark, FOLDER))
+    assert len(scans) == 1 and plan.count("Exchange hashpartitioning") == 1 and "RoundRobin" not in plan
+
+
+def test_reassignment_reads_keys_only(spark):
+    _, scans = scans_of_orders(contract.queries()["reassigned_tasks"](spark, FOLDER))
+    assert scans and all("o_orderstatus" not in s and "o_orderdate" not in s for s in scans)

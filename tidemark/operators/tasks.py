@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, matches_all_prefixes, search_text, search_tokens
+from ..session import cut_lineage
 from .timeline import first_per_key
 
 CLOSED = ("COMPLETED", "ARCHIVED")
@@ -318,8 +319,10 @@ def owner_options(df: DataFrame) -> DataFrame:
 
 
 def dashboard(df: DataFrame, as_of: date, status: str | None = None, priority: str | None = None, days: int = 7) -> Mapping[str, DataFrame]:
-    """The dashboard's parts. The filtered base is a lazy plan: each part prunes its own columns."""
-    base = filter_tasks(df, status=status, priority=priority)
+    """The dashboard's parts. The filtered tasks are derived once, with the columns that any part needs, and written to
+    the shared folder; every part reads them from there."""
+    needed = (*CARD_COLUMNS, "source_email_id", "email_received_at", "created_at")
+    base = cut_lineage(filter_tasks(df, status=status, priority=priority).select(*needed))
     counts = base.agg(
         F.countDistinct(F.coalesce("source_email_id", F.col("id").cast("string"))).alias("actionable_emails"),
         F.count_if(is_overdue(as_of)).alias("overdue_count"),
