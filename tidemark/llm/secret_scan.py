@@ -1,9 +1,12 @@
 """Secrets in texts: fixed kinds by pattern, unnamed ones by a battery of randomness tests.
 
-A candidate is a maximal run of token characters with a letter and a digit in it. Its encoding is the smallest known
-alphabet that holds it. Three tests ask whether it could be uniform over that alphabet: chi-squared over equal groups
-of symbols, the runs test about the middle symbol, and the serial correlation of neighbours. Their combined p-value
-(Sidak) is uniform for random strings and near zero for words, paths and numbers.
+A candidate is a maximal run of at least 16 token characters with a letter in it. Its encoding is the smallest known
+alphabet that holds it. A run with "/", "+", "-" or "_" may be a path or a name around a key: its parts between these are
+candidates as well, and of candidates that overlap the longest one that passes is reported. Four tests ask whether it
+could be uniform over that alphabet: chi-squared over equal groups of symbols, the runs test about the middle symbol,
+the serial correlation of neighbours, and the number of digits, or of both cases where letters alone make the alphabet.
+Runs of one case without digits hold too few digits for their alphabet, as words do. The combined p-value (Sidak) is
+uniform for random strings and near zero for words, paths and numbers.
 
 Short strings cannot be told apart as well as long ones, so the threshold is set per encoding and length band from all
 documents: the random ones are uniform, hence their number above any threshold follows from the upper half of the
@@ -33,7 +36,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as maximal runs of which shorter ones are dropped
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run with its padding; an "=" before the run or between a name and its value is none.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a run: without "/" and "+", without "-" and "_", without any of them.
+PARTS = tuple(re.compile(rf"[A-Za-z0-9{more}]{{16,}}={{0,2}}") for more in ("_-", "+/", ""))
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -42,6 +48,7 @@ ENCODINGS = (
     ("base32", UPPER + "234567"),
     ("base36 lower", DIGITS + LOWER),
     ("base36 upper", DIGITS + UPPER),
+    ("letters", UPPER + LOWER),
     ("base62", DIGITS + UPPER + LOWER),
     ("base64", UPPER + LOWER + DIGITS + "+/"),
     ("base64 url", UPPER + LOWER + DIGITS + "-_"),
@@ -101,12 +108,25 @@ def serial(places: list[int]) -> float:
     return _two_sided((r + 1 / n) * math.sqrt(n))
 
 
+def scarcity(token: str, encoding: int) -> float:
+    """Chance of so few digits or fewer: words have none, random strings seldom. Of letters alone, of so uneven cases."""
+    n, letters = len(token), ENCODINGS[encoding][0] == "letters"
+    held = sum(c in (UPPER if letters else DIGITS) for c in token)
+    held = min(held, n - held) if letters else held
+    share = 0.5 if letters else sum(c in DIGITS for c in ENCODINGS[encoding][1]) / len(PLACES[encoding])
+    if held >= n * share:  # of no weight in the least of the tests
+        return 1.0
+    ways = (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(held + 1))
+    return math.fsum(map(math.exp, ways)) * (2 if letters else 1)
+
+
 def battery(token: str, encoding: int) -> float:
     """Combined p-value under uniform random symbols."""
-    places = [PLACES[encoding][c] for c in token.rstrip("=")]
+    token = token.rstrip("=")
+    places = [PLACES[encoding][c] for c in token]
     size = len(PLACES[encoding])
-    least = min(uniformity(places, size), runs(places, size), serial(places))
-    return 1 - (1 - min(1.0, max(0.0, least))) ** 3
+    least = min(uniformity(places, size), runs(places, size), serial(places), scarcity(token, encoding))
+    return 1 - (1 - min(1.0, max(0.0, least))) ** 4
 
 
 def stratum_of(encoding: int, length: int) -> int:
@@ -126,17 +146,25 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def readings(start: int, run: str) -> set[tuple[int, int]]:
+    """(start, end) of a run and of its parts that are long enough."""
+    found = {(start, start + len(run))}
+    if any(c in "/+-_" for c in run):
+        found |= {(start + m.start(), start + m.end()) for part in PARTS for m in part.finditer(run)}
+    return found
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, float]]:
     """(start, end, stratum, p) of each candidate that overlaps no span of a fixed kind."""
     found = []
     for m in CANDIDATE.finditer(text):
-        token = m.group()
-        if not any(c in DIGITS for c in token) or not any(c.isalpha() for c in token):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        if (encoding := encoding_of(token)) is not None:
-            found.append((m.start(), m.end(), stratum_of(encoding, len(token.rstrip("="))), battery(token, encoding)))
+        near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        for start, end in sorted(readings(m.start(), m.group())):
+            token = text[start:end]
+            if not any(c.isalpha() for c in token) or any(s < end and start < e for s, e in near):
+                continue
+            if (encoding := encoding_of(token)) is not None:
+                found.append((start, end, stratum_of(encoding, len(token.rstrip("="))), battery(token, encoding)))
     return found
 
 
@@ -175,7 +203,12 @@ def threshold(counts: list[int], fdr: float = FDR) -> float:
 
 def all_spans(text: str, least: dict[int, float]) -> list[Span]:
     base = base_spans(text)
-    return sorted(base + [(s, 3, e) for s, e, k, p in candidates(text, base) if p >= least.get(k, 0.5)])
+    passed = [(s, e) for s, e, k, p in candidates(text, base) if p >= least.get(k, 0.5)]
+    chosen: list[tuple[int, int]] = []
+    for s, e in sorted(passed, key=lambda x: (x[0] - x[1], x[0])):
+        if not any(a < e and s < b for a, b in chosen):
+            chosen.append((s, e))
+    return sorted(base + [(s, 3, e) for s, e in chosen])
 
 
 SPANS = T.ArrayType(
