@@ -112,3 +112,33 @@ def test_tokens_after_equals_signs_in_urls_and_without_digits():
     bare = ["".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=24)) for _ in range(200)]
     assert sum(reported(f"see {x} now") == [x] for x in bare) >= 180
     assert reported("die Geschwindigkeitsbegrenzung internationalization eaumenteuxaiauxch Hetionndonlyntble") == []
+
+
+def random_tokens(n, seed=9):
+    rnd = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return ["".join(rnd.choices(letters, k=24)) for _ in range(n)]
+
+
+def test_copies_do_not_move_the_threshold(spark):
+    keys = random_tokens(200)
+    names = [f"Section{w}Chapter{i}Number" for i, w in enumerate(["Introduction", "Appendix", "Release"] * 40)]
+    texts = [f"see {x} now" for x in keys + names]
+    least = ss.thresholds(table(spark, texts))
+    for key in keys[:3]:
+        assert ss.thresholds(table(spark, texts + [f"see {key} now"] * 1000)) == least
+    assert ss.thresholds(table(spark, texts + [f"see {names[0]} now"] * 1000)) == least
+
+
+def test_a_key_alone_in_its_stratum_is_reported(spark):
+    for key in random_tokens(40, 3):
+        (_, _, stratum, p), = ss.candidates(key, [])
+        if 0.1 < p < 0.5:
+            break
+    docs = table(spark, [f"see {key} now"])
+    assert ss.thresholds(docs) == {stratum: ss.SPARSE}
+    assert [len(r["spans"]) for r in ss.scan(docs, ss.thresholds(docs), "doc_id").collect()] == [1]
+    # a sparse band takes its neighbours' strings
+    counts = {5016: [3] + [0] * 49, 5017: [200] + [4] * 49, 5030: [0] * 49 + [9]}
+    assert ss.pooled(counts, 5016) == [203] + [4] * 49
+    assert ss.pooled({5016: [3] + [0] * 49}, 5016) is None

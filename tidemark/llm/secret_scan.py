@@ -11,6 +11,8 @@ uniform for random strings and near zero for words, paths and numbers.
 Short strings cannot be told apart as well as long ones, so the threshold is set per encoding and length band from all
 documents: the random ones are uniform, hence their number above any threshold follows from the upper half of the
 p-values (Storey); the smallest threshold at which at most ``fdr`` of the strings above it are not random is taken.
+Each different string counts once, however many copies of its document there are. A band with fewer than
+``LEAST_STRINGS`` strings takes in its encoding's nearest bands; an encoding with fewer reports from ``SPARSE`` on.
 
 Defined results: a null text counts as empty. Repeated rows are scanned one by one. Candidates that overlap a span of
 a fixed kind are not reported again, nor counted. Offsets are code points, ends are exclusive. An empty table gives
@@ -25,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +60,9 @@ PLACES = tuple({c: i for i, c in enumerate(symbols)} for _, symbols in ENCODINGS
 SETS = tuple(frozenset(symbols) for _, symbols in ENCODINGS)
 BINS = 50
 FDR = 0.05
+#: Different strings from which a threshold is estimated, and the threshold of an encoding with fewer of them.
+LEAST_STRINGS = 100
+SPARSE = 0.05
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -169,26 +175,38 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, float]]
 
 
 def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Per stratum the least combined p-value of a reported string, from the candidates of all documents."""
+    """Per stratum the least combined p-value of a reported string, from the different candidates of all documents."""
     body = docs.select(docs["text"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in batches_of(whole, "text"):
+                seen = set()
                 for text in batch.column("text").to_pylist():
                     if text:
-                        seen.update((s, min(BINS - 1, int(p * BINS))) for _, _, s, p in candidates(text, base_spans(text)))
-        keys = list(seen)
-        yield pa.RecordBatch.from_pydict(
-            {"stratum": pa.array([k[0] for k in keys], pa.int32()), "bin": pa.array([k[1] for k in keys], pa.int32()), "n": pa.array([seen[k] for k in keys], pa.int64())}
-        )
+                        for s, e, k, p in candidates(text, base_spans(text)):
+                            seen.add((k, xxhash.xxh64_intdigest(text[s:e]) - (1 << 63), min(BINS - 1, int(p * BINS))))
+                rows = list(seen)
+                kinds = (("stratum", pa.int32()), ("token", pa.int64()), ("bin", pa.int32()))
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(kinds)})
 
-    counted = body.mapInArrow(count, "stratum int, bin int, n long").groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
+    once = body.mapInArrow(found, "stratum int, token long, bin int").distinct()
     strata: dict[int, list[int]] = {}
-    for r in counted.collect():  # encodings x length bands x BINS rows at most
+    for r in once.groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect():  # encodings x length bands x BINS rows at most
         strata.setdefault(r["stratum"], [0] * BINS)[r["bin"]] = r["n"]
-    return {s: threshold(n, fdr) for s, n in strata.items()}
+    return {s: SPARSE if (n := pooled(strata, s)) is None else threshold(n, fdr) for s in strata}
+
+
+def pooled(strata: dict[int, list[int]], stratum: int) -> list[int] | None:
+    """Counts of a stratum and as many of its encoding's nearest length bands as ``LEAST_STRINGS`` take; None if all do not."""
+    encoding, band = divmod(stratum, 1000)
+    near = sorted((abs(s % 1000 - band), s) for s in strata if s // 1000 == encoding)
+    counts = [0] * BINS
+    for i, (far, s) in enumerate(near):
+        counts = [a + b for a, b in zip(counts, strata[s], strict=True)]
+        if sum(counts) >= LEAST_STRINGS and (i + 1 == len(near) or near[i + 1][0] > far):
+            return counts
+    return None
 
 
 def threshold(counts: list[int], fdr: float = FDR) -> float:
@@ -203,7 +221,7 @@ def threshold(counts: list[int], fdr: float = FDR) -> float:
 
 def all_spans(text: str, least: dict[int, float]) -> list[Span]:
     base = base_spans(text)
-    passed = [(s, e) for s, e, k, p in candidates(text, base) if p >= least.get(k, 0.5)]
+    passed = [(s, e) for s, e, k, p in candidates(text, base) if p >= least.get(k, SPARSE)]
     chosen: list[tuple[int, int]] = []
     for s, e in sorted(passed, key=lambda x: (x[0] - x[1], x[0])):
         if not any(a < e and s < b for a, b in chosen):
