@@ -101,3 +101,16 @@ def test_mixing_odd_rows(spark):
     assert mixed.columns == docs.columns and all(abs(counts.get(i, 0) - rates[i]) < 1 for i in range(120) if i != 7)
     assert mixing.fitted(docs.where("false"), labelled, (0.5, 0.5), "doc_id").count() == 0
     assert mixing.fitted(docs, labelled.where("false"), (0.5, 0.5), "doc_id").count() == 124
+
+
+def test_dictionaries_learn_from_whole_texts_of_every_sampled_row():
+    head, tail = b"clean opening " * 300, b"JUNK!" * 800
+    got = qc.passages(head + tail, 1024, qc.PASSAGE_BYTES)
+    assert len(got) <= 1024 and b"JUNK" in got and b"clean" in got
+    assert qc.passages(b"short", 1024, qc.PASSAGE_BYTES) == b"short"
+    lengths = [10] * 50 + [5000] * 1950
+    share = qc.row_share(lengths, qc.DICTIONARY_BYTES)
+    texts = [bytes([i % 250]) * n for i, n in enumerate(lengths)]
+    cut = [qc.passages(t, share, qc.PASSAGE_BYTES) for t in texts]
+    assert 0.99 * qc.DICTIONARY_BYTES < sum(map(len, cut)) <= qc.DICTIONARY_BYTES
+    assert len(qc.dictionary(cut, qc.DICTIONARY_BYTES).split(b"\n")) >= 1990

@@ -5,8 +5,8 @@ compressed with each of them and with none; the size difference over the plain s
 by itself, becomes a probability by a logistic curve fitted to labelled texts that are not in the dictionaries.
 
 Bounds (parameters): ``sample_rows`` labelled texts per class for the dictionaries and as many to calibrate, the
-first in the order of a hash of their ids; ``dictionary_bytes`` per dictionary, in excerpts of ``excerpt_bytes`` from
-each sampled text. Scores cover every row and the whole text.
+first in the order of a hash of their ids; ``dictionary_bytes`` per dictionary, to which every sampled text gives an
+even share (short ones all they have) in passages of about ``passage_bytes`` spread over the whole text. Scores cover every row and the whole text.
 
 Defined results: a null text counts as empty; an empty text has no evidence and gets the share of good labels.
 Without labels of both classes every score is the share of good labels (0.5 if there are none). Labels that are null,
@@ -16,6 +16,7 @@ that contradict each other or whose id is null are not used. Repeated rows get t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from .common import batches_of, carrying, saved, texts
 
 SAMPLE_ROWS = 2000
 DICTIONARY_BYTES = 512 << 10
-EXCERPT_BYTES = 2048
+PASSAGE_BYTES = 128
 LEVEL = 3
 
 
@@ -55,6 +56,43 @@ def dictionary(samples: list[bytes], size: int) -> bytes:
     return b"\n".join(reversed(picked))[-size:]
 
 
+def row_share(lengths: list[int], size: int) -> int:
+    """The most bytes of a row with which all rows together fill about ``size`` bytes and no more."""
+    left, rest = size, sorted(lengths)
+    for i, n in enumerate(rest):
+        share = left // (len(rest) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return rest[-1] if rest else 1
+
+
+def passages(text: bytes, most: int, passage_bytes: int) -> bytes:
+    """At most ``most`` bytes of a text, in passages that are spread evenly over the whole of it."""
+    if len(text) <= most:
+        return text
+    count = max(1, round(most / passage_bytes))
+    wide = most // count
+    if not wide:
+        return text[:most]
+    stretch = len(text) / count
+    shift = zlib.crc32(text) / 2**32 * (stretch - wide)  # not all texts' first bytes
+    return b"".join(text[(at := int(i * stretch + shift)) : at + wide] for i in range(count))
+
+
+def excerpts(rows: DataFrame, most: dict[int, int], passage_bytes: int) -> DataFrame:
+    """(doc_id, y, x) of rows (doc_id, y, text): passages of each text, at most ``most[y]`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in batches_of(whole, "text"):
+                pairs = zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("y").to_pylist(), strict=True)
+                found = pa.array([passages(t, most[y], passage_bytes) for t, y in pairs], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), found], names=["doc_id", "y", "x"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, x binary")
+
+
 class Sizes:
     """Compressed sizes with the good dictionary, the bad one and none."""
 
@@ -97,7 +135,7 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     return chosen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, passage_bytes: int = PASSAGE_BYTES) -> Model:
     """Fit on labelled rows whose crc32(id) mod 3 is 0 (dictionaries) or 2 (calibration); 1 is held out."""
     spark = docs.sparkSession
     known = clean_labels(labels).withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 3).where("fold <> 1")
@@ -114,15 +152,18 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, di
     chosen = spark.createDataFrame([(r["doc_id"], int(r["quality"] == 1), int(r["fold"])) for r in ids], "doc_id long, y int, fold int")
     body = texts(docs, "doc_id", "text")
     sample = saved(body.join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0), "quality-sample")
-    kept = []
-    for y in (1, 0):
-        rows = sample.where(f"fold = 0 and y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id")
-        rows = rows.select(F.encode("text", "UTF-8").substr(1, EXCERPT_BYTES).alias("x")).limit(sample_rows).collect()
-        kept.append([bytes(r["x"]) for r in rows])
-    size = min(dictionary_bytes, *(sum(map(len, x)) for x in kept))
+    rows = sample.where("fold = 0").groupBy("y", "doc_id").agg(F.max("text").alias("text"))  # repeated rows once
+    lengths: dict[int, list[int]] = {1: [], 0: []}
+    for r in rows.select("y", F.octet_length("text").alias("n")).collect():  # at most 2 x sample_rows numbers
+        lengths[r["y"]].append(r["n"])
+    size = min(dictionary_bytes, *(sum(x) for x in lengths.values()))
     if not size:
         return Model(None, None, (), prior)
-    good, bad = (dictionary(x, size) for x in kept)
+    most = {y: row_share(x, size) for y, x in lengths.items()}
+    kept = {y: [] for y in lengths}
+    for r in excerpts(rows, most, passage_bytes).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # 2 x dictionary_bytes
+        kept[r["y"]].append(bytes(r["x"]))
+    good, bad = (dictionary(kept[y], size) for y in (1, 0))
     measured = measure(sample.where("fold = 2"), good, bad, "y").limit(2 * sample_rows).collect()
     y = np.array([r["y"] for r in measured], float)
     if not 0 < y.sum() < len(y):
