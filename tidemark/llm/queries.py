@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import main_text, mixing, pieces, quality_compression, secret_scan, simhash_dedup, term_simhash, token_blocks, topk_slices, warc
+from . import (
+    main_text,
+    mixing,
+    periodic_runs,
+    pieces,
+    quality_compression,
+    secret_scan,
+    simhash_dedup,
+    spelling_groups,
+    term_simhash,
+    token_blocks,
+    topk_slices,
+    url_filter,
+    warc,
+)
 from .common import prepared, saved
 
 END_ID = 2
 #: Domains by label: good, poor (quality 0), toxic; and their target shares of tokens.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.94, 0.03, 0.03)
+#: Rules (host, path, verdict) of the url filter's report.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +193,65 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.near_components(table(spark, folder, "documents"), radius=3, words=3)
     return found.select("doc_id", digits("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_filter.judged(table(spark, folder, "pages"), URL_RULES, url_filter.VOCABULARY, "page_id")
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("terms", " ").alias("terms"), "score")
+
+
+def _listed(rows: Iterable[tuple]) -> str:
+    """Rows of texts and numbers as the body of VALUES."""
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+
+
+ORACLES["op11_url_filter"] = f"""
+WITH rules(host, path, verdict) AS (VALUES {_listed(URL_RULES)}),
+vocabulary(term, weight) AS (VALUES {_listed(url_filter.VOCABULARY.items())}),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), own AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), hits AS (
+  SELECT r, string_agg(term, ' ' ORDER BY term) AS terms, CAST(sum(weight) AS BIGINT) AS score
+  FROM (SELECT r, ' ' || translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ' AS own FROM own) t
+  JOIN vocabulary ON contains(t.own, term) AND regexp_matches(t.own, '[^\\p{{L}}\\p{{N}}]' || term || '[^\\p{{L}}\\p{{N}}]')
+  GROUP BY r
+), fitting AS (
+  SELECT r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+         arg_max(verdict, length(rules.host || rules.path)) AS verdict
+  FROM own JOIN rules
+    ON (own.host = rules.host OR ends_with(own.host, '.' || rules.host)) AND starts_with(own.path, rules.path)
+  GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(terms, '') AS terms, coalesce(score, 0) AS score
+FROM own LEFT JOIN hits USING (r) LEFT JOIN fitting USING (r)
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.looped(table(spark, folder, "documents")), "doc_id")
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    spelled = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", F.array_max(ranked))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(spelled, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op13_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.grouped(spelling_groups.word_counts(table(spark, folder, "documents")))
