@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -238,35 +238,121 @@ def decide_similar(
     )
 
 
+CREATED = ("CREATE", "CREATE_AMBIGUOUS")
+
+
+def _keyed(existing: DataFrame, fresh: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Fresh rows with their message, scope and block, and what stored tasks settle: ``_known`` and ``_held``."""
+    at = F.struct("created_at", "id")
+    own = F.concat(F.lit("\u0000"), F.col("id").cast("string"))
+    scoped = F.col("source_mailbox").isNotNull() & F.col("normalized_sender").isNotNull()
+    keys = {
+        # rows without message, scope or block are alone there
+        "_message": F.struct(F.coalesce("source_email_id", own).alias("m"), F.coalesce("task_fingerprint", F.lit("")).alias("f")),
+        "_scope": F.struct(
+            F.when(scoped, F.col("source_mailbox")).otherwise(own).alias("a"),
+            F.when(scoped, F.col("normalized_sender")).otherwise("").alias("b"),
+            F.coalesce("task_fingerprint", F.lit("")).alias("f"),
+        ),
+    }
+    whole = scoped & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in block])
+    in_block = F.struct(F.when(whole, F.lit("")).otherwise(own).alias("alone"), *block)
+    columns = list(dict.fromkeys(["id", "source_email_id", *GROUP, *block, "created_at"]))
+    rows = fresh.select(*columns).withColumns(keys | {"_at": at, "_block": in_block, "_whole": whole})
+    old = existing.withColumns(keys)
+    known = old.filter("source_email_id IS NOT NULL").groupBy("_message").agg(F.min(at)["id"].alias("_known"))
+    held = scoped_active(old).filter("source_mailbox IS NOT NULL").groupBy("_scope").agg(F.min(at)["id"].alias("_held"))
+    return rows.join(known, "_message", "left").join(held, "_scope", "left")
+
+
+def _first_made(state: DataFrame, key: str) -> DataFrame:
+    """The earliest created row of each message or scope."""
+    return state.filter("_made").groupBy(key).agg(F.min("_at").alias(f"_first{key}"))
+
+
+def _reached(state: DataFrame, changed: DataFrame) -> DataFrame:
+    """``state`` with ``_again``: whether a row before it in its message, scope or block has changed."""
+    for key in ("_message", "_scope", "_block"):
+        since = changed.groupBy(key).agg(F.min("_at").alias(f"_since{key}"))
+        state = state.join(since, key, "left")
+    late = [F.coalesce(F.col(f"_since{k}") < F.col("_at"), F.lit(False)) for k in ("_message", "_scope", "_block")]
+    return state.withColumn("_again", late[0] | late[1] | late[2]).drop("_since_message", "_since_scope", "_since_block")
+
+
 def decide_tasks(
     existing: DataFrame,
     fresh: DataFrame,
     vectors: DataFrame,
-    verdicts: DataFrame,
+    verdicts: DataFrame | Callable[[DataFrame], DataFrame],
     block: Sequence[str],
     bucket: Column,
     threshold: float = SIMILARITY_THRESHOLD,
 ) -> DataFrame:
-    """The whole chain for extracted tasks: exact first, then similarity for what that would create.
+    """The whole chain for extracted tasks, as if they came one by one in the order of ``(created_at, id)``.
+
+    Each row meets the stored tasks and those that earlier rows of the batch have created: by message and hash (KNOWN), by
+    mailbox, sender and hash (EXACT), then by similarity to the latest active tasks of its block. What a row does to
+    later ones is only whether it is created, so rounds compute every decision from the flags of the round before,
+    until no flag changes. A decision depends on earlier rows alone: the result is that of the replay, and a round settles at
+    least one more row of each chain of rows that undo each other. From the second round on only rows are computed again that have
+    a changed row before them in their message, scope or block.
+
+    ``verdicts`` holds the verifier's answers (new_id, candidate_id, outcome, verdict, reason), or is asked for those of a
+    table of scored pairs, also of some that a later round drops.
 
-    Candidates are stored active tasks of the same block; tasks of one batch do not see each other by similarity.
     Returns ``id, decision, task_id, match_reason``: KNOWN and EXACT as in :func:`resolve_exact`, else the similarity
     decision, with CREATED for rows that nothing resembles; ``task_id`` is the task the row stands for or waits on,
     its own id where it is created.
     """
-    exact = cut_lineage(resolve_exact(existing, fresh))
-    new = fresh.join(exact.filter("decision = 'CREATED'").select("id"), "id", "left_semi")
-    found = recent_candidates(new, scoped_active(existing), block, ["created_at"], bucket)
-    similar = decide_similar(new.select("id"), score_candidates(found, vectors), verdicts, threshold)
-    created = F.col("similar.decision").isin("CREATE", "CREATE_AMBIGUOUS")
-    joined = exact.join(similar.select(F.col("new_id").alias("id"), F.struct("*").alias("similar")), "id", "left")
-    plain = F.when(F.col("similar.decision") == "CREATE", "CREATED").otherwise(F.col("similar.decision"))
-    return joined.select(
-        "id",
-        F.coalesce(plain, "decision").alias("decision"),
-        F.when(created, F.col("id")).otherwise(F.coalesce("similar.matched_task_id", "task_id")).alias("task_id"),
-        F.col("similar.match_reason").alias("match_reason"),
+    order = ["created_at", "_stored", "id"]  # tasks of the batch are seen in order, stored ones only if they are older
+    stored = scoped_active(existing).select(*dict.fromkeys(["id", *block, "created_at"])).withColumn("_stored", F.lit(True))
+    keyed = cut_lineage(_keyed(existing, fresh, block))
+    free = keyed.filter("_known IS NULL AND _held IS NULL").withColumn("_made", F.lit(True))
+    first = keyed.join(_first_made(free, "_message"), "_message", "left").join(_first_made(free, "_scope"), "_scope", "left")
+    alone = (F.col("_first_message") == F.col("_at")) & (F.col("_first_scope") == F.col("_at"))
+    guessed = F.col("_known").isNull() & F.col("_held").isNull() & F.coalesce(alone, F.lit(False))
+    state = cut_lineage(first.select(*keyed.columns, guessed.alias("_made")))
+    settled: DataFrame | None = None  # rows that the round before left as they are
+    todo = state
+    while True:
+        judged = todo.join(_first_made(state, "_message"), "_message", "left").join(_first_made(state, "_scope"), "_scope", "left")
+        earlier = {k: F.when(F.col(f"_first{k}") < F.col("_at"), F.col(f"_first{k}")["id"]) for k in ("_message", "_scope")}
+        judged = cut_lineage(
+            judged.select(
+                *keyed.columns,
+                "_made",
+                F.coalesce("_known", earlier["_message"]).alias("_by_message"),
+                F.coalesce("_held", earlier["_scope"]).alias("_by_scope"),
+            )
+        )
+        asking = judged.filter("_by_message IS NULL AND _by_scope IS NULL AND _whole").withColumn("_stored", F.lit(False))
+        blocks = asking.select(*block).distinct()
+        made = state.filter("_made AND _whole").withColumn("_stored", F.lit(False)).select(*stored.columns)
+        pool = stored.unionByName(made).join(blocks, list(block), "left_semi")
+        scored = score_candidates(recent_candidates(asking, pool, block, order, bucket), vectors)
+        if callable(verdicts):
+            scored = cut_lineage(scored)
+        answers = verdicts(scored) if callable(verdicts) else verdicts
+        similar = decide_similar(asking.select("id"), scored, answers, threshold)
+        ruled = judged.join(similar.select(F.col("new_id").alias("id"), F.struct("*").alias("_similar")), "id", "left")
+        none = F.col("_by_message").isNull() & F.col("_by_scope").isNull()
+        makes = none & F.coalesce(F.col("_similar.decision").isin(*CREATED), F.lit(True))
+        ruled = cut_lineage(ruled.withColumn("_now", makes))
+        changed = ruled.filter("_now <> _made")
+        rows = ruled.withColumn("_made", F.col("_now")).drop("_now")
+        decided = rows if settled is None else settled.unionByName(rows)
+        if changed.isEmpty():
+            break
+        state = cut_lineage(_reached(decided, changed))
+        settled, todo = state.filter("NOT _again").drop("_again"), state.filter("_again").select(*keyed.columns, "_made")
+    decision = (
+        F.when(F.col("_by_message").isNotNull(), "KNOWN")
+        .when(F.col("_by_scope").isNotNull(), "EXACT")
+        .when(F.coalesce(F.col("_similar.decision"), F.lit("CREATE")) == "CREATE", "CREATED")
+        .otherwise(F.col("_similar.decision"))
     )
+    stands_for = F.when(F.col("_made"), F.col("id")).otherwise(F.coalesce("_by_message", "_by_scope", "_similar.matched_task_id"))
+    return decided.select("id", decision.alias("decision"), stands_for.alias("task_id"), F.col("_similar.match_reason").alias("match_reason"))
 
 
 def similar_audit(decisions: DataFrame) -> DataFrame:

@@ -809,26 +809,48 @@ def uniqueness_checks(spark, d):
 
 # some tasks have no vector and some a short one
 _VECTOR = "CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN {a}CAST(1 AS DOUBLE){b} ELSE {a}CAST(id % 7 AS DOUBLE), CAST(id % 5 AS DOUBLE), CAST(id % 3 - 1 AS DOUBLE){b} END"
+# one by one: each step sees the stored tasks (joined before) and the list of what the steps before have created
 _TASK_DECISIONS = f"""
-  WITH f AS MATERIALIZED (SELECT id, source_mailbox, normalized_sender, status, created_at, nullif(lower(trim(assignee_email)), '') AS k,
-      {_VECTOR.format(a='[', b=']')} AS v FROM {_FRESH}),
-  e AS MATERIALIZED ({_EXACT}),
-  pairs AS (
-    SELECT new_id, candidate_id, r, n, CASE WHEN len(a) = len(b) THEN {_COSINE} END AS score FROM (
-      SELECT n.id AS new_id, c.id AS candidate_id, n.v AS a, c.v AS b, n.id * 7 + c.id AS n,
-        row_number() OVER (PARTITION BY n.id ORDER BY c.created_at DESC, c.id DESC) AS r
-      FROM (SELECT * FROM f WHERE id IN (SELECT id FROM e WHERE decision = 'CREATED')) n JOIN f c USING (source_mailbox, normalized_sender, k)
-      WHERE c.{_OLD} AND c.status <> 'ARCHIVED' AND c.created_at < n.created_at) WHERE r <= 3),
-  ruled AS (
-    SELECT new_id, min_by(candidate_id, r) FILTER (WHERE n % 11 > 1 AND n % 5 = 0) AS same,
-      min_by(candidate_id, r) FILTER (WHERE n % 11 = 0) AS away, min_by(candidate_id, r) FILTER (WHERE n % 11 = 1) AS bad,
-      min_by(candidate_id, r) FILTER (WHERE n % 11 > 1 AND n % 5 = 1) AS unsure
-    FROM pairs WHERE score IS NULL OR score >= 0.75 GROUP BY 1)
-  SELECT id, CASE WHEN decision <> 'CREATED' THEN decision WHEN same IS NOT NULL THEN 'SEMANTIC_SAME' WHEN away IS NOT NULL THEN 'DEFER_UNAVAILABLE'
-      WHEN bad IS NOT NULL THEN 'DEFER_MALFORMED' WHEN unsure IS NOT NULL THEN 'CREATE_AMBIGUOUS' ELSE 'CREATED' END AS decision,
-    CASE WHEN decision <> 'CREATED' THEN task_id ELSE coalesce(same, away, bad, id) END AS task_id,
-    CASE WHEN decision = 'CREATED' THEN 'because ' || (id * 7 + coalesce(same, away, bad, unsure)) END AS match_reason
-  FROM e LEFT JOIN ruled ON new_id = id"""
+  SELECT * FROM (WITH RECURSIVE f AS MATERIALIZED (
+    SELECT *, {_VECTOR.format(a='[', b=']')} AS v, coalesce(source_email_id, 'row:' || id) || '/' || task_fingerprint AS m,
+      CASE WHEN source_mailbox IS NULL OR normalized_sender IS NULL THEN 'row:' || id
+           ELSE source_mailbox || '//' || normalized_sender || '//' || task_fingerprint END AS s,
+      source_mailbox || '//' || normalized_sender || '//' || nullif(lower(trim(assignee_email)), '') AS b
+    FROM {_FRESH}
+  ), known AS (SELECT m, min_by(id, (created_at, id)) AS known_id FROM f WHERE {_OLD} AND source_email_id IS NOT NULL GROUP BY 1),
+  held AS (SELECT s, min_by(id, (created_at, id)) AS old_id FROM f WHERE {_OLD} AND {ACTIVE} GROUP BY 1),
+  latest AS (
+    SELECT id, list({{'t': t, 'old': 1, 'id': c, 'v': v}}) AS stored FROM (
+      SELECT n.id, c.created_at AS t, c.id AS c, c.v, row_number() OVER (PARTITION BY n.id ORDER BY c.created_at DESC, c.id DESC) AS r
+      FROM f n JOIN f c USING (b) WHERE NOT n.{_OLD} AND c.{_OLD} AND c.status <> 'ARCHIVED' AND c.created_at < n.created_at)
+    WHERE r <= 3 GROUP BY 1
+  ), waiting AS MATERIALIZED (
+    SELECT f.id, created_at, m, s, b, v, known_id, old_id, coalesce(stored, []) AS stored, row_number() OVER (ORDER BY created_at, f.id) AS i
+    FROM f LEFT JOIN known USING (m) LEFT JOIN held USING (s) LEFT JOIN latest ON latest.id = f.id WHERE NOT {_OLD}
+  ), replay AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS decision, CAST(NULL AS BIGINT) AS task_id,
+      CAST(NULL AS VARCHAR) AS match_reason,
+      CAST([] AS STRUCT(m VARCHAR, s VARCHAR, b VARCHAR, c STRUCT(t TIMESTAMP, "old" INTEGER, id BIGINT, v DOUBLE[]))[]) AS made
+    UNION ALL
+    SELECT i, id, decision, CASE WHEN decision = 'KNOWN' THEN by_message WHEN decision = 'EXACT' THEN by_scope
+        WHEN decision IN ('CREATED', 'CREATE_AMBIGUOUS') THEN id ELSE other END,
+      CASE WHEN decision NOT IN ('KNOWN', 'EXACT', 'CREATED') THEN 'because ' || (id * 7 + other) END,
+      CASE WHEN decision IN ('CREATED', 'CREATE_AMBIGUOUS')
+        THEN list_append(made, {{'m': m, 's': s, 'b': b, 'c': {{'t': created_at, 'old': 0, 'id': id, 'v': v}}}}) ELSE made END
+    FROM (SELECT *, CASE WHEN by_message IS NOT NULL THEN 'KNOWN' WHEN by_scope IS NOT NULL THEN 'EXACT' WHEN same IS NOT NULL THEN 'SEMANTIC_SAME'
+          WHEN away IS NOT NULL THEN 'DEFER_UNAVAILABLE' WHEN bad IS NOT NULL THEN 'DEFER_MALFORMED' WHEN unsure IS NOT NULL THEN 'CREATE_AMBIGUOUS'
+          ELSE 'CREATED' END AS decision, coalesce(same, away, bad, unsure) AS other
+      FROM (SELECT *, list_filter(needed, lambda x: x.n % 11 > 1 AND x.n % 5 = 0)[1].c AS same, list_filter(needed, lambda x: x.n % 11 = 0)[1].c AS away,
+              list_filter(needed, lambda x: x.n % 11 = 1)[1].c AS bad, list_filter(needed, lambda x: x.n % 11 > 1 AND x.n % 5 = 1)[1].c AS unsure
+        FROM (SELECT *, list_filter(list_transform(near, lambda x: {{'c': x.id, 'n': id * 7 + x.id,
+                  'score': CASE WHEN len(v) = len(x.v) THEN {_COSINE.replace('list_dot_product(a, a)', 'list_dot_product(v, v)').replace('list_dot_product(b, b)', 'list_dot_product(x.v, x.v)').replace('list_dot_product(a, b)', 'list_dot_product(v, x.v)')} END}}),
+                  lambda x: x.score IS NULL OR x.score >= 0.75) AS needed
+          FROM (SELECT w.*, r.made, coalesce(w.known_id, list_filter(r.made, lambda x: x.m = w.m)[1].c.id) AS by_message,
+                  coalesce(w.old_id, list_filter(r.made, lambda x: x.s = w.s)[1].c.id) AS by_scope,
+                  list_sort(list_concat(w.stored, list_transform(list_filter(r.made, lambda x: x.b = w.b)[-3:], lambda x: x.c)), 'DESC')[:3] AS near
+                FROM replay r JOIN waiting w ON w.i = r.i + 1))))
+  )
+  SELECT id, decision, task_id, match_reason FROM replay WHERE i > 0)"""
 
 
 def _task_decisions(spark, d):
@@ -836,9 +858,8 @@ def _task_decisions(spark, d):
     vectors = rows.select("id", F.expr(_VECTOR.format(a="array(", b=")")).alias("vector"))
     old, new = rows.filter(_OLD), rows.filter(f"NOT ({_OLD})")
     hour = F.floor(F.unix_micros(F.col("created_at")) / 3_600_000_000).cast("bigint")
-    # what the verifier would say of every pair it may be asked about
-    asked = dedup.recent_candidates(new, dedup.scoped_active(old), BLOCK, ["created_at"], hour)
-    return dedup.decide_tasks(old, new, vectors, _verdicts(asked), BLOCK, hour)
+    # the verifier is asked for the pairs that come up
+    return dedup.decide_tasks(old, new, vectors, _verdicts, BLOCK, hour)
 
 
 @registry.add(f"SELECT * FROM ({_TASK_DECISIONS})")
