@@ -90,6 +90,46 @@ def test_long_histories_take_as_many_rounds_as_short_ones(spark, monkeypatch, pa
     assert len(rounds) == 1
 
 
+def hot_mailbox(seed, n, never):
+    """Nine rows in ten of one customer; ``never``: share of messages outside any conversation that answers them."""
+    rng = random.Random(seed)
+    slas, replies = [], []
+    for i in range(n):
+        who = 0 if rng.random() < 0.9 else rng.randrange(1, 4)
+        moment = START + timedelta(minutes=10 * i)
+        talk = rng.choice([None, f"own{i}", f"c{rng.randrange(3)}"])
+        slas.append((f"b0/m{i}", "b0", f"m{i}", talk, f"cust{who}@x", moment))
+        if rng.random() >= never:
+            replies.append((f"r{i}", "b0", rng.choice([talk, talk, None]), moment + timedelta(minutes=rng.choice([0, 3, 8, 25])), [f"cust{who}@x"] + ([f"cust{rng.randrange(4)}@x"] if rng.random() < 0.3 else [])))
+        elif rng.random() < 0.5:
+            replies.append((f"r{i}", "b1", rng.choice([None, "c0", "c1"]), moment + timedelta(minutes=rng.choice([0, 4])), [f"cust{who}@x", "cust1@x"]))
+    return slas, replies
+
+
+@pytest.mark.parametrize("seed, never", [(22, 0.05), (23, 0.5)])
+def test_hot_customer_is_many_pieces(spark, monkeypatch, seed, never):
+    sizes = []
+    real = sla._segments
+
+    def seen(events):
+        found = real(events)
+        sizes.extend(r["count"] for r in found.groupBy("lookup", "segment").count().collect())
+        return found
+
+    monkeypatch.setattr(sla, "_segments", seen)
+    slas, replies = hot_mailbox(seed, 300, never)
+    assert matched(spark, slas, replies) == replay(slas, replies)
+    assert max(sizes) < 0.15 * (len(slas) + len(replies))
+
+
+def test_a_reply_at_the_moment_of_the_second_message_may_answer_the_first(spark):
+    later = START + timedelta(hours=1)
+    slas = [("b0/m", "b0", "m", None, "a@x", START), ("b0/n", "b0", "n", None, "a@x", later), ("b0/o", "b0", "o", None, "a@x", later + timedelta(hours=1))]
+    replies = [("r1", "b0", None, later, ["a@x"]), ("r2", "b0", None, later + timedelta(minutes=1), ["a@x"]), ("r3", "b0", None, later + timedelta(hours=2), ["a@x"])]
+    got = matched(spark, slas, replies)
+    assert got == replay(slas, replies) and len(got) == 3
+
+
 def test_order_of_rows_does_not_matter(spark):
     slas, replies = mailboxes(5, 4, 2, 80)
     expected = matched(spark, slas, replies)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -122,9 +123,7 @@ def _primary(slas: DataFrame, replies: DataFrame, bucket: Column) -> DataFrame:
 
 
 _ORDER = ("us", "phase", "by", "step")
-_EVENT = (
-    "lookup string, us bigint, phase int, by string, step int, sla_id string, conversation_id string, message_id string, mailbox string"
-)
+_FIELDS = ("lookup", "segment", "us", "phase", "by", "step", "sla_id", "conversation_id", "message_id", "mailbox")
 _LOOK = "reply_id string, lookup string, us bigint, mailbox string, own_open bigint, own_talk bigint, sla_id string"
 
 
@@ -151,13 +150,46 @@ def _events(slas: DataFrame, replies: DataFrame) -> DataFrame:
     return opened.unionByName(closed).unionByName(asked)
 
 
+def _crowded(fixed: DataFrame, events: DataFrame) -> DataFrame:
+    """(lookup, crowded): the moment after which a customer has two or more messages open for good.
+
+    A message that its conversation never answers is closed by a fallback only, and that needs to be the only open one. So
+    two such messages with no reply to the customer from the first up to the second stay open for ever.
+    """
+    never = fixed.filter("lookup IS NOT NULL AND primary IS NULL")
+    points = never.select("lookup", F.unix_micros("received_at").alias("us"), F.lit(1).alias("opens"), "message_id").unionByName(
+        events.filter("phase = 1 AND step = 0").select("lookup", "us", F.lit(0).alias("opens"), F.lit(None).cast("string").alias("message_id"))
+    )
+    ahead = next_value(points, ["lookup"], _hour("us"), ["us", "opens", "message_id"], F.struct("us", "opens", "message_id"), "ahead")
+    pairs = ahead.filter("opens = 1 AND ahead.opens = 1 AND ahead.message_id <> message_id")
+    return pairs.groupBy("lookup").agg(F.min("ahead.us").alias("crowded"))
+
+
+def _hour(us: str) -> Column:
+    return F.floor(F.col(us) / 3_600_000_000).cast("bigint")
+
+
+def _segments(events: DataFrame) -> DataFrame:
+    """Number the stretches of every customer's timeline between the moments when nothing can be open.
+
+    Whatever fallbacks do, an SLA is open no longer than to its conversation's own answer. Where openings less these
+    closings are zero, the replay starts afresh: the stretches are independent, and a busy customer is many of them.
+    """
+    order = [F.asc(c) for c in (*_ORDER, "sla_id")]
+    change = F.when(F.col("phase") == 0, 1).when(F.col("step") == 1, -1).otherwise(0).cast("bigint")
+    counted = running_totals(events, ["lookup"], _hour("us"), order, sums={"_open": change})
+    clear = (F.col("_open") == 0).cast("bigint")
+    numbered = running_totals(counted, ["lookup"], _hour("us"), order, sums={"_clear": clear})
+    return numbered.withColumn("segment", F.col("_clear") - clear).drop("_open", "_clear")
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replay the timelines, one customer after the other, holding only the open messages of the current one.
+    """Replay the timelines, one stretch after the other, holding only the open messages of the current one.
 
     A reply may use the fallback if no open SLA shares its conversation, and then answers the only open message of all
     customers it names, if there is exactly one. What others have open at that moment comes with the reply.
     """
-    lookup: str | None = None
+    stretch: tuple[str, int] | None = None
     waiting: dict[str, tuple] = {}  # open SLA: (received, conversation, message)
     talks: dict[str | None, int] = {}
     messages: dict[str, int] = {}
@@ -177,9 +209,9 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         columns = (batch.column(c).to_pylist() for c in (*_FIELDS, "other_open", "other_talk"))
-        for who, us, phase, by, step, sla_id, talk, message, mailbox, other_open, other_talk in zip(*columns, strict=True):
-            if who != lookup:
-                lookup = who
+        for who, segment, us, phase, by, step, sla_id, talk, message, mailbox, other_open, other_talk in zip(*columns, strict=True):
+            if (who, segment) != stretch:
+                stretch = who, segment
                 for table in (waiting, talks, messages):
                     table.clear()
             if phase == 0:
@@ -207,14 +239,12 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_FIELDS = tuple(f.split()[0] for f in _EVENT.split(", "))
-
-
-def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame) -> DataFrame:
+def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame, crowd: DataFrame | None = None) -> DataFrame:
     """(by, lookup, other_open, other_talk): what else is open at each reply, given the closings of this round.
 
     ``other_open`` counts the messages of the other customers it names, ``other_talk`` the SLAs of others in its
-    conversation: the conversation's running count, in hourly buckets, less the customer's own.
+    conversation: the conversation's running count, in hourly buckets, less the customer's own. ``crowd`` names the customers
+    some of whose replies come without their own part of the conversation.
     """
     named = looks.groupBy("reply_id").agg(F.sum("own_open").alias("all_open"), F.count(F.lit(1)).alias("n"))
     keys = ["conversation_id"]
@@ -244,6 +274,19 @@ def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame) -> DataFr
     order = [F.asc(c) for c in ("moment", "phase", "by", "step")]
     counted = running_totals(events, keys, hour_of(F.col("moment")), order, sums={"all_talk": F.col("change")})
     talk = counted.filter("reply_id IS NOT NULL").select("reply_id", "all_talk")
+    if crowd is not None:  # replies to crowded customers were not replayed: their own part of the conversation is counted here
+        own = known.join(crowd, "lookup")
+        asked = looks.filter("own_talk IS NULL").select("reply_id", "lookup").join(replies.join(shared, keys, "left_semi").drop("recipients"), "reply_id")
+        parts = {
+            "received_at": (own, 0, F.lit(""), 0, 1, nobody),
+            "closed.sent_at": (own.filter("closed IS NOT NULL"), 1, F.col("closed.reply_id"), 1, -1, nobody),
+            "sent_at": (asked, 1, F.col("reply_id"), 0, 0, F.col("reply_id")),
+        }
+        keys = [*keys, "lookup"]
+        mine = reduce(lambda a, b: a.unionByName(b), [point(rows, moment, *rest) for moment, (rows, *rest) in parts.items()])
+        alone = running_totals(mine, keys, hour_of(F.col("moment")), order, sums={"mine": F.col("change")}).filter("reply_id IS NOT NULL")
+        looks = looks.join(alone.select("reply_id", "lookup", "mine"), ["reply_id", "lookup"], "left")
+        looks = looks.withColumn("own_talk", F.coalesce("own_talk", "mine", F.lit(0))).drop("mine")
     joined = looks.join(named.filter("n > 1"), "reply_id", "left").join(talk, "reply_id", "left")
     other_open = F.coalesce(F.col("all_open") - F.col("own_open"), F.lit(0))
     other_talk = F.coalesce(F.col("all_talk") - F.col("own_talk"), F.lit(0))
@@ -255,7 +298,9 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
 
     Columns: ``sla_id, first_response_at, response_message_id, responded_by, fallback``. Answers within a message's own
     conversation are an as-of lookup. A fallback answer changes which messages later replies find open: each customer's
-    timeline is replayed in one pass, so chains of messages and answers settle at once however long they are. What one
+    timeline is replayed in one pass, so chains of messages and answers settle at once however long they are. A timeline
+    is cut wherever nothing can be open, and ends where two messages are open for good, so that a busy customer is many
+    small pieces of work; only a customer that never answers and is never crowded has long ones. What one
     customer's replies depend on elsewhere (other customers named in them, or others' messages in the conversation) is
     taken from the round before; rounds end when that no longer changes, so their number follows the chains that cross
     customers, not the length of anyone's history. Each round is written to the shared folder.
@@ -278,7 +323,21 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
     )
     cleaned, base = cut_lineage(cleaned), cut_lineage(base)
     fixed = cut_lineage(base.join(_primary(base, cleaned, hour_of(F.col("moment"))), "sla_id", "left").drop("customer_email"))
-    events = cut_lineage(_events(fixed, cleaned))
+    timeline = cut_lineage(_events(fixed, cleaned))
+    crowd = cut_lineage(_crowded(fixed, timeline))
+    late = None
+    if crowd.isEmpty():
+        crowd, events = None, timeline
+    else:
+        # beyond that moment no fallback is possible and other customers need to know only that something is open
+        known = timeline.join(crowd, "lookup", "left")
+        events = known.filter("crowded IS NULL OR us <= crowded").drop("crowded")
+        two, none = F.lit(2).cast("bigint"), F.lit(None)
+        late = known.filter("us > crowded AND phase = 1 AND step = 0").select(
+            F.col("by").alias("reply_id"), "lookup", "us", "mailbox", two.alias("own_open"), none.cast("bigint").alias("own_talk"), none.cast("string").alias("sla_id")
+        )
+        crowd = crowd.select("lookup")
+    events = cut_lineage(_segments(events))
     elsewhere = None
     while True:
         if elsewhere is None:
@@ -286,12 +345,13 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
         else:
             busy = elsewhere.filter("other_open <> 0 OR other_talk <> 0")
             told = events.join(busy, ["by", "lookup"], "left").na.fill(0, ["other_open", "other_talk"])
-        ordered = told.repartition("lookup").sortWithinPartitions("lookup", *_ORDER)
+        ordered = told.repartition("lookup", "segment").sortWithinPartitions("lookup", "segment", *_ORDER)
         looks = cut_lineage(ordered.select(*_FIELDS, "other_open", "other_talk").mapInArrow(_fold, _LOOK))
+        looks = looks if late is None else looks.unionByName(late)
         answer = F.struct(F.timestamp_micros("us").alias("sent_at"), "reply_id", F.col("mailbox").alias("responded_by"))
         hits = looks.filter("sla_id IS NOT NULL").groupBy("sla_id").agg(F.min(answer).alias("fallback"))
         state = fixed.join(hits, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
-        found = cut_lineage(_elsewhere(looks, state, cleaned))
+        found = cut_lineage(_elsewhere(looks, state, cleaned, crowd))
         before = elsewhere if elsewhere is not None else found.limit(0)
         if _same(before, found):
             break
