@@ -53,6 +53,20 @@ def test_wide_values(spark):
     assert compared(spark, rows, rows, 2) == plain(rows, rows, 2)
 
 
+def test_components_of_any_size(spark):
+    rows = [(1, [1e6]), (2, [2e6]), (3, [1e6]), (4, [-3e6])]
+    assert compared(spark, rows, rows, 3) == plain(rows, rows, 3)
+    rows = [(i, [x, y]) for i, (x, y) in enumerate([(2e9, 0.0), (-2e9, 0.5), (0.01, 2e9), (0.02, -2e9), (1e9, 0.25), (0.0, 0.0)])]
+    small = [(i, [x, y]) for i, (x, y) in enumerate([(0.5, 0.25), (-0.75, 2.0), (1e4, -1e4)])]
+    assert compared(spark, rows, small, 5, group_queries=1) == plain(rows, small, 5)
+
+
+def test_scores_beyond_a_long_are_ranked_and_then_held(spark):
+    rows = [(i, [x]) for i, x in enumerate((1e15, 3e15, -2e15, 2e15))]
+    want = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in plain(rows, rows, 3)]
+    assert compared(spark, rows, rows, 3) == want and [w[2] for w in want if w[0] == 0] == [1, 3, 2]
+
+
 def test_empty_and_single(spark):
     assert compared(spark, [], []) == []
     assert compared(spark, [(1, [1.0])], [(1, [1.0])]) == []

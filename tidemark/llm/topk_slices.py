@@ -7,11 +7,12 @@ are added with carry-save adders, so the sum is again a list of slices. The top
 significant slice downward; rows that tie at the boundary are resolved by the smaller id.
 
 Every block answers every group of queries; each answer has at most k rows per query, and a ranking per query joins
-them. Blocks and groups are rows of bounded size, dealt evenly by their numbers.
+them. Blocks and groups are rows of bounded size. A block is sent once for each ``STREAM_GROUPS`` groups and meets these one
+after the other, so what is shuffled are mostly the groups, which are a fraction of a block's size.
 
 Defined results: vectors that are null, hold a null or a non-finite component, or have a null id take no part. Missing
-components of shorter vectors count as zero. Quantised components are held to 27 bits, far beyond embeddings, so that
-scores fit a long. Equal ids are one query (of their least vector) but rows of their own as candidates. An empty table
+components of shorter vectors count as zero. Components of any size are sliced by as many bits as they need and scores
+are exact; quantised components beyond a long are held to its limits, and so are scores, after ranking. Equal ids are one query (of their least vector) but rows of their own as candidates. An empty table
 gives an empty result.
 """
 
@@ -28,7 +29,9 @@ from .common import saved
 
 BLOCK_ROWS = 8192
 GROUP_QUERIES = 128
-MOST = (1 << 27) - 1
+STREAM_GROUPS = 64
+#: Scores travel as two longs: multiples of this, and the rest.
+HALF = 1 << 62
 
 
 class Slices:
@@ -40,9 +43,10 @@ class Slices:
         self.rows = len(ids)
         self.words = -(-self.rows // 64)
         self.low = values.min(axis=0) if self.rows else np.zeros(values.shape[1], np.int64)
-        above = values - self.low
+        above = values.astype(np.uint64) - self.low.astype(np.uint64)  # right for any two longs
         self.width = [int(x).bit_length() for x in above.max(axis=0)] if self.rows else []
-        self.bits = [np.stack([self.packed((above[:, j] >> b) & 1) for b in range(w)]) if w else None for j, w in enumerate(self.width)]
+        one = np.uint64(1)
+        self.bits = [np.stack([self.packed((above[:, j] >> np.uint64(b)) & one) for b in range(w)]) if w else None for j, w in enumerate(self.width)]
         self.all = self.packed(np.ones(self.rows, np.int64))
 
     def stored(self) -> dict[str, bytes]:
@@ -151,7 +155,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """(id, v array<long>) of the vectors that take part."""
     chosen = vectors.select(vectors["vec_id"].cast("long").alias("id"), vectors["embedding"].cast("array<double>").alias("x"))
     fit = F.col("x").isNotNull() & F.col("id").isNotNull() & F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    held = F.transform("x", lambda x: F.greatest(F.lit(-MOST), F.least(F.lit(MOST), F.floor(x * 256))).cast("long"))
+    held = F.transform("x", lambda x: F.floor(x * 256))
     return chosen.where(fit).select("id", held.alias("v"))
 
 
@@ -190,26 +194,37 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
     group_of, n_groups = dealt(asked, asked.count(), group_queries)
     index = saved(block_of.groupBy("number").applyInArrow(_block, "b int, ids binary, low binary, width binary, bits binary"), "slices")
     groups = group_of.groupBy("number").applyInArrow(_group, "g int, q_ids binary, q_size int, q_v binary")
-    # each block meets each group once: both are told their partners' numbers, and the pair of numbers is the join's key
-    left = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    right = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # a block and the groups of one stream meet under the pair of their numbers, the block first
+    streams = -(-n_groups // STREAM_GROUPS)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("q_ids", "binary"), ("q_size", "int"), ("q_v", "binary"))]
+    absent = [F.lit(None).cast("binary").alias(n) for n in ("ids", "low", "width", "bits")]
+    stream = F.explode(F.sequence(F.lit(0), F.lit(streams - 1))).alias("h")
+    left = index.select("b", stream, F.lit(-1).alias("g"), "ids", "low", "width", "bits", *nothing)
+    block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b")
+    right = groups.select(block, F.floor(F.col("g") / STREAM_GROUPS).cast("int").alias("h"), "g", *absent, "q_ids", "q_size", "q_v")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, block = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["b"] != last:
-                    last, block = r["b"], Slices.loaded(r)
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
+                if r["g"] < 0:
+                    last, block = (r["b"], r["h"]), Slices.loaded(r)
+                    continue
+                if last != (r["b"], r["h"]):  # a number of a block that no row hashes to
+                    continue
                 q_ids = np.frombuffer(r["q_ids"], np.int64)
                 weights = np.frombuffer(r["q_v"], np.int64).reshape(len(q_ids), r["q_size"])
                 size = len(block.low)
                 weights = np.pad(weights, ((0, 0), (0, max(0, size - weights.shape[1]))))[:, :size]
-                found = [(int(q), i, s) for q, w in zip(q_ids, weights, strict=True) for i, s in block.top(w, int(q), k)]
+                found = [(int(q), i, s // HALF, s % HALF) for q, w in zip(q_ids, weights, strict=True) for i, s in block.top(w, int(q), k)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[c] for x in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"]
+                    [pa.array([x[c] for x in found], pa.int64()) for c in range(4)], names=["query_id", "vec_id", "high", "rest"]
                 )
 
-    met = left.join(right, ["b", "g"]).mapInArrow(answer, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    dealt_rows = left.unionAll(right).repartition("b", "h").sortWithinPartitions("b", "h", "g")
+    met = dealt_rows.mapInArrow(answer, "query_id long, vec_id long, high long, rest long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("rest"), "vec_id")
+    score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high") * HALF + F.col("rest"))
+    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
