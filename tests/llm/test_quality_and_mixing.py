@@ -27,6 +27,44 @@ def test_held_out_accuracy(spark):
     assert abs(np.mean([r["score"] for r in held]) - np.mean([r["quality"] for r in held])) < 0.03
 
 
+def descent(x, y, ridge, rounds=4000):
+    """The curve by accelerated gradient steps alone, over columns brought to one scale."""
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-12)
+    a = x / scale
+    step = 1 / (np.linalg.eigvalsh(a.T @ a)[-1] / 4 + ridge / scale.min() ** 2)
+    w = before = np.zeros(x.shape[1])
+    best = np.inf
+    for k in range(rounds):
+        ahead = w + k / (k + 3) * (w - before)
+        p = 1 / (1 + np.exp(-np.clip(a @ ahead, -500, 500)))
+        before, w = w, ahead - step * (a.T @ (p - y) + ridge * ahead / scale**2)
+        best = min(best, qc.loss(x, y, w / scale, ridge))
+    return best
+
+
+def test_curve_converges_on_every_resample(spark):
+    docs, labels = docs_and_labels(spark)
+    model = qc.train(docs, labels)
+    known = qc.clean_labels(labels).where("crc32(cast(doc_id as string)) % 3 = 2")
+    rows = qc.measure(docs.join(known, "doc_id"), model.good, model.bad, "doc_id", "quality").orderBy("doc_id").collect()
+    x, y = qc.design(np.array([r["features"] for r in rows])), np.array([r["quality"] for r in rows], float)
+    for seed in range(24):
+        rnd = np.random.default_rng(seed)
+        at = rnd.permutation(len(y))[: int(len(y) * 0.9)]
+        w = qc.fit(x[at], y[at])
+        gradient, p = qc.slope(x[at], y[at], w, qc.RIDGE)
+        assert np.abs(gradient).max() < 1e-6
+        assert np.mean((p >= 0.5) == (y[at] == 1)) > 0.96 and np.mean(p[y[at] == 0] < 0.5) > 0.85
+        if seed < 3:
+            assert qc.loss(x[at], y[at], w, qc.RIDGE) <= descent(x[at], y[at], qc.RIDGE) + 1e-9
+
+
+def test_curve_of_separable_and_of_steep_rows():
+    x = np.column_stack([np.ones(40), np.repeat([-1e3, 1e3], 20)])
+    w = qc.fit(x, np.repeat([0.0, 1.0], 20))
+    assert ((x @ w > 0) == (np.arange(40) >= 20)).all() and np.isfinite(w).all()
+
+
 def test_odd_rows(spark):
     rnd = random.Random(1)
     clean = [" ".join(rnd.choices("the river runs along hills and past old stone mills".split(), k=60)) for _ in range(90)]
