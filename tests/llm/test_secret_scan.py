@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 
 from tidemark.llm import secret_scan as ss
 
@@ -142,3 +143,37 @@ def test_a_key_alone_in_its_stratum_is_reported(spark):
     counts = {5016: [3] + [0] * 49, 5017: [200] + [4] * 49, 5030: [0] * 49 + [9]}
     assert ss.pooled(counts, 5016) == [203] + [4] * 49
     assert ss.pooled({5016: [3] + [0] * 49}, 5016) is None
+
+
+def plain_spans(text, least):
+    """Every candidate against every fixed span and every chosen one."""
+    base = ss.base_spans(text)
+    passed = []
+    for m in ss.CANDIDATE.finditer(text):
+        for s, e in ss.readings(m.start(), m.group()):
+            token = text[s:e]
+            if any(c.isalpha() for c in token) and not any(a < e and s < b for a, _, b in base) and (k := ss.encoding_of(token)) is not None:
+                if ss.battery(token, k) >= least.get(ss.stratum_of(k, len(token.rstrip("="))), ss.SPARSE):
+                    passed.append((s, e))
+    chosen = []
+    for s, e in sorted(passed, key=lambda x: (x[0] - x[1], x[0])):
+        if not any(a < e and s < b for a, b in chosen):
+            chosen.append((s, e))
+    return sorted(base + [(s, 3, e) for s, e in chosen])
+
+
+def test_spans_equal_a_comparison_of_all_with_all():
+    rnd = random.Random(4)
+    keys, names = tokens(5, 60), wordy(6, 60)
+    for _ in range(60):
+        parts = [rnd.choice([rnd.choice(keys), rnd.choice(names), "password=" + rnd.choice(keys), "a/" + rnd.choice(keys) + "/" + rnd.choice(keys), rnd.randbytes(20).hex(), "AKIA" + "Q7" * 8]) for _ in range(12)]
+        text = rnd.choice([" ", "-", "/", ", "]).join(parts)
+        assert ss.all_spans(text, {}) == plain_spans(text, {})
+
+
+def test_long_texts_take_linear_time():
+    keys = tokens(7, 300)
+    text = " ".join(f"token={k} and {k}-x/{k}" for k in keys) + " "
+    began = time.time()
+    found = ss.all_spans(text * (5_000_000 // len(text)), {})
+    assert len(found) > 40_000 and time.time() - began < 90

@@ -21,6 +21,7 @@ an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -160,14 +161,43 @@ def readings(start: int, run: str) -> set[tuple[int, int]]:
     return found
 
 
+class Taken:
+    """Disjoint stretches in order; asking and adding take the logarithm of their number."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    @classmethod
+    def covered(cls, spans: list[Span]) -> Taken:
+        """The places that spans, ordered by start, cover."""
+        self = cls()
+        for start, _, end in spans:
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+        return self
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, float]]:
     """(start, end, stratum, p) of each candidate that overlaps no span of a fixed kind."""
     found = []
+    fixed = Taken.covered(base)
     for m in CANDIDATE.finditer(text):
-        near = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
         for start, end in sorted(readings(m.start(), m.group())):
             token = text[start:end]
-            if not any(c.isalpha() for c in token) or any(s < end and start < e for s, e in near):
+            if not any(c.isalpha() for c in token) or fixed.meets(start, end):
                 continue
             if (encoding := encoding_of(token)) is not None:
                 found.append((start, end, stratum_of(encoding, len(token.rstrip("="))), battery(token, encoding)))
@@ -222,11 +252,11 @@ def threshold(counts: list[int], fdr: float = FDR) -> float:
 def all_spans(text: str, least: dict[int, float]) -> list[Span]:
     base = base_spans(text)
     passed = [(s, e) for s, e, k, p in candidates(text, base) if p >= least.get(k, SPARSE)]
-    chosen: list[tuple[int, int]] = []
+    chosen = Taken()
     for s, e in sorted(passed, key=lambda x: (x[0] - x[1], x[0])):
-        if not any(a < e and s < b for a, b in chosen):
-            chosen.append((s, e))
-    return sorted(base + [(s, 3, e) for s, e in chosen])
+        if not chosen.meets(s, e):
+            chosen.add(s, e)
+    return sorted(base + [(s, 3, e) for s, e in zip(chosen.starts, chosen.ends, strict=True)])
 
 
 SPANS = T.ArrayType(
