@@ -180,7 +180,8 @@ def near(queries: DataFrame, fps: DataFrame, radius: int = 3) -> DataFrame:
         rows = F.array(*(F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))
         return df.select(c, F.inline(rows))
 
-    met = keyed(queries.select("q").distinct(), "q").join(keyed(fps.select("fp").distinct(), "fp"), ["t", "k"])
+    # merge joins: neither side has a size bound
+    met = keyed(queries.select("q").distinct(), "q").join(keyed(fps.select("fp").distinct(), "fp").hint("merge"), ["t", "k"])
     differing = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*(F.when(differing.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)))
     return met.where((F.bit_count(differing) <= radius) & (first == F.col("t"))).select("q", "fp", F.bit_count(differing).alias("distance"))
@@ -195,7 +196,7 @@ def neighbours(marks: DataFrame, asked: str = "doc_id % 20 = 0", radius: int = 3
     sizes = saved(marks.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
     chosen = F.coalesce(F.expr(asked), F.lit(False))
     queries = marks.where(chosen)
-    found = near(queries.select(F.col("fp").alias("q")), sizes, radius).join(sizes, "fp")
+    found = near(queries.select(F.col("fp").alias("q")), sizes, radius).join(sizes.hint("merge"), "fp")
     total = found.groupBy("q").agg((F.sum("n") - 1).alias("near_docs"))
-    counted = queries.join(total, F.col("fp") == F.col("q")).drop("q")
+    counted = queries.join(total.hint("merge"), F.col("fp") == F.col("q")).drop("q")
     return counted.unionByName(marks.where(~chosen).withColumn("near_docs", F.lit(None).cast("long")))
