@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -160,6 +161,45 @@ def test_employee_upsert(spark):
     assert got == {1: "UPDATED", 2: "UPDATED", 3: "SKIPPED", 4: "CREATED", 5: "SKIPPED", 6: "UPDATED", 7: "SKIPPED", 8: "SKIPPED"}
 
 
+def test_employee_upsert_equals_a_replay(spark):
+    rnd = random.Random(12)
+    local = ["ann", "bob", "cy", "dee", "eve", "fay", "gus", "hal"]
+
+    def mail():
+        return rnd.choice([f"{rnd.choice(local)}@{rnd.choice('xyz')}", f"{rnd.choice(local).upper()}@x"])
+
+    stored = [(i, rnd.choice(local), mail(), rnd.choice([None, f"u{i}", f"u{i}"])) for i in range(12)]
+    users = [(i, rnd.choice([f"u{rnd.randrange(40)}", f"u{rnd.randrange(40)}", " "]), rnd.choice([mail(), mail(), None]), mail()) for i in range(120)]
+    staff, want = [[i, ms, e.lower(), n] for i, n, e, ms in stored], {}
+    for position, user, first, second in users:
+        address = first or second
+        if not user.strip():
+            want[position] = ("SKIPPED", None)
+            continue
+        name = address.split("@")[0].lower()
+        hit = next((s for s in staff if s[1] == user), None) or next((s for s in staff if s[2] == address.lower()), None)
+        if hit:
+            want[position] = ("UPDATED", hit[0])
+            hit[1:] = [user, address.lower(), name]
+        elif any(s[3] == name for s in staff):
+            want[position] = ("SKIPPED", None)
+        else:
+            want[position] = ("CREATED", None)
+            staff.append([None, user, address.lower(), name])
+    people = spark.createDataFrame(stored, "id bigint, name string, email string, microsoft_user_id string")
+    feed = spark.createDataFrame(users, "position int, id string, mail string, upn string")
+    got = {r.position: (r.outcome, r.employee_id) for r in identity.upsert_employees(people, feed).collect()}
+    assert got == want and {o for o, _ in want.values()} >= {"UPDATED", "SKIPPED"}
+    assert identity.upsert_employees(people, feed.where("false")).count() == 0
+
+
+def test_a_directory_id_that_comes_twice_updates_what_it_has_created(spark):
+    people = spark.createDataFrame([], "id bigint, name string, email string, microsoft_user_id string")
+    users = spark.createDataFrame([(1, "u1", "ann@x.org", None), (2, "u1", "anne@x.org", None), (3, "u2", "ann@x.org", None)], "position int, id string, mail string, upn string")
+    got = {r.position: r.outcome for r in identity.upsert_employees(people, users).collect()}
+    assert got == {1: "CREATED", 2: "UPDATED", 3: "CREATED"}  # the first address and name are free again
+
+
 def test_export_times(spark):
     rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2026-08-27 10:15:00'), (TIMESTAMP '2026-08-27 10:15:30.500'), (NULL) AS t(email_received_at)")
     full = rows.selectExpr("'t' title", "CAST(NULL AS STRING) description", "'' assignee", "'' assignee_email", "CAST(NULL AS DATE) due_date",

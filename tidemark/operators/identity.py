@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import local_part, name_from_email
 from ..functions.text import blank_to_null, is_blank
+from ..session import cut_lineage
 from .timeline import first_per_key, spread_nulls
 
 
@@ -157,49 +161,90 @@ def directory_members(employees: DataFrame) -> DataFrame:
     return employees.filter(F.col("microsoft_user_id").isNotNull()).select("name", "email").orderBy("name", "email")
 
 
+_STEP = ("component", "is_user", "place", "user_id", "email", "name")
+_SETTLED = "position bigint, employee_id bigint, outcome string"
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """``rows`` (is_user, place, ...) with ``component``: rows that share a directory id, an address or a name, also over others."""
+    keys = F.array(
+        *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.lower(c) if c != "user_id" else F.col(c))) for c in ("user_id", "email", "name"))
+    )
+    node = F.concat(F.col("is_user").cast("string"), F.lit(":"), F.col("place").cast("string"))
+    links = cut_lineage(rows.select(node.alias("node"), F.explode(F.array_compact(keys)).alias("key")))
+    labels = links.groupBy("node").agg(F.min("key").alias("component"))
+    while True:  # as many rounds as the longest chain of rows that share a key
+        labels = cut_lineage(labels)
+        least = links.join(labels, "node").groupBy("key").agg(F.min("component").alias("component"))
+        lower = links.join(least, "key").groupBy("node").agg(F.min("component").alias("_least"))
+        told = cut_lineage(labels.join(lower, "node"))
+        if told.filter("_least < component").isEmpty():
+            break
+        labels = told.select("node", F.col("_least").alias("component"))
+    return rows.withColumn("node", node).join(labels, "node").drop("node")
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take the users of each component in order, over its employees as they then stand."""
+    component = None
+    staff: list[tuple] = []  # (employee id, directory id, address, name)
+    held: tuple[dict, dict, dict] = {}, {}, {}  # places in ``staff`` by each of them
+
+    def put(place: int, row: tuple) -> None:
+        for table, key in zip(held, staff[place][1:], strict=True) if place < len(staff) else ():
+            table.get(key, set()).discard(place)
+        staff[place : place + 1] = [row]
+        for table, key in zip(held, row[1:], strict=True):
+            if key is not None:
+                table.setdefault(key, set()).add(place)
+
+    def find(number: int, key: str | None) -> int | None:
+        return min(held[number].get(key, ()), default=None)
+
+    for batch in batches:
+        out = []
+        for own, is_user, place, user, email, name in zip(*(batch.column(c).to_pylist() for c in _STEP), strict=True):
+            if own != component:
+                component = own
+                staff.clear()
+                for table in held:
+                    table.clear()
+            keys = user, email and email.lower(), name and name.lower()
+            if not is_user:
+                put(len(staff), (place, *keys))
+                continue
+            hit = find(0, keys[0])
+            hit = find(1, keys[1]) if hit is None else hit
+            if hit is not None:
+                out.append((place, staff[hit][0], "UPDATED"))
+                put(hit, (staff[hit][0], *keys))
+            elif find(2, keys[2]) is not None:
+                out.append((place, None, "SKIPPED"))
+            else:
+                out.append((place, None, "CREATED"))
+                put(len(staff), (None, *keys))
+        if out:
+            kinds = pa.int64(), pa.int64(), pa.string()
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["position", "employee_id", "outcome"])
+
+
 def upsert_employees(employees: DataFrame, users: DataFrame) -> DataFrame:
-    """Outcome per directory user: CREATED, UPDATED or SKIPPED, with the row it concerns.
+    """Outcome per directory user: CREATED, UPDATED or SKIPPED, with the stored row it concerns.
 
-    A user matches an employee by directory id, else by address. Without a match, an employee of the same derived name
-    is a conflict and the user is skipped. Users of one feed are taken in the order of ``position``: of several new
-    users with one name the first is created; a later one updates it if the address is the same and is skipped if not.
+    Users are taken in the order of ``position`` (unique). One matches the employee of its directory id, else of its address, and gives it
+    its id, address and derived name; without a match an employee of the same name is a conflict and the user is
+    skipped; else an employee is created, which later users of the feed find as well. ``employee_id`` is null for those.
+    Only rows that share an id, an address or a name, also over others, can meet: each such component is taken in order
+    by itself, streamed, with its employees in memory.
     """
     address = F.coalesce(blank_to_null(F.col("mail")), blank_to_null(F.col("upn")))
-    people = users.select(
-        "position", F.trim("id").alias("user_id"), address.alias("email"), name_from_email(address).alias("name")
-    )
-    usable = ~is_blank(F.col("user_id")) & F.col("email").isNotNull()
-
-    def lookup(column: str, alias: str) -> DataFrame:
-        keyed = employees.filter(F.col(column).isNotNull()).withColumn(f"_{alias}", F.lower(column))
-        return first_per_key(keyed, [f"_{alias}"], [F.asc("id")]).select(f"_{alias}", F.col("id").alias(f"{alias}_row"))
-
-    by_id = first_per_key(employees.filter("microsoft_user_id IS NOT NULL"), ["microsoft_user_id"], [F.asc("id")]).select(
-        F.col("microsoft_user_id").alias("user_id"), F.col("id").alias("id_row")
-    )
-    matched = (
-        people.withColumns(
-            {"_email": spread_nulls(F.lower("email"), people), "_name": spread_nulls(F.lower("name"), people)}
-        )
-        .join(by_id, "user_id", "left")
-        .join(lookup("email", "email"), "_email", "left")
-        .join(lookup("name", "name"), "_name", "left")
-        .withColumn("usable", usable)
-    )
-    row = F.coalesce("id_row", "email_row")
-    fresh = F.col("usable") & row.isNull() & F.col("name_row").isNull()
-    first = (
-        matched.filter(fresh)
-        .groupBy("_name")
-        .agg(F.min(F.struct("position", "_email")).alias("_first"))
-    )
-    judged = matched.join(first, "_name", "left")
-    outcome = (
-        F.when(~F.coalesce(F.col("usable"), F.lit(False)), "SKIPPED")
-        .when(row.isNotNull(), "UPDATED")
-        .when(F.col("name_row").isNotNull(), "SKIPPED")
-        .when(F.col("_first.position") == F.col("position"), "CREATED")
-        .when(F.col("_first._email") == F.col("_email"), "UPDATED")
-        .otherwise("SKIPPED")
-    )
-    return judged.select("position", "user_id", "email", "name", row.alias("employee_id"), outcome.alias("outcome"))
+    people = users.select("position", F.trim("id").alias("user_id"), address.alias("email"), name_from_email(address).alias("name"))
+    people = cut_lineage(people.withColumn("_usable", ~F.coalesce(is_blank(F.col("user_id")), F.lit(True)) & F.col("email").isNotNull()))
+    asked = people.filter("_usable").select(F.lit(True).alias("is_user"), F.col("position").cast("bigint").alias("place"), "user_id", "email", "name")
+    stored = employees.select(F.lit(False).alias("is_user"), F.col("id").cast("bigint").alias("place"), F.col("microsoft_user_id").alias("user_id"), "email", "name")
+    stored = stored.filter("user_id IS NOT NULL OR email IS NOT NULL OR name IS NOT NULL")
+    dealt = _components(asked.unionByName(stored)).repartition("component").sortWithinPartitions("component", "is_user", "place")
+    settled = dealt.select(*_STEP).mapInArrow(_settle, _SETTLED)
+    joined = people.join(settled.withColumnRenamed("position", "_position"), people["position"] == F.col("_position"), "left")
+    return joined.select("position", "user_id", "email", "name", "employee_id", F.coalesce("outcome", F.lit("SKIPPED")).alias("outcome"))

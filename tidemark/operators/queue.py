@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import failure_category, retry_after_seconds, int_div
 from ..functions.text import clip_error, is_blank
+from ..session import cut_lineage
 from .tasks import clamp
-from .timeline import first_per_key
+from .timeline import first_per_key, hour_of, next_value, running_totals
 
 KEY = ("mailbox_user_id", "message_id")
 STATUSES = ("PENDING", "PROCESSING", "FAILED", "DEFERRED", "COMPLETED", "DEAD_LETTER", "SKIPPED")
@@ -350,23 +351,87 @@ def run_log(outcomes: DataFrame, before: DataFrame, after: DataFrame, policy: Qu
     return valid.join(after.select("id", "status"), "id").select("run_id", named.alias("outcome"))
 
 
-def call_budget(calls: DataFrame, moment: str = "ts", per_minute: int = 20, per_day: int = 50) -> DataFrame:
-    """Calls per clock minute with what the minute and day budgets had left.
+def _window_starts(moments: DataFrame) -> DataFrame:
+    """(at): the calls that open a window of a minute: the first one, then each first one more than a minute after the last such.
 
-    Minutes are clock minutes, not windows that open with a first call.
+    A call more than a minute after the call before it opens a window whatever went before. From those on, each window's
+    opening is found by following links, from each moment to the first one more than a minute later. The links are
+    doubled in each round, so the rounds are the logarithm of the windows between two pauses.
     """
-    minutes = calls.groupBy(F.date_trunc("minute", F.col(moment)).alias("minute")).agg(F.count(F.lit(1)).alias("calls"))
-    days = minutes.groupBy(F.to_date("minute").alias("day")).agg(F.sum("calls").alias("day_calls"))
-    return (
-        minutes.withColumn("day", F.to_date("minute"))
-        .join(days, "day")
-        .select(
-            "minute",
-            "calls",
-            F.greatest(F.lit(0), per_minute - F.col("calls")).alias("minute_left"),
-            F.greatest(F.lit(0), per_day - F.col("day_calls")).alias("day_left"),
-            ((F.col("calls") > per_minute) | (F.col("day_calls") > per_day)).alias("over_budget"),
-        )
+    minute = F.expr("INTERVAL 60 SECONDS")
+    none = F.lit(None).cast(moments.schema["at"].dataType)
+    # at one moment calls come before the ends of windows, which therefore look strictly ahead
+    calls = moments.select(F.lit(0).alias("k"), F.col("at").alias("moment"), F.lit(0).alias("phase"), "at", F.col("at").alias("value"))
+    ends = moments.select(F.lit(0).alias("k"), (F.col("at") + minute).alias("moment"), F.lit(1).alias("phase"), "at", none.alias("value"))
+    ahead = next_value(calls.unionByName(ends), ["k"], hour_of(F.col("moment")), ["moment", "phase"], F.col("value"), "ahead")
+    ahead = cut_lineage(ahead.filter("ahead IS NOT NULL").select("phase", "at", "ahead"))
+    paused = ahead.filter((F.col("phase") == 0) & (F.col("ahead") > F.col("at") + minute)).select(F.col("ahead").alias("at"))
+    found = cut_lineage(moments.agg(F.min("at").alias("at")).filter("at IS NOT NULL").unionByName(paused))
+    links = ahead.filter("phase = 1").select("at", "ahead")
+    links = cut_lineage(links.join(found.select(F.col("at").alias("ahead")), "ahead", "left_anti").select("at", "ahead"))
+    while True:
+        more = found.join(links, "at").select(F.col("ahead").alias("at"))
+        if more.isEmpty():
+            return found
+        found = cut_lineage(found.unionByName(more))
+        beyond = links.select(F.col("at").alias("ahead"), F.col("ahead").alias("beyond"))
+        links = cut_lineage(links.join(beyond, "ahead").select("at", F.col("beyond").alias("ahead")))
+
+
+def call_outcomes(calls: DataFrame, moment: str = "ts", key: str = "event_id", per_minute: int = 20, per_day: int = 50) -> DataFrame:
+    """What a limiter says to every call, as if they came one by one: ``call, at, window_start, day, outcome``.
+
+    A window opens with a call and holds for a minute; the next later call opens the next one, whether it is permitted or not.
+    A call is refused (DAY) if its day has had ``per_day`` permitted ones, else (MINUTE) if its window has had
+    ``per_minute``. Calls of one moment come in the order of ``key``, which must be unique; calls without a moment are
+    left out. Only the window over midnight hands something on from one day to the next, so days are counted again until
+    what they hand on no longer changes.
+    """
+    rows = cut_lineage(calls.select(F.col(key).alias("call"), F.col(moment).alias("at")).filter("at IS NOT NULL"))
+    starts = _window_starts(rows.select("at").distinct())
+    opening = rows.groupBy("at").agg(F.min("call").alias("call")).join(starts, "at").select("call", F.lit(1).alias("_opens"))
+    order = [F.asc("at"), F.asc("call")]
+    opened = rows.join(opening, "call", "left").withColumn("_all", F.lit(0))
+    numbered = running_totals(opened, ["_all"], hour_of(F.col("at")), order, sums={"window": F.coalesce(F.col("_opens"), F.lit(0)).cast("bigint")})
+    placed = numbered.select("call", "at", "window", F.to_date("at").alias("day"))
+    spans = placed.groupBy("window").agg(F.min("at").alias("window_start"), F.max("day").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy("window", "day").orderBy(*order))
+    placed = cut_lineage(placed.join(spans, "window").withColumn("_nth", nth))
+    crossing = F.to_date("window_start") < F.col("_last")
+    handed: DataFrame | None = None
+    while True:
+        if handed is None:
+            told = placed.withColumn("_had", F.lit(0).cast("bigint"))
+        else:
+            told = placed.join(handed, ["window", "day"], "left").na.fill(0, ["_had"])
+        fits = F.col("_nth") + F.col("_had") <= per_minute
+        counted = running_totals(told.withColumn("_fits", fits), ["day"], hour_of(F.col("at")), order, sums={"_taken": F.col("_fits").cast("bigint")})
+        had = F.col("_taken") - F.col("_fits").cast("bigint")
+        outcome = F.when(had >= per_day, "DAY").when(F.col("_fits"), "PERMITTED").otherwise("MINUTE")
+        judged = cut_lineage(counted.select("call", "at", "window", "window_start", "day", "_last", outcome.alias("outcome")))
+        over = judged.filter(crossing & (F.col("day") < F.col("_last")) & (F.col("outcome") == "PERMITTED"))
+        now = cut_lineage(over.groupBy("window", F.col("_last").alias("day")).agg(F.count(F.lit(1)).alias("_had")))
+        before = handed if handed is not None else now.limit(0)
+        if now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty():
+            return judged.select("call", "at", "window_start", "day", "outcome")
+        handed = now
+
+
+def call_budget(calls: DataFrame, moment: str = "ts", key: str = "event_id", per_minute: int = 20, per_day: int = 50) -> DataFrame:
+    """Per window that a call has opened: its calls, how many were permitted, and what minute and day have left after it."""
+    said = cut_lineage(call_outcomes(calls, moment, key, per_minute, per_day))
+    ok = F.count_if(F.col("outcome") == "PERMITTED")
+    parts = said.groupBy("window_start", "day").agg(F.count(F.lit(1)).alias("calls"), ok.alias("permitted"))
+    used = Window.partitionBy("day").orderBy("window_start")  # at most 1,440 windows a day
+    parts = parts.withColumn("day_used", F.sum("permitted").over(used))
+    windows = parts.groupBy("window_start").agg(F.sum("calls").alias("calls"), F.sum("permitted").alias("permitted"), F.max_by("day_used", "day").alias("day_used"))
+    return windows.select(
+        "window_start",
+        "calls",
+        "permitted",
+        F.greatest(F.lit(0), per_minute - F.col("permitted")).alias("minute_left"),
+        F.greatest(F.lit(0), per_day - F.col("day_used")).alias("day_left"),
+        (F.col("permitted") < F.col("calls")).alias("over_budget"),
     )
 
 

@@ -126,23 +126,31 @@ def directory_users(spark, d):
     return ingest.directory_users(landing.parse_pages(landing.directory_pages(spark, d), landing.USER_PAGE_SCHEMA))
 
 
-@registry.add(
-    f"""WITH p AS (SELECT *, coalesce(mail, upn) AS email, lower(split_part(coalesce(mail, upn), '@', 1)) AS name FROM {_PERSON}),
-        m AS (SELECT p.*, coalesce(
-                (SELECT min(e.id) FROM employees e WHERE e.microsoft_user_id = p.id),
-                (SELECT min(e.id) FROM employees e WHERE lower(e.email) = lower(p.email))) AS row_id,
-              EXISTS (SELECT 1 FROM employees e WHERE lower(e.name) = p.name) AS name_taken FROM p),
-        f AS (SELECT name, min(c_custkey) AS first_pos, arg_min(lower(email), c_custkey) AS first_email FROM m
-              WHERE email IS NOT NULL AND row_id IS NULL AND NOT name_taken GROUP BY name)
-        SELECT c_custkey AS position, m.id AS user_id, email, name, row_id AS employee_id,
-          CASE WHEN email IS NULL THEN 'SKIPPED' WHEN row_id IS NOT NULL THEN 'UPDATED' WHEN name_taken THEN 'SKIPPED'
-               WHEN first_pos = c_custkey THEN 'CREATED' WHEN first_email = lower(email) THEN 'UPDATED' ELSE 'SKIPPED' END AS outcome
-        FROM m LEFT JOIN f USING (name)"""
+# user by user, with the list of employees as it stands; the ninth and tenth of a family share one directory id
+@registry.add(
+    f"""SELECT position, user_id, email, name, employee_id, outcome FROM (
+  WITH RECURSIVE p AS MATERIALIZED (
+    SELECT c_custkey, 'ms-' || (c_custkey // 10) || '-' || least(c_custkey % 10, 8) AS user_id, coalesce(mail, upn) AS email,
+      lower(split_part(coalesce(mail, upn), '@', 1)) AS name, row_number() OVER (ORDER BY c_custkey) AS i FROM {_PERSON}
+  ), replay AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS email,
+      CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS employee_id, CAST(NULL AS VARCHAR) AS outcome,
+      (SELECT list({{'k': CAST(id AS BIGINT), 'id': CAST(id AS BIGINT), 'name': lower(name), 'email': lower(email), 'ms': microsoft_user_id}} ORDER BY id) FROM employees) AS staff
+    UNION ALL
+    SELECT i, c_custkey, user_id, email, name, CASE WHEN outcome = 'UPDATED' THEN list_filter(staff, lambda x: x.k = hit)[1].id END, outcome,
+      CASE outcome WHEN 'CREATED' THEN list_append(staff, {{'k': 10000000 + c_custkey, 'id': CAST(NULL AS BIGINT), 'name': name, 'email': lower(email), 'ms': user_id}})
+        WHEN 'UPDATED' THEN list_transform(staff, lambda x: CASE WHEN x.k = hit THEN {{'k': x.k, 'id': x.id, 'name': name, 'email': lower(email), 'ms': user_id}} ELSE x END)
+        ELSE staff END
+    FROM (SELECT *, CASE WHEN email IS NULL THEN 'SKIPPED' WHEN hit IS NOT NULL THEN 'UPDATED' WHEN namesake IS NOT NULL THEN 'SKIPPED' ELSE 'CREATED' END AS outcome
+      FROM (SELECT p.*, staff, coalesce(list_filter(staff, lambda x: x.ms = p.user_id)[1].k, list_filter(staff, lambda x: x.email = lower(p.email))[1].k) AS hit,
+              list_filter(staff, lambda x: x.name = p.name)[1].k AS namesake
+            FROM replay r JOIN p ON p.i = r.i + 1))
+  ) SELECT * FROM replay WHERE i > 0)"""
 )
 def employee_upserts(spark, d):
     people = tb.table(spark, d, "customer").filter("c_custkey % 50 <> 7").selectExpr(
         "c_custkey AS position",
-        "concat('ms-', c_custkey div 10, '-', c_custkey % 10) AS id",
+        "concat('ms-', c_custkey div 10, '-', least(c_custkey % 10, 8)) AS id",
         "CASE WHEN c_custkey % 4 NOT IN (1, 2) THEN concat(' User', c_custkey div 10, '@org.example') END AS mail",
         "CASE WHEN c_custkey % 8 <> 1 THEN concat('p', c_custkey, '@org.example') END AS upn",
     )
@@ -797,11 +805,34 @@ def ingestion_times(spark, d):
     return qu.ingested_since(tb.queue(spark, d), AS_OF, 7)
 
 
+# call by call, with the state of the limiter
+_CALLS = """SELECT event_id AS call, ts AS "at", w AS window_start, CAST(d AS VARCHAR) AS day, outcome FROM (
+  WITH RECURSIVE c AS MATERIALIZED (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+  replay AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS TIMESTAMP) AS w, 0 AS n,
+      CAST(NULL AS DATE) AS d, 0 AS used, CAST(NULL AS VARCHAR) AS outcome
+    UNION ALL
+    SELECT i, event_id, ts, w, CASE WHEN outcome = 'PERMITTED' THEN n + 1 ELSE n END, d, CASE WHEN outcome = 'PERMITTED' THEN used + 1 ELSE used END, outcome
+    FROM (SELECT *, CASE WHEN used >= {per_day} THEN 'DAY' WHEN n >= {per_minute} THEN 'MINUTE' ELSE 'PERMITTED' END AS outcome FROM (
+      SELECT c.i, c.event_id, c.ts, CASE WHEN r.w IS NULL OR c.ts > r.w + INTERVAL 60 SECOND THEN c.ts ELSE r.w END AS w,
+        CASE WHEN r.w IS NULL OR c.ts > r.w + INTERVAL 60 SECOND THEN 0 ELSE r.n END AS n, CAST(c.ts AS DATE) AS d,
+        CASE WHEN r.d = CAST(c.ts AS DATE) THEN r.used ELSE 0 END AS used
+      FROM replay r JOIN c ON c.i = r.i + 1)))
+  SELECT * FROM replay WHERE i > 0)"""
+
+
+@registry.add(_CALLS.format(per_minute=1, per_day=200))
+def call_outcomes(spark, d):
+    return qu.call_outcomes(tb.table(spark, d, "events"), per_minute=1, per_day=200)
+
+
 @registry.add(
-    """SELECT minute, calls, greatest(0, 20 - calls) AS minute_left, greatest(0, 50 - CAST(day_calls AS BIGINT)) AS day_left,
-         calls > 20 OR day_calls > 50 AS over_budget
-       FROM (SELECT *, sum(calls) OVER (PARTITION BY CAST(minute AS DATE)) AS day_calls FROM (
-         SELECT date_trunc('minute', ts) AS minute, count(*) AS calls FROM events GROUP BY 1))"""
+    f"""WITH said AS MATERIALIZED ({_CALLS.format(per_minute=20, per_day=50)}),
+        used AS (SELECT *, count(*) FILTER (WHERE outcome = 'PERMITTED') OVER (PARTITION BY day ORDER BY "at", call) AS day_used FROM said)
+        SELECT window_start, count(*) AS calls, count(*) FILTER (WHERE outcome = 'PERMITTED') AS permitted,
+          greatest(0, 20 - count(*) FILTER (WHERE outcome = 'PERMITTED')) AS minute_left,
+          greatest(0, 50 - arg_max(day_used, ("at", call))) AS day_left, count(*) FILTER (WHERE outcome <> 'PERMITTED') > 0 AS over_budget
+        FROM used GROUP BY 1"""
 )
 def call_budget(spark, d):
     return qu.call_budget(tb.table(spark, d, "events"))
