@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from datetime import timedelta
 
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import landing
 from ..sources import tables as tb
-from ..streaming import deadlines, discovery, queue_state, runner
+from ..streaming import deadlines, discovery, outbox, queue_state, runner
 from .mail_queries import _LANDED, BOUNDARY, _open
 from .registry import Registry
 from .views_sql import parse_instant
@@ -91,6 +92,35 @@ def stream_deadlines(spark, d):
     return deadlines.settle(runner.read_batches(spark, target), AS_OF)
 
 
+_ANSWERS = """(SELECT s.sla_id, s.sla_deadline_at, min(r.sent_at) AS first_response_at,
+           arg_min(r.reply_id, (r.sent_at, r.reply_id)) AS response_message_id, arg_min(r.mailbox, (r.sent_at, r.reply_id)) AS responded_by
+         FROM sla s LEFT JOIN sent_mail r ON r.conversation_id = s.conversation_id AND r.mailbox = s.mailbox_user_id
+           AND r.sent_at > s.received_at AND list_contains(r.recipients, lower(trim(s.sender_email)))
+         WHERE s.conversation_id IS NOT NULL GROUP BY ALL)"""
+#: Deliveries of the stream of breaches; each becomes known a day after the one before.
+DELIVERIES = 4
+
+
+@registry.add(
+    f"""SELECT sla_id, CASE WHEN first_response_at <= sla_deadline_at THEN 'COMPLETED' WHEN first_response_at IS NOT NULL THEN 'BREACHED'
+         WHEN sla_deadline_at < TIMESTAMP '{AS_OF}' THEN 'BREACHED' ELSE 'WAITING' END AS status,
+         first_response_at, response_message_id, responded_by FROM {_ANSWERS}"""
+)
+def stream_breaches(spark, d):
+    """Breaches as events: mail and answers become known in an order of their own while the clock goes on."""
+    events = deadlines.conversation_events(_open(spark, d), tb.sent_mail(spark, d))
+    folder, target = scratch_path(spark, "events"), scratch_path(spark, "breaches")
+    part = F.pmod(F.xxhash64(*events.columns), F.lit(DELIVERIES)).cast("int")
+    known = events.withColumn("known_at", F.timestamp_add("DAY", part - DELIVERIES, F.lit(AS_OF)))
+    for i in range(DELIVERIES):  # one after the other, as they would land
+        known.filter(part == i).coalesce(2).write.mode("append").parquet(folder)
+    deadlines.tick(known, AS_OF + deadlines.ARRIVAL).coalesce(1).write.mode("append").parquet(folder)
+    stream = runner.table_stream(spark, folder, known.schema, 1)
+    writer = deadlines.track_breaches(stream).writeStream.foreachBatch(runner.batch_folder_sink(target))
+    runner.run_available(writer, scratch_path(spark, "checkpoint"))
+    return deadlines.states(runner.read_batches(spark, target))
+
+
 _MINUTE = 60_000_000
 _READY = "((p.status IN ('PENDING', 'FAILED') AND p.attempts < 5) OR (p.status = 'DEFERRED' AND p.defers < 100)) AND coalesce(p.due <= c.us, true)"
 _LIVE = f"p.status = 'PROCESSING' AND p.claimed >= c.us - 15 * {_MINUTE}"
@@ -175,3 +205,44 @@ def stream_publish(spark, d):
     discovery.publish(stream, target, scratch_path(spark, "checkpoint"), deliver)
     published = runner.read_batches(spark, target).filter("state = 'PUBLISHED'")
     return published.select("id", "type", "entity_id", F.col("payload")["step"].alias("step"))
+
+
+# attempt k of an event fails as often as its id says; every seventh event's first claim is lost
+_LOST = "n % 7 = 0"
+_ATTEMPTS = f"CASE WHEN {_LOST} THEN greatest(2, n % 3 + 1) ELSE n % 3 + 1 END"
+_PAUSES = f"CASE WHEN {_LOST} THEN 120001 + CASE WHEN n % 3 = 2 THEN 4000 ELSE 0 END ELSE [1000, 3000, 7000][n % 3 + 1] END"
+
+
+@registry.add(
+    f"""SELECT id, CAST({_ATTEMPTS} AS INTEGER) AS attempts, epoch_us(created_at) // 1000 + {_PAUSES} AS published_ms,
+          CAST({_ATTEMPTS} - 1 - CASE WHEN {_LOST} THEN 1 ELSE 0 END AS BIGINT) AS failures, CAST(CASE WHEN {_LOST} THEN 1 ELSE 0 END AS BIGINT) AS recovered
+        FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) // 3 AS n FROM feed WHERE status = 'PENDING')"""
+)
+def stream_outbox(spark, d):
+    """Retries when they are due and claims that are given up, on the feed's own clock."""
+    rows = tb.feed(spark, d).filter("status = 'PENDING'").select("id", F.col("created_at").alias("known_at"))
+    attempts = rows.select("id", "known_at", F.expr("cast(substr(id, 2) AS bigint) div 3").alias("n"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("attempt")).filter(f"attempt > 1 OR NOT {_LOST}")
+    results = attempts.select(
+        "id", "attempt", F.when(F.col("attempt") <= F.col("n") % 3, "refused").alias("error"), F.timestamp_add("SECOND", F.col("attempt"), F.col("known_at")).alias("known_at")
+    )
+    told = outbox.outbox_rows(rows, results)
+    first, last = rows.agg(F.min("known_at"), F.max("known_at")).first()
+    folder, target = scratch_path(spark, "outbox"), scratch_path(spark, "delivered")
+    step = (last - first) / DELIVERIES if first else None
+    for i in range(DELIVERIES if first else 0):  # one delivery after the other, as time goes on
+        part = told.filter((F.col("known_at") >= F.lit(first + i * step)) if i else F.lit(True))
+        part = part.filter(F.col("known_at") < F.lit(first + (i + 1) * step)) if i + 1 < DELIVERIES else part
+        part.coalesce(1).write.mode("append").parquet(folder)
+    for day in (1, 2, 3):  # a timer that a timer has set fires with the next batch
+        moment = last + timedelta(days=day) if last else None
+        clock = spark.range(1 if last else 0).select(*(F.lit(moment if f.name == "known_at" else None).cast(f.dataType).alias(f.name) for f in told.schema))
+        clock.coalesce(1).write.mode("append").parquet(folder)
+    writer = outbox.track_outbox(runner.table_stream(spark, folder, told.schema, 1)).writeStream.foreachBatch(runner.batch_folder_sink(target))
+    runner.run_available(writer, scratch_path(spark, "checkpoint"))
+    done = runner.read_batches(spark, target).groupBy("id").agg(
+        F.max(F.when(F.col("kind") == "PUBLISHED", F.col("attempt"))).alias("attempts"),
+        F.max(F.when(F.col("kind") == "PUBLISHED", F.col("at_ms"))).alias("published_ms"),
+        F.count_if(F.col("kind") == "FAILED").alias("failures"),
+        F.count_if(F.col("kind") == "RECOVERED").alias("recovered"),
+    )
+    return done

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -14,7 +14,10 @@ from ..functions.addresses import address_set
 from ..functions.text import strip
 from ..session import use_keyed_state
 
-OUTPUT = "sla_id string, kind string, at_us bigint, deadline_us bigint, reply_id string, responded_by string"
+OUTPUT = "sla_id string, kind string, at_us bigint, deadline_us bigint, reply_id string, responded_by string, breach int"
+#: How long a row may be known and not yet have reached the stream.
+ARRIVAL = timedelta(minutes=10)
+ARRIVAL_DELAY = f"{int(ARRIVAL.total_seconds())} seconds"
 
 
 def conversation_events(slas: DataFrame, replies: DataFrame) -> DataFrame:
@@ -44,34 +47,61 @@ def conversation_events(slas: DataFrame, replies: DataFrame) -> DataFrame:
 class AnswerTracker(StatefulProcessor):
     """Emits OPENED with each message and ANSWERED whenever an earlier first answer of it becomes known.
 
-    Both sides are kept: a reply that arrives before its message, or after a later reply, still counts.
+    Both sides are kept: a reply that arrives before its message, or after a later reply, still counts. With ``timers``,
+    BREACHED (``breach`` 1) comes when the clock passes an unanswered message's deadline, or with an answer that is late, and
+    CORRECTED (``breach`` -1) if an answer in time becomes known after that.
     """
 
+    def __init__(self, timers: bool = False) -> None:
+        self.timers = timers
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.messages = handle.getMapState("messages", "sla_id string", "us bigint, deadline_us bigint, answer_us bigint")
+        self.handle = handle
+        self.messages = handle.getMapState("messages", "sla_id string", "us bigint, deadline_us bigint, answer_us bigint, breached boolean")
         self.replies = handle.getMapState("replies", "us bigint, reply_id string", "seen boolean")
+        if self.timers:  # what a timer is for, so that it touches its own messages only
+            self.due = handle.getMapState("due", "ms bigint", "sla_ids array<string>")
+
+    def answered(self, sla_id, us, deadline, breached, answer, mailbox) -> Iterator[Row]:
+        """Note the first answer that is known so far."""
+        late = answer[0] > deadline
+        yield _event(sla_id, "ANSWERED", answer[0], deadline, answer[1], mailbox)
+        if self.timers and late != breached:
+            yield _event(sla_id, "BREACHED" if late else "CORRECTED", answer[0], deadline, answer[1], mailbox, 1 if late else -1)
+        self.messages.updateValue((sla_id,), (us, deadline, answer[0], self.timers and late))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ms = expiredTimerInfo.getExpiryTimeInMs()
+        out = []
+        for sla_id in self.due.getValue((ms,))[0] if self.due.containsKey((ms,)) else ():
+            us, deadline, answer, breached = self.messages.getValue((sla_id,))
+            if not breached and answer is None:
+                out.append(_event(sla_id, "BREACHED", deadline, deadline, None, None, 1))
+                self.messages.updateValue((sla_id,), (us, deadline, answer, True))
+        self.due.removeKey((ms,))
+        return iter(out)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         opened, answers = {}, set()
         for r in rows:
             if r.sla_id is not None:
                 opened[r.sla_id] = (r.us, r.deadline_us)
-            else:
+            elif r.reply_id is not None:
                 answers.add((r.us, r.reply_id))
         new = sorted(answers)
         out = []
         if new:
             # only messages that wait, or whose answer came later, are touched
             changed = []
-            for (sla_id,), (us, deadline, answer) in self.messages.iterator():
+            for (sla_id,), (us, deadline, answer, breached) in self.messages.iterator():
                 at = bisect_right(new, us, key=lambda x: x[0])
                 if at < len(new) and (answer is None or new[at][0] < answer):
-                    changed.append((sla_id, us, deadline, new[at]))
-            for sla_id, us, deadline, (sent, reply_id) in changed:
-                self.messages.updateValue((sla_id,), (us, deadline, sent))
-                out.append(_event(sla_id, "ANSWERED", sent, deadline, reply_id, key[1]))
+                    changed.append((sla_id, us, deadline, breached, new[at]))
+            for x in changed:
+                out += self.answered(*x, key[1])
             for answer in new:
                 self.replies.updateValue(answer, (True,))
+        waits: dict[int, list[str]] = {}
         if opened:
             known = sorted(k for k, _ in self.replies.iterator())
             for sla_id, (us, deadline) in opened.items():
@@ -81,16 +111,24 @@ class AnswerTracker(StatefulProcessor):
                 at = bisect_right(known, us, key=lambda x: x[0])
                 first = known[at] if at < len(known) else None
                 if first:
-                    out.append(_event(sla_id, "ANSWERED", first[0], deadline, first[1], key[1]))
-                self.messages.updateValue((sla_id,), (us, deadline, first[0] if first else None))
+                    out += self.answered(sla_id, us, deadline, False, first, key[1])
+                else:
+                    self.messages.updateValue((sla_id,), (us, deadline, None, False))
+                    if deadline is not None:
+                        waits.setdefault(deadline // 1000 + 1, []).append(sla_id)  # the first whole millisecond past it
+        if self.timers:
+            for ms, ids in waits.items():
+                held = self.due.getValue((ms,))[0] if self.due.containsKey((ms,)) else []
+                self.due.updateValue((ms,), ([*held, *ids],))
+                self.handle.registerTimer(ms)
         return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def _event(sla_id, kind, at_us, deadline_us, reply_id, responded_by) -> Row:
-    return Row(sla_id=sla_id, kind=kind, at_us=at_us, deadline_us=deadline_us, reply_id=reply_id, responded_by=responded_by)
+def _event(sla_id, kind, at_us, deadline_us, reply_id, responded_by, breach=0) -> Row:
+    return Row(sla_id=sla_id, kind=kind, at_us=at_us, deadline_us=deadline_us, reply_id=reply_id, responded_by=responded_by, breach=breach)
 
 
 def track_deadlines(events: DataFrame) -> DataFrame:
@@ -108,6 +146,40 @@ def track_deadlines(events: DataFrame) -> DataFrame:
     )
 
 
+def track_breaches(events: DataFrame, clock: str = "known_at", delay: str = ARRIVAL_DELAY) -> DataFrame:
+    """As :func:`track_deadlines`, with the breaches themselves, as the clock passes the deadlines.
+
+    ``clock`` is when a row became known, not when it happened: what happened long ago may become known today. It need only
+    come in order up to ``delay``. A row without conversation, mailbox and address, see :func:`tick`, moves the clock on.
+    """
+    use_keyed_state(events.sparkSession)
+    timed = events.withWatermark(clock, delay).withColumn("us", F.unix_micros("moment"))
+    return timed.groupBy("conversation_id", "mailbox", "address").transformWithState(
+        statefulProcessor=AnswerTracker(timers=True), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def tick(events: DataFrame, moment: datetime, clock: str = "known_at") -> DataFrame:
+    """A row of ``events``' columns that only says what time it is."""
+    given = {clock: F.lit(moment)} | {c: F.lit("") for c in ("conversation_id", "mailbox", "address")}
+    one = events.sparkSession.range(1)
+    return one.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema))
+
+
+def states(events: DataFrame) -> DataFrame:
+    """State per message as the emitted rows add up, in whatever order they were written; no clock is needed."""
+    answer = F.min(F.when(F.col("kind") == "ANSWERED", F.struct("at_us", "reply_id", "responded_by")))
+    summed = events.groupBy("sla_id").agg(answer.alias("a"), F.sum("breach").alias("breached"))
+    status = F.when(F.col("breached") > 0, "BREACHED").when(F.col("a").isNotNull(), "COMPLETED").otherwise("WAITING")
+    return summed.select(
+        "sla_id",
+        status.alias("status"),
+        F.timestamp_micros("a.at_us").alias("first_response_at"),
+        F.col("a.reply_id").alias("response_message_id"),
+        F.col("a.responded_by").alias("responded_by"),
+    )
+
+
 def settle(events: DataFrame, as_of: datetime) -> DataFrame:
     """State per message from its events: answered ones, and unanswered ones whose deadline lies before ``as_of``."""
     answer = F.min(F.when(F.col("kind") == "ANSWERED", F.struct("at_us", "reply_id", "responded_by")))
