@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import parts_of, saved
 
 BLOCK_ROWS = 8192
 GROUP_QUERIES = 128
@@ -222,7 +222,9 @@ def top_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, block_rows: int
                     [pa.array([x[c] for x in found], pa.int64()) for c in range(4)], names=["query_id", "vec_id", "high", "rest"]
                 )
 
-    dealt_rows = left.unionAll(right).repartition("b", "h").sortWithinPartitions("b", "h", "g")
+    # a number of its own: the rows are few and small for the work that they stand for, and would be put together
+    parts = min(parts_of(vectors.sparkSession), n_blocks * streams)
+    dealt_rows = left.unionAll(right).repartition(parts, "b", "h").sortWithinPartitions("b", "h", "g")
     met = dealt_rows.mapInArrow(answer, "query_id long, vec_id long, high long, rest long")
     best = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("rest"), "vec_id")
     score = F.when(F.col("high") > 1, F.lit((1 << 63) - 1)).when(F.col("high") < -2, F.lit(-(1 << 63))).otherwise(F.col("high") * HALF + F.col("rest"))
