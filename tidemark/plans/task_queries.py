@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, feed, identity, mutations, quality, tasks as tk
+from ..operators import dedup, feed, identity, mutations, paging, quality, tasks as tk
+from ..session import scratch_path
 from ..sources import landing
 from ..sources import tables as tb
 from .registry import Registry
@@ -123,6 +124,21 @@ for _sort, _order in PAGE_ORDERS.items():
     )
 
 
+def _late_query(sort: str):
+    def query(spark, d):
+        """Page 150 of fifty rows, from the ranges of the stored list that hold it."""
+        rows, path = tb.tasks(spark, d), scratch_path(spark, "pages")
+        paging.store_ranges(rows, path, sort, 2000)
+        return paging.stored_page(spark, path, rows.schema, 150, 50, sort)
+
+    query.__name__ = "late_page_" + sort.replace("-", "_")
+    return query
+
+
+for _sort in ("received-desc", "due-asc"):
+    registry.add(f"SELECT {LIST} FROM tasks ORDER BY {PAGE_ORDERS[_sort]} LIMIT 50 OFFSET 7500")(_late_query(_sort))
+
+
 @registry.add(
     """SELECT CAST(3 AS INTEGER) AS page, CAST(50 AS INTEGER) AS size, n AS total_elements,
          CAST(ceil(n / 50.0) AS BIGINT) AS total_pages, ceil(n / 50.0) > 4 AS has_next, true AS has_previous
