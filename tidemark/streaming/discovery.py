@@ -12,6 +12,7 @@ from ..functions.parsing import parse_instant
 from ..operators import feed as fd
 from ..operators import ingest
 from ..operators import queue as qu
+from ..session import use_keyed_state
 from .runner import batch_folder_sink, ledger_sink, run_available
 
 
@@ -25,19 +26,18 @@ def register_stream(
 ) -> None:
     """Queue every discovered message that is not stored yet, however late and in whatever order its page arrives.
 
-    A message is stored if ``stored_queue`` or an earlier batch of this stream holds its key. There is no watermark:
-    mailboxes do not arrive in one order of time, and a first walk of an old mailbox lies far behind the others.
+    A message is stored if ``stored_queue`` (what other jobs have stored) holds its key or an earlier batch of this stream
+    brought it; those keys are the stream's state, so a batch looks at its own keys only and never at what earlier ones have written. There is no
+    watermark: mailboxes do not arrive in one order of time, and a first walk of an old mailbox lies far behind the others.
     """
-    keys = ["mailbox_user_id", "message_id"]
+    use_keyed_state(pages.sparkSession)
 
-    def fresh(batch: DataFrame, earlier: DataFrame | None) -> DataFrame:
-        stored = stored_queue()
-        addressed = batch.withColumn("mailbox_address", F.col("mailbox_user_id"))
-        rows = qu.register(addressed, stored, as_of)
-        return rows if earlier is None else rows.join(earlier.select(*keys), keys, "left_anti")
+    def fresh(batch: DataFrame) -> DataFrame:
+        return qu.register(batch.withColumn("mailbox_address", F.col("mailbox_user_id")), stored_queue(), as_of)
 
     found = ingest.discovered(pages, boundary).withColumn("received_at", parse_instant(F.col("received")))
-    run_available(found.writeStream.foreachBatch(ledger_sink(target, fresh)), checkpoint)
+    once = found.dropDuplicates(["mailbox_user_id", "message_id"])
+    run_available(once.writeStream.foreachBatch(batch_folder_sink(target, fresh)), checkpoint)
 
 
 def removals_stream(pages: DataFrame, target: str, checkpoint: str) -> None:
