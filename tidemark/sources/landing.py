@@ -33,6 +33,11 @@ def _address(name: str, address: str) -> str:
 
 def mail_pages(spark: SparkSession, folder: str, per_page: int = 250) -> DataFrame:
     """The inbound mail as JSON page texts of at most ``per_page`` position numbers each."""
+    return numbered_pages(spark, folder, per_page).select("page")
+
+
+def numbered_pages(spark: SparkSession, folder: str, per_page: int) -> DataFrame:
+    """The same with the mailbox and the number of each page; numbers rise, but may leave gaps."""
     mail = tables.emails(spark, folder)
     message = mail.selectExpr(
         "mailbox_user_id AS user_id",
@@ -49,7 +54,7 @@ def mail_pages(spark: SparkSession, folder: str, per_page: int = 250) -> DataFra
     # a page holds a bounded number of messages
     return message.groupBy("user_id", "page_no").agg(
         F.to_json(F.struct("user_id", F.collect_list("message").alias("value"))).alias("page")
-    ).select("page")
+    )
 
 
 def directory_pages(spark: SparkSession, folder: str, per_page: int = 100) -> DataFrame:
