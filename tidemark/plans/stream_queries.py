@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..operators import command_log
 from ..session import scratch_path
 from ..sources import landing
 from ..sources import tables as tb
@@ -124,16 +125,22 @@ def stream_breaches(spark, d):
 _MINUTE = 60_000_000
 _READY = "((p.status IN ('PENDING', 'FAILED') AND p.attempts < 5) OR (p.status = 'DEFERRED' AND p.defers < 100)) AND coalesce(p.due <= c.us, true)"
 _LIVE = f"p.status = 'PROCESSING' AND p.claimed >= c.us - 15 * {_MINUTE}"
-_DEAD = f"(p.defers + 1 > 100 OR c.us - coalesce(p.since, c.us) >= 2880 * {_MINUTE})"
+_DEAD = f"(p.defers + 1 > 100 OR c.us - coalesce(p.since, c.us) >= 2880 * CAST({_MINUTE} AS BIGINT))"
+
+
+#: Commands in turn: of the stream's many short logs, and of the batch job's few long ones, which never finish.
+_SHORT = ("claim", "start", "fail", "claim", "start", "complete", "reap", "requeue", "release", "remove")
+_LONG = ("claim", "start", "fail", "claim", "start", "release", "reap", "requeue", "claim", "fail")
 
 
 # one command of every message at a time; the worker is always the same
-@registry.add(
-    f"""WITH RECURSIVE command AS MATERIALIZED (
+def _replay(message, actions):
+    actions = str(list(actions))
+    return f"""WITH RECURSIVE command AS MATERIALIZED (
           SELECT *, row_number() OVER (PARTITION BY mailbox_user_id, message_id ORDER BY us, seq) AS i FROM (
-            SELECT 'mbx' || (user_id % 10) AS mailbox_user_id, 'm' || user_id || '-' || (event_id % 5) AS message_id,
+            SELECT 'mbx' || (user_id % 10) AS mailbox_user_id, {message} AS message_id,
               epoch_us(ts) AS us, event_id AS seq,
-              ['claim', 'start', 'fail', 'claim', 'start', 'complete', 'reap', 'requeue', 'release', 'remove'][(event_id // 5) % 10 + 1] AS action,
+              {actions}[(event_id // 5) % 10 + 1] AS action,
               CASE WHEN event_id % 4 = 0 THEN 'UNAVAILABLE' WHEN event_id % 9 = 1 THEN 'NON_RETRYABLE' ELSE 'TRANSIENT' END AS category
             FROM events)),
         step AS (
@@ -163,23 +170,27 @@ _DEAD = f"(p.defers + 1 > 100 OR c.us - coalesce(p.since, c.us) >= 2880 * {_MINU
                 FROM step p JOIN command c ON c.mailbox_user_id = p.mailbox_user_id AND c.message_id = p.message_id AND c.i = p.i + 1))
         SELECT mailbox_user_id, message_id, us AS at_us, action, accepted, status, CAST(attempts AS INTEGER) AS attempt_count,
           CAST(defers AS INTEGER) AS defer_count, due AS next_attempt_us FROM step WHERE i > 0"""
-)
-def stream_queue(spark, d):
-    """Commands in the order of time; the oracle replays them message by message."""
-    events = tb.table(spark, d, "events")
-    raw = events.selectExpr(
+
+
+def _commands(spark, d, message, actions):
+    return tb.table(spark, d, "events").selectExpr(
         "concat('mbx', user_id % 10) AS mailbox_user_id",
-        "concat('m', user_id, '-', event_id % 5) AS message_id",
+        f"{message} AS message_id",
         "ts AS moment",
         "event_id AS seq",
-        """element_at(array('claim', 'start', 'fail', 'claim', 'start', 'complete', 'reap', 'requeue', 'release', 'remove'),
-                      cast((event_id div 5) % 10 + 1 AS int)) AS action""",
+        f"element_at(array{actions}, cast((event_id div 5) % 10 + 1 AS int)) AS action",
         "'w1' AS worker",
         "CASE event_id % 4 WHEN 0 THEN 'provider_unavailable' WHEN 1 THEN 'http' END AS kind",
         "cast(CASE WHEN event_id % 9 = 1 THEN 404 END AS int) AS http_status",
         "'boom' AS message",
         "'90' AS retry_after",
     )
+
+
+@registry.add(_replay("'m' || user_id || '-' || (event_id % 5)", _SHORT))
+def stream_queue(spark, d):
+    """Commands in the order of time; the oracle replays them message by message."""
+    raw = _commands(spark, d, "concat('m', user_id, '-', event_id % 5)", _SHORT)
     folder, target = scratch_path(spark, "commands"), scratch_path(spark, "states")
     raw.repartitionByRange(FILES, "moment").write.parquet(folder)
     stream = runner.table_stream(spark, folder, raw.schema, 1000)
@@ -188,6 +199,12 @@ def stream_queue(spark, d):
     return runner.read_batches(spark, target)
 
 
+@registry.add(_replay("'m' || (event_id % 5)", _LONG))
+def queue_log(spark, d):
+    """Fifty messages hold all commands: their logs are replayed in segments."""
+    return command_log.fold(_commands(spark, d, "concat('m', event_id % 5)", _LONG))[0]
+
+
 @registry.add(
     """SELECT id, event_type AS type, entity_id, json_extract_string(payload, '$.step') AS step FROM feed WHERE status = 'PENDING'"""
 )
