@@ -6,12 +6,13 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import command_log
+from ..operators import command_log, mutations, queue as qu
 from ..session import scratch_path
 from ..sources import landing
 from ..sources import tables as tb
-from ..streaming import deadlines, discovery, outbox, queue_state, runner
+from ..streaming import deadlines, discovery, outbox, queue_state, rollups, runner
 from .mail_queries import _LANDED, BOUNDARY, _open
+from . import mail_queries, task_queries
 from .registry import Registry
 from .views_sql import parse_instant
 
@@ -263,3 +264,59 @@ def stream_outbox(spark, d):
         F.count_if(F.col("kind") == "RECOVERED").alias("recovered"),
     )
     return done
+
+
+def _kept_up_to_date(spark, before, after, dimensions, schema):
+    """Counts of ``before``, then of change events in shuffled batches, compacted half way."""
+    folder, target = scratch_path(spark, "changes"), scratch_path(spark, "rollup")
+    events = rollups.changes(before, after, dimensions)
+    rollups.start(before, target, dimensions)
+    _shuffled(events, folder)
+    stream = runner.table_stream(spark, folder, events.schema, 4)
+    runner.run_available(stream.writeStream.foreachBatch(rollups.rollup_sink(target, dimensions)), scratch_path(spark, "checkpoint"))
+    rollups.compact(spark, target, schema, 1)
+    return rollups.counts(spark, target, schema)
+
+
+def _task_counts(spark, d):
+    rows = tb.tasks(spark, d)
+    done = mutations.apply_commands(rows, task_queries._commands(spark, d), tb.employees(spark, d))
+    return _kept_up_to_date(spark, rows, done, rollups.TASK_DIMENSIONS, rollups.TASK_SCHEMA)
+
+
+def _after_commands(sql):
+    """SQL over the tasks, over the tasks after commands instead."""
+    changed = task_queries.registry.bodies["tasks_after_commands"]
+    return f"""WITH done AS (SELECT c.id, c.assignee, c.status, c.priority, t.due_date FROM ({changed}) c JOIN tasks t USING (id))
+        {sql.replace("FROM tasks", "FROM done")}"""
+
+
+@registry.add(_after_commands(task_queries._workload_sql("coalesce(assignee, 'Unassigned')") + " GROUP BY assignee"))
+def workload_kept(spark, d):
+    return rollups.workload(_task_counts(spark, d), task_queries.DAY)
+
+
+@registry.add(_after_commands(task_queries._SUMMARY))
+def task_summary_kept(spark, d):
+    return rollups.summary(_task_counts(spark, d), task_queries.DAY)
+
+
+def _queue_counts(spark, d):
+    rows = tb.queue(spark, d)
+    done = qu.apply_outcomes(rows, tb.queue_outcomes(spark, d))
+    return _kept_up_to_date(spark, rows, done, rollups.QUEUE_DIMENSIONS, rollups.QUEUE_SCHEMA)
+
+
+def _after_outcomes(name):
+    changed = mail_queries.registry.bodies["queue_after_outcomes"]
+    return f"""WITH done AS ({changed}) {mail_queries.registry.bodies[name].replace("FROM queue", "FROM done")}"""
+
+
+@registry.add(_after_outcomes("queue_stats"))
+def queue_stats_kept(spark, d):
+    return rollups.queue_stats(_queue_counts(spark, d))
+
+
+@registry.add(_after_outcomes("queue_backlog"))
+def queue_backlog_kept(spark, d):
+    return rollups.queue_backlog(_queue_counts(spark, d))
