@@ -56,6 +56,16 @@ def test_equal_to_a_replay(spark, seed, actions, pace):
     assert {r.message_id: tuple(r)[2:] for r in last.collect()} == states
 
 
+def test_segments_of_several_chunks(spark):
+    rnd = random.Random(9)
+    sizes = (("one", 64), ("two", 65), ("full", 128), ("more", 129), ("hot", 700))
+    rows = [r for m, n in sizes for r in log_of(rnd, m, n, USUAL, [1, 40, 1000])]
+    raw = spark.createDataFrame(rows, RAW)
+    want = sorted(map(key, replay(queue_state.commands(raw).collect(), {})))
+    for size in (200, command_log.SEGMENT):
+        assert sorted(map(key, command_log.fold(raw, size=size)[0].collect())) == want
+
+
 def test_a_log_in_two_parts(spark):
     rnd = random.Random(7)
     rows = [r for m in ("hot", "b") for r in log_of(rnd, m, 60, USUAL, [1, 40, 1000])]

@@ -15,8 +15,10 @@ from ..streaming.queue_state import COLUMNS, MINUTE_US, commands
 from .queue import KEY, POLICY, QueuePolicy
 from .timeline import next_value, running_totals
 
-#: Commands of a segment at most.
-SEGMENT = 64
+#: Commands of a segment at most: an array of some hundred KB.
+SEGMENT = 4096
+#: Commands whose states are written out together.
+CHUNK = 64
 STATE = "status string, attempts int, defers int, first_deferred_us bigint, next_us bigint, claimed_us bigint, claimed_by string"
 _TYPE = f"struct<{', '.join(f.replace(' ', ': ', 1) for f in STATE.split(', '))}>"
 _FIELDS = tuple(f.split()[0] for f in STATE.split(", "))
@@ -120,6 +122,23 @@ def _trace(entry: Column, log: Column, policy: QueuePolicy) -> Column:
     return F.aggregate(log, first, lambda acc, c: F.array_append(acc, _step(F.element_at(acc, -1)["state"], c, policy)))
 
 
+def _chunks(rows: DataFrame, policy: QueuePolicy) -> DataFrame:
+    """Segments (key, entry, log) cut into chunks, each with the state that it starts in."""
+    log = F.col("log")
+    count = F.ceil(F.size("log") / CHUNK).cast("int")
+
+    def part(i: Column) -> Column:
+        return F.slice(log, i * CHUNK + 1, F.lit(CHUNK))
+
+    # the states at the chunks' borders; the last chunk's end is not needed
+    inner = F.when(count > 1, F.sequence(F.lit(0), count - 2)).otherwise(F.array().cast("array<int>"))
+    marks = F.aggregate(
+        inner, F.array("entry"), lambda acc, i: F.array_append(acc, _ends(F.element_at(acc, -1), part(i), policy)["state"])
+    )
+    cut = rows.select(*KEY, "log", F.posexplode(marks).alias("_i", "entry"))
+    return cut.select(*KEY, "entry", part(F.col("_i")).alias("log"))
+
+
 def segments(raw: DataFrame, policy: QueuePolicy = POLICY, size: int = SEGMENT) -> DataFrame:
     """Commands as (key, seg, log): arrays of at most ``size`` commands in the order of time.
 
@@ -172,8 +191,8 @@ def fold(
         redone = replayed(again.join(logs, [*KEY, "seg"]))
         known = cut_lineage(known.join(again, [*KEY, "seg"], "left_anti").unionByName(redone))
 
-    traced = known.select(*KEY, "seg", "entry").join(logs, [*KEY, "seg"])
-    traced = traced.withColumn("_trace", F.slice(_trace(F.col("entry"), F.col("log"), policy), 2, size))
+    chunks = _chunks(known.select(*KEY, "seg", "entry").join(logs, [*KEY, "seg"]), policy)
+    traced = chunks.withColumn("_trace", F.slice(_trace(F.col("entry"), F.col("log"), policy), 2, CHUNK))
     each = traced.select(*KEY, F.explode(F.arrays_zip("log", "_trace")).alias("e"))
     values = (
         *KEY, "e.log.us", "e.log.action", "e._trace.accepted", "e._trace.state.status", "e._trace.state.attempts",
