@@ -123,7 +123,7 @@ def contains_any(text: Column, phrases: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in phrases])
 
 
-def _swap_entities(text: Column) -> Column:
+def swap_entities(text: Column) -> Column:
     return reduce(lambda acc, pair: F.replace(acc, F.lit(pair[0]), F.lit(pair[1])), NAMED_ENTITIES, text)
 
 
@@ -133,7 +133,7 @@ def html_to_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?is)<(?:script|style|head)\b[^>]*>.*?</(?:script|style|head)\s*>", " ")
     text = F.regexp_replace(text, r"(?i)</?(?:" + "|".join(BLOCK_ELEMENTS) + r")\b[^>]*>", " ")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(_swap_entities(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(swap_entities(text), r"\s+", " "))
 
 
 def html_allow_list(html: Column) -> Column:

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions import markup
 from ..functions import addresses as ad
 from ..functions import parsing as ps
 from ..functions import text as tx
@@ -292,7 +293,7 @@ def _entities(x: str) -> str:
     + ", '\\s+', ' ', 'g')) AS text FROM pages"
 )
 def page_texts(spark, d):
-    return tb.table(spark, d, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return tb.table(spark, d, "pages").select("page_id", markup.visible_text(F.col("html")).alias("text"))
 
 
 _KEPT = "|".join(tx.ALLOWED_ELEMENTS)
@@ -305,7 +306,7 @@ _KEPT = "|".join(tx.ALLOWED_ELEMENTS)
           '(?i)<(/?)({_KEPT})\\b[^>]*>', chr(1) || '\\1\\2' || chr(2), 'g'), '<[^>]*>', '', 'g'), chr(1) || chr(2), '<>') AS html FROM pages"""
 )
 def page_clean_html(spark, d):
-    return tb.table(spark, d, "pages").select("page_id", tx.html_allow_list(F.col("html")).alias("html"))
+    return tb.table(spark, d, "pages").select("page_id", markup.allowed_markup(F.col("html")).alias("html"))
 
 
 @registry.add(
