@@ -5,7 +5,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import Row
 
-from tidemark.streaming import outbox
+from tidemark.streaming import deadlines, outbox
 
 
 class Handle:
@@ -62,3 +62,23 @@ def test_outbox_calls_follow_buckets():
     assert {(r.kind, r.attempt) for r in out} == {("RECOVERED", 1), ("CLAIMED", 2), ("RECOVERED", 2), ("CLAIMED", 3)}
     done = sum(len(pickle.loads(v[0])) for v in handle.map.values())
     assert done == 200 and len(handle.timers) == 1
+
+
+def test_deadline_calls_follow_buckets():
+    handle, tracker = Handle(), deadlines.AnswerTracker(timers=True)
+    tracker.init(handle)
+
+    def row(i, us, sla=None, reply=None):
+        return Row(conversation_id=f"c{i}", mailbox="m", address="a", us=us, sla_id=sla, deadline_us=us + 5_000_000 if sla else None, reply_id=reply)
+
+    opened = [row(i, 1_000_000, f"s{i}") for i in range(300)]
+    out = list(tracker.handleInputRows((0,), iter(opened + [row(i, 2_000_000, reply=f"r{i}") for i in range(100)]), None))
+    assert len(out) == 400 and handle.calls <= 4 and handle.timers == {6001}
+    handle.calls = 0
+    late = [row(i, 9_000_000, reply=f"r{i}") for i in range(100, 200)]
+    assert {(r.kind, r.breach) for r in tracker.handleInputRows((0,), iter(opened + late), None)} == {("ANSWERED", 0), ("BREACHED", 1)}
+    out = expire(tracker, handle, 6001)
+    assert {r.sla_id for r in out} == {f"s{i}" for i in range(200, 300)} and {r.kind for r in out} == {"BREACHED"}
+    assert not handle.timers and handle.calls <= 6
+    out = list(tracker.handleInputRows((0,), iter([row(i, 3_000_000, reply=f"q{i}") for i in range(150, 250)]), None))
+    assert {(r.kind, r.breach) for r in out} == {("ANSWERED", 0), ("CORRECTED", -1)} and len(out) == 200

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta
@@ -18,6 +20,8 @@ OUTPUT = "sla_id string, kind string, at_us bigint, deadline_us bigint, reply_id
 #: How long a row may be known and not yet have reached the stream.
 ARRIVAL = timedelta(minutes=10)
 ARRIVAL_DELAY = f"{int(ARRIVAL.total_seconds())} seconds"
+#: Groups of conversations that share their state.
+BUCKETS = 256
 
 
 def conversation_events(slas: DataFrame, replies: DataFrame) -> DataFrame:
@@ -50,6 +54,10 @@ class AnswerTracker(StatefulProcessor):
     Both sides are kept: a reply that arrives before its message, or after a later reply, still counts. With ``timers``,
     BREACHED (``breach`` 1) comes when the clock passes an unanswered message's deadline, or with an answer that is late, and
     CORRECTED (``breach`` -1) if an answer in time becomes known after that.
+
+    Many conversations share a bucket and its state, so that a batch costs a few state calls per bucket instead of several per
+    row: (conversation, mailbox, address) -> messages (sla_id -> [us, deadline, first answer, breached]) and sorted replies.
+    A bucket has one timer, at the first deadline that somebody waits for.
     """
 
     def __init__(self, timers: bool = False) -> None:
@@ -57,71 +65,82 @@ class AnswerTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.messages = handle.getMapState("messages", "sla_id string", "us bigint, deadline_us bigint, answer_us bigint, breached boolean")
-        self.replies = handle.getMapState("replies", "us bigint, reply_id string", "seen boolean")
-        if self.timers:  # what a timer is for, so that it touches its own messages only
-            self.due = handle.getMapState("due", "ms bigint", "sla_ids array<string>")
-
-    def answered(self, sla_id, us, deadline, breached, answer, mailbox) -> Iterator[Row]:
+        self.state = handle.getValueState("held", "held binary")
+
+    def load(self) -> None:
+        held = self.state.get()
+        # the conversations, a heap of the deadlines that somebody waits for, and the timer that is set
+        self.talks, self.waits, self.armed = pickle.loads(held[0]) if held else ({}, [], None)
+
+    def save(self, expired: int | None = None) -> None:
+        first = self.waits[0][0] if self.waits else None
+        if first != self.armed:
+            if self.armed is not None and self.armed != expired:
+                self.handle.deleteTimer(self.armed)
+            if first is not None:
+                self.handle.registerTimer(first)
+            self.armed = first
+        self.state.update((pickle.dumps((self.talks, self.waits, self.armed)),))
+
+    def answered(self, sla_id, message, answer, mailbox) -> Iterator[Row]:
         """Note the first answer that is known so far."""
+        _, deadline, _, breached = message
         late = answer[0] > deadline
         yield _event(sla_id, "ANSWERED", answer[0], deadline, answer[1], mailbox)
         if self.timers and late != breached:
             yield _event(sla_id, "BREACHED" if late else "CORRECTED", answer[0], deadline, answer[1], mailbox, 1 if late else -1)
-        self.messages.updateValue((sla_id,), (us, deadline, answer[0], self.timers and late))
+        message[2:] = answer[0], self.timers and late
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ms = expiredTimerInfo.getExpiryTimeInMs()
+        self.load()
+        clock = timerValues.getCurrentWatermarkInMs()
         out = []
-        for sla_id in self.due.getValue((ms,))[0] if self.due.containsKey((ms,)) else ():
-            us, deadline, answer, breached = self.messages.getValue((sla_id,))
-            if not breached and answer is None:
-                out.append(_event(sla_id, "BREACHED", deadline, deadline, None, None, 1))
-                self.messages.updateValue((sla_id,), (us, deadline, answer, True))
-        self.due.removeKey((ms,))
+        while self.waits and self.waits[0][0] <= clock:
+            _, talk, sla_id = heapq.heappop(self.waits)
+            message = self.talks[talk][0][sla_id]
+            if not message[3] and message[2] is None:
+                out.append(_event(sla_id, "BREACHED", message[1], message[1], None, None, 1))
+                message[3] = True
+        self.save(expiredTimerInfo.getExpiryTimeInMs())
         return iter(out)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        opened, answers = {}, set()
+        brought: dict[tuple, tuple[dict, set]] = {}
         for r in rows:
+            if r.sla_id is None and r.reply_id is None:
+                continue
+            opened, answers = brought.setdefault((r.conversation_id, r.mailbox, r.address), ({}, set()))
             if r.sla_id is not None:
                 opened[r.sla_id] = (r.us, r.deadline_us)
-            elif r.reply_id is not None:
+            else:
                 answers.add((r.us, r.reply_id))
-        new = sorted(answers)
-        out = []
+        out: list[Row] = []
+        if brought:
+            self.load()
+            for talk, (opened, answers) in brought.items():
+                self.take(talk, opened, sorted(answers), out)
+            self.save()
+        return iter(out)
+
+    def take(self, talk: tuple, opened: dict, new: list, out: list[Row]) -> None:
+        messages, known = self.talks.setdefault(talk, ({}, []))
         if new:
             # only messages that wait, or whose answer came later, are touched
-            changed = []
-            for (sla_id,), (us, deadline, answer, breached) in self.messages.iterator():
-                at = bisect_right(new, us, key=lambda x: x[0])
-                if at < len(new) and (answer is None or new[at][0] < answer):
-                    changed.append((sla_id, us, deadline, breached, new[at]))
-            for x in changed:
-                out += self.answered(*x, key[1])
-            for answer in new:
-                self.replies.updateValue(answer, (True,))
-        waits: dict[int, list[str]] = {}
-        if opened:
-            known = sorted(k for k, _ in self.replies.iterator())
-            for sla_id, (us, deadline) in opened.items():
-                if self.messages.containsKey((sla_id,)):
-                    continue
-                out.append(_event(sla_id, "OPENED", us, deadline, None, None))
-                at = bisect_right(known, us, key=lambda x: x[0])
-                first = known[at] if at < len(known) else None
-                if first:
-                    out += self.answered(sla_id, us, deadline, False, first, key[1])
-                else:
-                    self.messages.updateValue((sla_id,), (us, deadline, None, False))
-                    if deadline is not None:
-                        waits.setdefault(deadline // 1000 + 1, []).append(sla_id)  # the first whole millisecond past it
-        if self.timers:
-            for ms, ids in waits.items():
-                held = self.due.getValue((ms,))[0] if self.due.containsKey((ms,)) else []
-                self.due.updateValue((ms,), ([*held, *ids],))
-                self.handle.registerTimer(ms)
-        return iter(out)
+            for sla_id, message in messages.items():
+                at = bisect_right(new, message[0], key=lambda x: x[0])
+                if at < len(new) and (message[2] is None or new[at][0] < message[2]):
+                    out += self.answered(sla_id, message, new[at], talk[1])
+            known[:] = sorted({*known, *new}) if known else new
+        for sla_id, (us, deadline) in opened.items():
+            if sla_id in messages:
+                continue
+            out.append(_event(sla_id, "OPENED", us, deadline, None, None))
+            message = messages[sla_id] = [us, deadline, None, False]
+            at = bisect_right(known, us, key=lambda x: x[0])
+            if at < len(known):
+                out += self.answered(sla_id, message, known[at], talk[1])
+            elif self.timers and deadline is not None:
+                heapq.heappush(self.waits, (deadline // 1000 + 1, talk, sla_id))  # the first whole millisecond past it
 
     def close(self) -> None:
         pass
@@ -131,30 +150,32 @@ def _event(sla_id, kind, at_us, deadline_us, reply_id, responded_by, breach=0) -
     return Row(sla_id=sla_id, kind=kind, at_us=at_us, deadline_us=deadline_us, reply_id=reply_id, responded_by=responded_by, breach=breach)
 
 
-def track_deadlines(events: DataFrame) -> DataFrame:
+def _dealt(events: DataFrame, buckets: int) -> DataFrame:
+    bucket = F.pmod(F.xxhash64("conversation_id", "mailbox", "address"), F.lit(buckets)).cast("int")
+    return events.withColumns({"us": F.unix_micros("moment"), "bucket": bucket})
+
+
+def track_deadlines(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Stream of openings and answers. There is no watermark and no retention: late rows and late answers count.
 
-    State grows with the messages and replies of the conversations; each is a few numbers.
+    State grows with the messages and replies of the conversations; each is a few numbers. A batch writes the state of the
+    buckets that it touches; ``buckets`` must stay as it is for the life of a checkpoint.
     """
     use_keyed_state(events.sparkSession)
-    return (
-        events.withColumn("us", F.unix_micros("moment"))
-        .groupBy("conversation_id", "mailbox", "address")
-        .transformWithState(
-            statefulProcessor=AnswerTracker(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-        )
+    return _dealt(events, buckets).groupBy("bucket").transformWithState(
+        statefulProcessor=AnswerTracker(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
 
 
-def track_breaches(events: DataFrame, clock: str = "known_at", delay: str = ARRIVAL_DELAY) -> DataFrame:
+def track_breaches(events: DataFrame, clock: str = "known_at", delay: str = ARRIVAL_DELAY, buckets: int = BUCKETS) -> DataFrame:
     """As :func:`track_deadlines`, with the breaches themselves, as the clock passes the deadlines.
 
     ``clock`` is when a row became known, not when it happened: what happened long ago may become known today. It need only
     come in order up to ``delay``. A row without conversation, mailbox and address, see :func:`tick`, moves the clock on.
     """
     use_keyed_state(events.sparkSession)
-    timed = events.withWatermark(clock, delay).withColumn("us", F.unix_micros("moment"))
-    return timed.groupBy("conversation_id", "mailbox", "address").transformWithState(
+    timed = _dealt(events.withWatermark(clock, delay), buckets)
+    return timed.groupBy("bucket").transformWithState(
         statefulProcessor=AnswerTracker(timers=True), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
 

@@ -21,7 +21,7 @@ RETRY_BASE, RETRY_MOST, MOST_DOUBLINGS = 2, 60, 10
 STALE_CLAIM = timedelta(minutes=2)
 RETENTION = timedelta(days=7)
 #: Groups of ids that share their state.
-BUCKETS = 1024
+BUCKETS = 256
 DAY_MS = 86_400_000
 
 
