@@ -67,3 +67,14 @@ def test_linear_in_broken_markup(piece):
         began = time.process_time()
         rule(piece * 300_000)
         assert time.process_time() - began < 10
+
+
+def test_batches_of_long_pages_are_bounded_in_bytes(spark):
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("long")
+    def held(html):
+        return html.map(lambda _: int(html.map(len).sum()))
+
+    rows = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("<p>text</p>"), 20_000).alias("html"))
+    assert rows.select(held("html").alias("n")).agg(F.max("n")).first()[0] < 24 << 20
