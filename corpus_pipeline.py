@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a five-word Jaccard similarity of 0.8 or more stays."""
+    """One document of each group of texts with a five-word Jaccard similarity of 0.8 or more stays.
+
+    The fingerprint trie and MinHash bands propose pairs, exact comparison decides.
+    """
     prepared(spark)
     return shingle_dedup.unique_documents(docs)
 

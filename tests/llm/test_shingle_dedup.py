@@ -70,3 +70,28 @@ def test_stage_drops_a_near_copy_that_the_fingerprints_miss(spark):
     docs = table(spark, [(2, " ".join(copy)), (1, " ".join(base)), (None, "alone here, with words of its own"), (None, "alone here, with words of its own")])
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == [1, None]
+
+
+def test_the_fingerprint_trie_proposes_the_pairs_within_its_radius(spark):
+    docs = table(spark, rows_with_edits())
+    nodes = sh.marks_of(docs).select("mark", "fp").distinct().cache()
+    fps = {r["mark"]: r["fp"] for r in nodes.collect()}
+
+    def parts(pairs):
+        root = {m: m for m in fps}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = {}
+        for m in fps:
+            groups.setdefault(find(m), set()).add(m)
+        return {frozenset(g) for g in groups.values()}
+
+    near = [(a, b) for a in fps for b in fps if a < b and bin((fps[a] ^ fps[b]) & (1 << 64) - 1).count("1") <= sh.RADIUS]
+    assert len(near) > 10
+    assert parts(near) == parts([(r["u"], r["v"]) for r in sh.fingerprint_stars(nodes).collect()])

@@ -1,8 +1,11 @@
 """Near-duplicates by the exact Jaccard similarity of five-word shingles.
 
-Texts with equal shingle sets are one node. MinHash bands propose links: two nodes of similarity 0.8 miss each other in
-all bands with a probability of about 5e-6. The members of a band are linked to its least node only, so a band of n
-nodes gives n - 1 links, and all pairs of a band lie in one candidate group. Inside a candidate group every pair of
+Texts with equal shingle sets are one node. The self-join of the fingerprint trie (see :mod:`simhash_dedup`) over the SimHash
+of the same shingles proposes links between nodes whose fingerprints differ in at most ``RADIUS`` bits. A pair of
+similarity 0.8 differs in ten bits on average, and with such a radius the walk prunes nothing and compares all pairs; what
+lies beyond ``RADIUS`` is therefore proposed by MinHash bands as well: two nodes of similarity 0.8 miss each other in
+all bands with a probability of about 5e-6. The members of a band, or of a fingerprint, are linked to its least node only, so n
+nodes give n - 1 links, and all pairs of a band lie in one candidate group. Inside a candidate group every pair of
 different components is compared exactly: a group of at most ``cell_rows`` nodes and ``CELL_BYTES`` bytes is one cell, a larger one is cut into
 parts and every pair of parts is a cell. A cell keeps a union-find, so pairs that are already connected are skipped.
 
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, saved, texts
-from .simhash_dedup import Forest, components, shingle_hashes
+from .simhash_dedup import Forest, components, links, majority, shingle_hashes
 
 WORDS = 5
 LEAST_SIMILARITY = 0.8
+#: Bits in which two fingerprints that the trie's self-join links may differ.
+RADIUS = 3
 BANDS, BAND_ROWS = 40, 6
 #: Nodes, and bytes of their texts, in one side of a cell, at most about.
 CELL_ROWS = 4096
@@ -94,7 +99,8 @@ def near_links(sets: list[np.ndarray], side: np.ndarray | None = None, least: fl
 
 
 def marks_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, text_key, mark, bands) of every row: ``mark`` names the shingle set, ``text_key`` the text."""
+    """(doc_id, text_key, mark, fp, bands) of every row: ``mark`` names the shingle set, ``text_key`` the text, ``fp`` is the
+    fingerprint of the set, so that rows of a mark share it."""
     chosen = texts(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +109,18 @@ def marks_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sets = [shingle_set(t or b"", words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
                 marks = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text_key"), pa.array(marks, pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "text_key", "mark", "bands"],
+                    [
+                        batch.column("doc_id"),
+                        batch.column("text_key"),
+                        pa.array(marks, pa.int64()),
+                        pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64)),
+                        pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "text_key", "mark", "fp", "bands"],
                 )
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, text_key long, mark long, bands array<bigint>")
+    return chosen.mapInArrow(run, f"doc_id {kind}, text_key long, mark long, fp long, bands array<bigint>")
 
 
 def exact_links(members: DataFrame, least: float, words: int, cell_rows: int) -> DataFrame:
@@ -136,15 +148,25 @@ def exact_links(members: DataFrame, least: float, words: int, cell_rows: int) ->
     return spread.groupBy("root", "low", "high").applyInArrow(compare, "u long, v long")
 
 
+def fingerprint_stars(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): links between the marks of ``nodes`` (mark, fp) whose fingerprints the trie's self-join links."""
+    heads = saved(nodes.groupBy("fp").agg(F.min("mark").alias("head")), "shingle-fingerprints")
+    equal = nodes.join(heads, "fp").where("mark <> head").select(F.col("mark").alias("u"), F.col("head").alias("v"))
+    near = saved(links(heads, radius), "shingle-trie")
+    first = heads.select(F.col("fp").alias("u"), F.col("head").alias("a"))
+    second = heads.select(F.col("fp").alias("v"), F.col("head").alias("b"))
+    return equal.unionAll(near.join(first, "u").join(second, "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def grouped(docs: DataFrame, least: float = LEAST_SIMILARITY, words: int = WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, text_key, root) of every row: rows of one ``root`` are connected by near pairs."""
     marks = saved(marks_of(docs, words), "shingles")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_key")).alias("one")
-    nodes = saved(marks.groupBy("mark").agg(one, F.any_value("bands").alias("bands")), "shingle-sets")
+    nodes = saved(marks.groupBy("mark").agg(one, F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "shingle-sets")
     bands = nodes.select("mark", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("mark").alias("head"), F.count("*").alias("n")).where("n > 1")
-    stars = bands.join(heads, "band").where("mark <> head").select(F.col("mark").alias("u"), F.col("head").alias("v")).distinct()
-    candidates = components(stars, "shingle-candidates")
+    stars = bands.join(heads, "band").where("mark <> head").select(F.col("mark").alias("u"), F.col("head").alias("v"))
+    candidates = components(fingerprint_stars(nodes.select("mark", "fp")).unionAll(stars).distinct(), "shingle-candidates")
     # components() names no root among its own u: each group's root is a member as well
     member = candidates.select(F.col("u").alias("mark"), "root").unionAll(candidates.select(F.col("root").alias("mark"), "root")).distinct()
     asked = nodes.join(member, "mark").select("mark", "root", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("key"))
