@@ -143,3 +143,17 @@ def test_given_verdicts_and_a_task_that_is_not_created(spark):
 def test_empty_batch(spark):
     old = batch(random.Random(3), 10, 2, 1, NOW)
     assert decided(spark, old, [], {1: [1.0]}) == {}
+
+
+def test_rounds_carry_numbers_instead_of_keys(spark, monkeypatch):
+    written, cut = [], dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: written.append(df.schema) or cut(df))
+    rnd = random.Random(4)
+    new = batch(rnd, 40, 2, 1000, NOW)
+    got = decided(spark, [], new, {r["id"]: [1.0, 0.0] for r in new})
+    assert got == replay([], new, {r["id"]: [1.0, 0.0] for r in new})
+    rounds = [s for s in written if "_made" in s.names or "_now" in s.names]
+    assert rounds
+    for schema in rounds:
+        assert {schema[k].dataType.typeName() for k in ("_message", "_scope", "_block")} == {"long"}
+        assert not {"source_email_id", "task_fingerprint", "normalized_sender"} & set(schema.names)
