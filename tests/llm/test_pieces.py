@@ -71,3 +71,12 @@ def test_null_and_repeated_ids_stay_apart(spark, library):
 
 def test_empty_table(spark):
     assert pieces.decode(pieces.encode(table(spark, []), PATH, "doc_id"), PATH).count() == 0
+
+
+def test_lists_of_slices_nulls_and_empty_columns():
+    rows = [[1, 2], [], [3], [4, 5, 6]]
+    whole = pa.array(rows, pa.list_(pa.int32()))
+    assert pieces.lists_of(whole) == rows
+    assert pieces.lists_of(whole.slice(1, 2)) == rows[1:3]
+    assert pieces.lists_of(whole.slice(0, 0)) == []
+    assert pieces.lists_of(pa.array([[1], None, [2]], pa.list_(pa.int32()))) == [[1], [], [2]]

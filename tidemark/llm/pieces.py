@@ -302,6 +302,16 @@ def _trace(model: str, chunk: int):
     return run
 
 
+def lists_of(column: pa.ListArray) -> list[list[int]]:
+    """The lists of an Arrow column, nulls as empty ones: numbers are turned into Python's all at once instead of one by one."""
+    if column.null_count or column.values.null_count:
+        return [x or [] for x in column.to_pylist()]
+    ends = column.offsets.to_pylist()
+    low = ends[0]
+    flat = column.values.slice(low, ends[-1] - low).to_numpy().tolist()
+    return [flat[a - low : b - low] for a, b in zip(ends, ends[1:])]
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of each row's ``ids``; no ids give the empty text."""
     columns = encoded.columns
@@ -313,7 +323,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for big in batches:
             for first in range(0, big.num_rows, 256):
                 batch = big.slice(first, 256)
-                text = coder.decode([x or [] for x in batch.column(at).to_pylist()], num_threads=1)
+                text = coder.decode(lists_of(batch.column(at)), num_threads=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 
     out = T.StructType([*plain.schema, T.StructField("decoded", T.StringType())])
