@@ -177,3 +177,13 @@ def test_eligibility(spark):
         "id string, sender_email string, response_required boolean",
     )
     assert sorted(r.id for r in sla.eligible(mail, domains).collect()) == ["5", "6"]
+
+
+def test_rounds_share_what_they_do_not_change(spark, monkeypatch):
+    given = []
+    real = sla._elsewhere
+    monkeypatch.setattr(sla, "_elsewhere", lambda *a: (given.append(a), real(*a))[1])
+    slas, replies = mailboxes(7, 40, 3, 260)
+    assert matched(spark, slas, replies) == replay(slas, replies)
+    assert len(given) > 1
+    assert len({id(a[2]) for a in given}) == 1  # the replies of shared conversations are found once, not in every round

@@ -239,24 +239,31 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame, crowd: DataFrame | None = None) -> DataFrame:
+def _shared(fixed: DataFrame, replies: DataFrame) -> DataFrame:
+    """Conversations that are not one customer's alone: only they can hold somebody else's message."""
+    talked = fixed.select("conversation_id", "lookup").unionByName(replies.select("conversation_id", F.explode("recipients").alias("lookup")))
+    return (
+        talked.dropna(subset=["conversation_id"])
+        .groupBy("conversation_id")
+        .agg(F.min(F.coalesce("lookup", F.lit(""))).alias("a"), F.max(F.coalesce("lookup", F.lit(""))).alias("b"))
+        .filter("a <> b")
+        .select("conversation_id")
+    )
+
+
+def _elsewhere(
+    looks: DataFrame, known: DataFrame, answers: DataFrame, crowd: DataFrame | None = None, late: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """(by, lookup, other_open, other_talk): what else is open at each reply, given the closings of this round.
 
     ``other_open`` counts the messages of the other customers it names, ``other_talk`` the SLAs of others in its
-    conversation: the conversation's running count, in hourly buckets, less the customer's own. ``crowd`` names the customers
-    some of whose replies come without their own part of the conversation.
+    conversation: the conversation's running count, in hourly buckets, less the customer's own. ``known`` and ``answers`` are the
+    SLAs and replies of shared conversations. ``crowd`` names the customers some of whose replies, ``late``, come without their
+    own part of the conversation; ``asked`` are those of them in a shared one.
     """
-    named = looks.groupBy("reply_id").agg(F.sum("own_open").alias("all_open"), F.count(F.lit(1)).alias("n"))
+    everyone = looks if late is None else looks.unionByName(late)
+    named = everyone.groupBy("reply_id").agg(F.sum("own_open").alias("all_open"), F.count(F.lit(1)).alias("n"))
     keys = ["conversation_id"]
-    # only conversations that are not one customer's alone can hold somebody else's message
-    talked = state.select(*keys, "lookup").unionByName(replies.select(*keys, F.explode("recipients").alias("lookup")))
-    shared = (
-        talked.dropna(subset=keys)
-        .groupBy(*keys)
-        .agg(F.min(F.coalesce("lookup", F.lit(""))).alias("a"), F.max(F.coalesce("lookup", F.lit(""))).alias("b"))
-        .filter("a <> b")
-        .select(*keys)
-    )
     nobody = F.lit(None).cast("string")
 
     def point(rows: DataFrame, moment: str, phase: int, by: Column, step: int, change: int, reply: Column) -> DataFrame:
@@ -265,18 +272,16 @@ def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame, crowd: Da
             F.lit(change).cast("bigint").alias("change"), reply.alias("reply_id"),
         )
 
-    known = state.join(shared, keys, "left_semi")
     events = (
         point(known, "received_at", 0, F.lit(""), 0, 1, nobody)
         .unionByName(point(known.filter("closed IS NOT NULL"), "closed.sent_at", 1, F.col("closed.reply_id"), 1, -1, nobody))
-        .unionByName(point(replies.join(shared, keys, "left_semi"), "sent_at", 1, F.col("reply_id"), 0, 0, F.col("reply_id")))
+        .unionByName(point(answers, "sent_at", 1, F.col("reply_id"), 0, 0, F.col("reply_id")))
     )
     order = [F.asc(c) for c in ("moment", "phase", "by", "step")]
     counted = running_totals(events, keys, hour_of(F.col("moment")), order, sums={"all_talk": F.col("change")})
     talk = counted.filter("reply_id IS NOT NULL").select("reply_id", "all_talk")
     if crowd is not None:  # replies to crowded customers were not replayed: their own part of the conversation is counted here
         own = known.join(crowd, "lookup")
-        asked = looks.filter("own_talk IS NULL").select("reply_id", "lookup").join(replies.join(shared, keys, "left_semi").drop("recipients"), "reply_id")
         parts = {
             "received_at": (own, 0, F.lit(""), 0, 1, nobody),
             "closed.sent_at": (own.filter("closed IS NOT NULL"), 1, F.col("closed.reply_id"), 1, -1, nobody),
@@ -285,9 +290,10 @@ def _elsewhere(looks: DataFrame, state: DataFrame, replies: DataFrame, crowd: Da
         keys = [*keys, "lookup"]
         mine = reduce(lambda a, b: a.unionByName(b), [point(rows, moment, *rest) for moment, (rows, *rest) in parts.items()])
         alone = running_totals(mine, keys, hour_of(F.col("moment")), order, sums={"mine": F.col("change")}).filter("reply_id IS NOT NULL")
-        looks = looks.join(alone.select("reply_id", "lookup", "mine"), ["reply_id", "lookup"], "left")
-        looks = looks.withColumn("own_talk", F.coalesce("own_talk", "mine", F.lit(0))).drop("mine")
-    joined = looks.join(named.filter("n > 1"), "reply_id", "left").join(talk, "reply_id", "left")
+        late = late.join(alone.select("reply_id", "lookup", "mine"), ["reply_id", "lookup"], "left")
+        late = late.withColumn("own_talk", F.coalesce("own_talk", "mine", F.lit(0))).drop("mine")
+        everyone = looks.unionByName(late)
+    joined = everyone.join(named.filter("n > 1"), "reply_id", "left").join(talk, "reply_id", "left")
     other_open = F.coalesce(F.col("all_open") - F.col("own_open"), F.lit(0))
     other_talk = F.coalesce(F.col("all_talk") - F.col("own_talk"), F.lit(0))
     return joined.select(F.col("reply_id").alias("by"), "lookup", other_open.alias("other_open"), other_talk.alias("other_talk"))
@@ -325,20 +331,26 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
     fixed = cut_lineage(base.join(_primary(base, cleaned, hour_of(F.col("moment"))), "sla_id", "left").drop("customer_email"))
     timeline = cut_lineage(_events(fixed, cleaned))
     crowd = cut_lineage(_crowded(fixed, timeline))
-    late = None
+    shared = cut_lineage(_shared(fixed, cleaned))
+    # what rounds do not change is joined together once
+    known = cut_lineage(fixed.join(shared, "conversation_id", "left_semi").select("sla_id", "conversation_id", "lookup", "received_at", "primary"))
+    answers = cut_lineage(cleaned.join(shared, "conversation_id", "left_semi").select("reply_id", "conversation_id", "sent_at"))
+    late = asked = None
     if crowd.isEmpty():
         crowd, events = None, timeline
     else:
         # beyond that moment no fallback is possible and other customers need to know only that something is open
-        known = timeline.join(crowd, "lookup", "left")
-        events = known.filter("crowded IS NULL OR us <= crowded").drop("crowded")
+        marked = timeline.join(crowd, "lookup", "left")
+        events = marked.filter("crowded IS NULL OR us <= crowded").drop("crowded")
         two, none = F.lit(2).cast("bigint"), F.lit(None)
-        late = known.filter("us > crowded AND phase = 1 AND step = 0").select(
+        beyond = marked.filter("us > crowded AND phase = 1 AND step = 0").select(
             F.col("by").alias("reply_id"), "lookup", "us", "mailbox", two.alias("own_open"), none.cast("bigint").alias("own_talk"), none.cast("string").alias("sla_id")
         )
+        late = cut_lineage(beyond)
+        asked = cut_lineage(late.select("reply_id", "lookup").join(answers, "reply_id"))
         crowd = crowd.select("lookup")
     events = cut_lineage(_segments(events))
-    elsewhere = None
+    elsewhere, before = None, _marks()
     while True:
         if elsewhere is None:
             told = events.withColumns({"other_open": F.lit(0).cast("bigint"), "other_talk": F.lit(0).cast("bigint")})
@@ -347,15 +359,14 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
             told = events.join(busy, ["by", "lookup"], "left").na.fill(0, ["other_open", "other_talk"])
         ordered = told.repartition("lookup", "segment").sortWithinPartitions("lookup", "segment", *_ORDER)
         looks = cut_lineage(ordered.select(*_FIELDS, "other_open", "other_talk").mapInArrow(_fold, _LOOK))
-        looks = looks if late is None else looks.unionByName(late)
         answer = F.struct(F.timestamp_micros("us").alias("sent_at"), "reply_id", F.col("mailbox").alias("responded_by"))
         hits = looks.filter("sla_id IS NOT NULL").groupBy("sla_id").agg(F.min(answer).alias("fallback"))
-        state = fixed.join(hits, "sla_id", "left").withColumn("closed", F.least("primary", "fallback"))
-        found = cut_lineage(_elsewhere(looks, state, cleaned, crowd))
-        before = elsewhere if elsewhere is not None else found.limit(0)
-        if _same(before, found):
+        closed = F.least("primary", "fallback")
+        elsewhere = cut_lineage(_elsewhere(looks, known.join(hits, "sla_id", "left").withColumn("closed", closed), answers, crowd, late, asked))
+        if (now := _marks(elsewhere)) == before:
             break
-        elsewhere = found
+        before = now
+    state = fixed.join(hits, "sla_id", "left").withColumn("closed", closed)
     first = F.col("closed")
     return state.filter(first.isNotNull()).select(
         "sla_id",
@@ -366,14 +377,12 @@ def match_replies(slas: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """True if two rounds agree on what is open elsewhere; nothing open is the same as not being there."""
-
-    def mark(x: DataFrame):
-        kept = x.filter("other_open <> 0 OR other_talk <> 0")
-        return kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)"))).first()
-
-    return mark(a) == mark(b)
+def _marks(elsewhere: DataFrame | None = None) -> tuple:
+    """Count and sum of hashes of what a round finds open elsewhere; nothing open is the same as not being there."""
+    if elsewhere is None:
+        return 0, None
+    kept = elsewhere.filter("other_open <> 0 OR other_talk <> 0")
+    return tuple(kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*kept.columns).cast("decimal(38,0)"))).first())
 
 
 # -- states -------------------------------------------------------------------------------------------------------
