@@ -171,3 +171,89 @@ def test_windows_cover_what_all_maximal_repeats_cover():
                 runs.setdefault(tuple(p[a:b]), set()).add((i, a))
     want = {(i, a + k) for run, at in runs.items() if len({i for i, _ in at}) >= 3 for i, a in at for k in range(len(run))}
     assert got == want and want
+
+
+def test_texts_that_are_set_aside_are_kept_apart_not_lost():
+    main, rest = mt.parted(FULL)
+    assert main == mt.settled(FULL) and rest == ["Site", "Home", "We use cookies", "Buy", "Search", "First!", "More", "© us"]
+    assert mt.parted("<p>crumbs</p><main><p>lead</p><div>bare</div><nav>n</nav></main>tail") == ([(False, "lead"), (True, "bare")], ["crumbs", "n", "tail"])
+    assert mt.parted("<nav>n</nav><nav>n</nav>a") == ([(True, "a")], ["n"]) and mt.parted("<script>x</script>") == ([], [])
+
+
+def test_open_text_that_other_pages_set_aside_goes(spark):
+    """No window of the legal line stands on three pages with open blocks: all pages of the host must enter the array."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    legal, title = " ".join(rnd.choices(words, k=14)), " ".join(rnd.choices(words, k=10))
+    own = {i: " ".join(rnd.choices(words, k=30)) for i in range(12)}
+    rows = [(i, "http://a.x/p", f"<article><p>{t}</p></article><aside>{title}</aside><footer>{legal}</footer>") for i, t in own.items() if i < 8]
+    rows += [(i, "http://a.x/p", f"<div>{own[i]}</div><div>{legal}</div>") for i in (8, 9)]
+    rows += [(i, "http://a.x/p", f"<div>{title}</div><div>{own[i]}</div>") for i in (10,)]  # lists of other pages quote its headline
+    rows += [(i, "http://a.x/p", f"<article><p>{legal}</p><p>{own[i]}</p></article>") for i in (11,)]
+    want = own | {10: f"{title} {own[10]}", 11: f"{legal} {own[11]}"}
+    for sizes in ({}, {"shard_pages": 3}, {"shard_chars": 200}):
+        assert found(spark, rows, **sizes) == sorted(want.items(), key=str)
+
+
+def plain_main(rows):
+    """Main texts by sets of windows of all blocks of a host's different pages but the plain ones of articles."""
+    parts = {i: mt.parted(h or "") for i, _, h in rows}
+    host = {i: u for i, u, _ in rows}
+    key = {i: (host[i], str(main or rest)) for i, (main, rest) in parts.items()}
+
+    def windows(text):
+        s = text.split()
+        return [(0, tuple(s))] if len(s) < mt.WINDOW else [(k, tuple(s[k : k + mt.WINDOW])) for k in range(len(s) - mt.WINDOW + 1)]
+
+    anywhere, in_open, pages, open_pages = {}, {}, {}, {}
+    for i, (main, rest) in parts.items():
+        if main or rest:
+            pages.setdefault(host[i], set()).add(key[i])
+        opened = [t for o, t in main if o]
+        if opened:
+            open_pages.setdefault(host[i], set()).add(key[i])
+        for seen, texts in ((anywhere, opened + rest), (in_open, opened)):
+            for t in texts:
+                for _, w in windows(t):
+                    seen.setdefault((host[i], w), set()).add(key[i])
+    out = []
+    for i, _, _ in rows:
+        h, kept = host[i], []
+        for is_open, t in parts[i][0]:
+            s = t.split()
+            gone = set()
+            for k, w in windows(t) if is_open else ():
+                n, n_open = len(anywhere[h, w]), len(in_open[h, w])
+                if n >= 3 and n >= 0.3 * len(pages[h]) and n_open >= 2 or n_open >= 3 and n_open >= 0.3 * len(open_pages[h]):
+                    gone |= set(range(k, k + mt.WINDOW))
+            kept.append(" ".join(x for k, x in enumerate(s) if k not in gone))
+        out.append((i, " ".join(x for x in kept if x)))
+    return sorted(out, key=str)
+
+
+def test_pages_of_all_kinds_against_plain_windows(spark):
+    rnd = random.Random(10)
+    words = [f"w{i}" for i in range(500)]
+    lines = [" ".join(rnd.choices(words, k=k)) for k in (1, 3, 7, 8, 9, 15, 30, 60)]
+
+    def blocks(tags, n):
+        def text():
+            line = rnd.choice(lines[rnd.randrange(len(lines)) :]).split()
+            cut = line[rnd.randrange(3) :] if len(line) > 12 else line
+            return " ".join([*rnd.choices(words, k=rnd.choice((0, 0, 4))), *cut])
+
+        return "".join(f"<{t}>{text()}</{t.split()[0]}>" for t in rnd.choices(tags, k=n))
+
+    rows = []
+    for i in range(150):
+        aside, inner = blocks(["nav", "footer", "aside", "div class='ad'"], rnd.randrange(4)), blocks(["p", "div"], rnd.randrange(1, 4))
+        around = rnd.choice(["{}", "<article>{}</article>", "<main>{}</main>", "<div>{}</div>", ""]).format(inner)
+        rows.append((i, f"h{i % 3}", aside + around))
+    copies = [(1000 + k, rows[k % 5][1], f"<nav>{blocks(['div'], 1)}</nav>{rows[k % 5][2]}") for k in range(60)]  # of few pages, beside other texts
+    rows += [*copies, *((2000 + k, *rows[k][1:]) for k in range(20)), (3000, "h0", None), (3001, "h0", "")]
+    want = plain_main(rows)
+    texts = {i: " ".join(t for _, t in mt.settled(h or "")) for i, _, h in rows}
+    assert 20 < sum(t != texts[i] for i, t in want) < len(rows)
+    urls = [(i, f"http://{h}/", page) for i, h, page in rows]
+    for sizes in ({}, {"shard_pages": 7}, {"shard_pages": 2, "shard_chars": 300}):
+        assert found(spark, urls, **sizes) == want
